@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.llm import bpe, exact_dedup, mixing, quality_rules, simhash, url_filters
+from colloq.llm import bpe, exact_dedup, mixing, quality_rules, simhash, toxicity, url_filters
 from colloq.session import read
 
 
@@ -32,6 +32,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def vocabulary_text(path: str | None = None) -> str:
     """The vocabulary file's text, read on the driver (default: the public byte-level BPE with 50k ids)."""
     if path is None:
@@ -47,7 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, vocabulary_text(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op4_exact_dedup, op6_url_filters, op7_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op4_exact_dedup, op6_url_filters, op7_mixing, op8_toxicity, op10_bpe)}
 
 SQL = {
     "op2_quality_rules": r"""
