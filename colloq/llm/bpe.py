@@ -21,6 +21,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -36,17 +37,28 @@ from pyspark.sql import types as T
 
 from colloq.llm.common import fresh
 from colloq.llm.lexicon import Lexicon, compile_lexicon
-from colloq.session import checkpoint_dir
+from colloq.session import checkpoint_dir, cut
 
 #: The pre-token pattern of byte-level vocabularies, with Unicode White_Space written out.
 SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-TOP_WORDS = 50_000
+#: The same pattern for texts of Latin letters, ASCII digits, white space and any ASCII sign: there the
+#: classes are short ranges, which the standard library's engine matches faster.
+LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+LATIN_TEXT = re.compile(rf"[\t-\r -~{LATIN}]*")
+LATIN_PATTERN = re.compile(rf" ?[{LATIN}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r 0-9{LATIN}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+ANY_PATTERN = regex.compile(PATTERN)
+TOP_WORDS = 100_000
 MAX_LEXICON_WORD = 64
 KEPT_WORDS = 200_000
 SHORT = 48
 
 
+def pretokenizer(text: str) -> re.Pattern:
+    """The pre-token pattern, compiled for the letters that the text has."""
+    return LATIN_PATTERN if LATIN_TEXT.fullmatch(text) else ANY_PATTERN
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -69,6 +81,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = {i: bytes(letters[c] for c in w) for w, i in ids.items() if all(c in letters for c in w)}
         self.bytes |= {i: w.encode() for w, i in self.special.items()}
+        self.names = {i: str(i) for i in self.bytes}
         self.first = [ids.get(c) for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
@@ -114,27 +127,49 @@ class Vocabulary:
         return [x for x, keep in zip(parts, live) if keep]
 
 
-class _Words(dict):
-    """Pre-token -> (ids as text, bytes of those ids, number of ids); filled from the lexicon, else by merging."""
+class WordTable(dict):
+    """What is known of the pre-tokens met lately; bounded, and filled on demand by ``_encoded``.
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None) -> None:
-        self.vocabulary, self.lexicon, self.older = vocabulary, lexicon, {}
+    Two generations: once the table is full, the words still in use move on to the next one.
+    """
 
-    def __missing__(self, word: str) -> tuple[str, bytes, int]:
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.older, self.frequent = vocabulary, {}, {}
+
+    def __missing__(self, word: str):
         found = self.older.get(word) or self._encoded(word)
         if len(word) <= MAX_LEXICON_WORD:
-            if len(self) >= KEPT_WORDS:  # two generations: what is still in use moves to the new one
+            if len(self) >= KEPT_WORDS + len(self.frequent):
                 self.older = dict(self)
                 self.clear()
+                self.update(self.frequent)
             self[word] = found
         return found
 
-    def _encoded(self, word: str) -> tuple[str, bytes, int]:
+    def _encoded(self, word: str):
+        raise NotImplementedError
+
+
+class _Words(WordTable):
+    """Pre-token -> (ids as text, bytes of those ids); from the lexicon, else by merging.
+
+    What the lexicon gave stays: there are at most as many as it has words.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None) -> None:
+        super().__init__(vocabulary)
+        self.lexicon = lexicon
+
+    def _encoded(self, word: str) -> tuple[str, bytes]:
         raw = word.encode("utf-8", "replace")
         ids = self.lexicon.ids(raw) if self.lexicon else None
-        if ids is None:
-            ids = self.vocabulary.merge(raw)
-        return ",".join(map(str, ids)), b"".join([self.vocabulary.bytes[i] for i in ids]), len(ids)
+        known, vocabulary = ids is not None, self.vocabulary
+        if not known:
+            ids = vocabulary.merge(raw)
+        found = (",".join([vocabulary.names[i] for i in ids]), b"".join([vocabulary.bytes[i] for i in ids]))
+        if known:
+            self.frequent[word] = found
+        return found
 
 
 class Encoder:
@@ -142,19 +177,18 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None) -> None:
         self.vocabulary, self.words = vocabulary, _Words(vocabulary, lexicon)
-        self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
-    def pieces(self, text: str) -> list[tuple[str, bytes, int]]:
+    def pieces(self, text: str) -> list[tuple[str, bytes]]:
         words = self.words
         if self.special is None or not self.special.search(text):
-            return [words[w] for w in self.split(text)]
+            return [words[w] for w in pretokenizer(text).findall(text)]
         out = []
         for i, part in enumerate(self.special.split(text)):
             if i % 2:
-                out.append((str(self.vocabulary.special[part]), part.encode(), 1))
+                out.append((str(self.vocabulary.special[part]), part.encode()))
             else:
-                out += [words[w] for w in self.split(part)]
+                out += [words[w] for w in pretokenizer(part).findall(part)]
         return out
 
     def ids(self, text: str) -> list[int]:
@@ -166,12 +200,12 @@ class Encoder:
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from them."""
         found = self.pieces(text)
-        decoded = b"".join([p[1] for p in found])
+        ids, decoded = ",".join([p[0] for p in found]), b"".join([p[1] for p in found])
         try:
             decoded.decode()
         except UnicodeDecodeError:
             decoded = decoded.decode("utf-8", "replace").encode()
-        return sum([p[2] for p in found]), hashlib.sha256(",".join([p[0] for p in found]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return (ids.count(",") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 @lru_cache(maxsize=4)
@@ -211,10 +245,11 @@ def frequent_words(docs: DataFrame, top: int = TOP_WORDS) -> DataFrame:
     """(word, n): at most ``top`` pre-tokens that are frequent in all of ``docs``."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = regex.compile(PATTERN).findall, Counter()
+        seen: Counter = Counter()
         for batch in it:
             for value in batch.column(0):
-                seen.update(split(_text(value.as_py())))
+                text = _text(value.as_py())
+                seen.update(pretokenizer(text).findall(text))
                 if len(seen) > 2 * top:
                     floor = sorted(seen.values(), reverse=True)[top]
                     seen = Counter({w: n - floor for w, n in seen.items() if n > floor})
@@ -222,7 +257,10 @@ def frequent_words(docs: DataFrame, top: int = TOP_WORDS) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], names=["word", "n"])
 
     counts = docs.select(F.col("text").cast("binary").alias("t")).mapInArrow(count, "word string, n bigint")
-    return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(top)
+    counts = cut(counts.groupBy("word").agg(F.sum("n").alias("n")))
+    # by its share alone: no more than 4 * top words can have it, so that many rows are sorted at most
+    least = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) // (4 * top)
+    return counts.where(F.col("n") > least).orderBy(F.desc("n"), "word").limit(top)
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, top: int = TOP_WORDS) -> bytes:

@@ -3,16 +3,18 @@
 Words are added in sorted order; a suffix that cannot change any more is replaced by an equal one
 that is registered already, so suffixes are shared and the automaton is minimal for its outputs.
 Ids are pushed to the earliest transition that determines them. The buffer can be written to a file
-and memory-mapped: a lookup touches only the states on the word's path.
+and memory-mapped: a lookup touches only the states on the word's path, and a filter of one hashed bit
+in 16 a word turns away most words that are not in the lexicon before they are walked.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from array import array
 from collections.abc import Iterable, Sequence
 
-MAGIC = b"ACTX1\0\0\0"
+MAGIC = b"ACTX2\0\0\0"
 
 
 class _State:
@@ -40,7 +42,9 @@ def compile_lexicon(entries: Iterable[tuple[bytes, Sequence[int]]]) -> bytes:
             arc[0] = register.setdefault(path[i].signature(), path[i])
         del path[depth + 1 :]
 
+    words = []
     for word, ids in sorted(entries):
+        words.append(word)
         common = 0
         while common < min(len(word), len(last)) and word[common] == last[common]:
             common += 1
@@ -71,10 +75,10 @@ def compile_lexicon(entries: Iterable[tuple[bytes, Sequence[int]]]) -> bytes:
         path[-1].final = True
         last = word
     freeze(0)
-    return _pack(root)
+    return _pack(root, words)
 
 
-def _pack(root: _State) -> bytes:
+def _pack(root: _State, words: list[bytes]) -> bytes:
     order, number = [root], {id(root): 0}
     for state in order:
         for target, _ in state.arcs.values():
@@ -99,8 +103,13 @@ def _pack(root: _State) -> bytes:
             target.append(number[id(below)])
             outs.append(stored(out))
     first.append(len(labels))
-    parts = [x.tobytes() for x in (first, tails, target, outs, ids)] + [bytes(labels)]
-    return MAGIC + struct.pack("<6I", *map(len, parts)) + b"".join(parts)
+    bits = 1 << max(6, (16 * len(words)).bit_length())
+    filter_ = bytearray(bits // 8)
+    for word in words:
+        at = zlib.crc32(word) % bits
+        filter_[at >> 3] |= 1 << (at & 7)
+    parts = [x.tobytes() for x in (first, tails, target, outs, ids)] + [bytes(labels), bytes(filter_)]
+    return MAGIC + struct.pack("<7I", *map(len, parts)) + b"".join(parts)
 
 
 class Lexicon:
@@ -109,12 +118,14 @@ class Lexicon:
     def __init__(self, buffer) -> None:
         if bytes(buffer[:8]) != MAGIC:
             raise ValueError("not a lexicon")
-        sizes, at, views = struct.unpack("<6I", bytes(buffer[8:32])), 32, []
+        sizes, at, views = struct.unpack("<7I", bytes(buffer[8:36])), 36, []
         whole = memoryview(buffer)
         for n in sizes[:5]:
             views.append(whole[at : at + n].cast("I"))
             at += n
         self._buffer, self._labels = buffer, at
+        self._filter = whole[at + sizes[5] : at + sizes[5] + sizes[6]]
+        self._mask = 8 * sizes[6] - 1
         self._first, self._tails, self._target, self._outs, self._ids = views
 
     @property
@@ -123,6 +134,9 @@ class Lexicon:
 
     def ids(self, word: bytes) -> list[int] | None:
         """The ids of ``word``, or None if it is not in the lexicon."""
+        bit = zlib.crc32(word) & self._mask
+        if not self._filter[bit >> 3] >> (bit & 7) & 1:
+            return None
         state, found, first, base, ids = 0, [], self._first, self._labels, self._ids
         for i in range(len(word)):
             low = base + first[state]
