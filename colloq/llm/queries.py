@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.llm import bpe, exact_dedup, mixing, quality_rules, simhash, toxicity, url_filters
+from colloq.llm import bpe, chat_formatting, edit_counts, exact_dedup, line_dedup, mixing, quality_rules, simhash, toxicity, url_filters
 from colloq.session import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.deduplicated(read(spark, sf_dir, "documents"))
+    shown = F.transform("removed", lambda r: F.concat_ws(":", r["line_no"].cast("string"), r["by_doc_id"].cast("string"), r["by_line_no"].cast("string")))
+    return rows.select("doc_id", "n_lines", "n_removed", F.array_join(shown, ",").alias("removed"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents")))
     base = quality_rules.BASE.mask(quality_rules.RULES)
@@ -24,6 +30,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return chat_formatting.format_preferences(chat_formatting.swapped_replies(turns))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -49,12 +60,16 @@ def vocabulary_text(path: str | None = None) -> str:
         return f.read()
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.counted_edits(read(spark, sf_dir, "documents"), vocabulary_text())
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, vocabulary_text(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op4_exact_dedup, op6_url_filters, op7_mixing, op8_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_simhash, op4_exact_dedup, op5_chat_formatting, op6_url_filters, op7_mixing, op8_toxicity, op9_token_counts, op10_bpe)}
 
 SQL = {
     "op2_quality_rules": r"""
@@ -79,6 +94,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
+    "op5_chat_formatting": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, ''), coalesce(text, '')) = 1),
+l AS (SELECT conv_id, max(turn) AS turn FROM t WHERE role = 'assistant' GROUP BY conv_id),
+replies AS (SELECT l.conv_id, l.turn, t.text FROM l JOIN t ON t.conv_id = l.conv_id AND t.turn = l.turn),
+donors AS (SELECT conv_id, turn, coalesce(lead(text) OVER w, first_value(text) OVER w) AS other, count(*) OVER (PARTITION BY conv_id // 1024) AS n
+        FROM replies WINDOW w AS (PARTITION BY conv_id // 1024 ORDER BY conv_id)),
+p AS (SELECT d.conv_id AS pair_id, t.turn, t.role, t.text AS c, CASE WHEN t.turn = d.turn THEN d.other ELSE t.text END AS r
+        FROM donors d JOIN t ON t.conv_id = d.conv_id AND t.turn <= d.turn WHERE d.n > 1),
+s AS (SELECT pair_id, min(CASE WHEN c <> r THEN turn END) AS split FROM p GROUP BY pair_id),
+x AS (SELECT p.*, s.split, '<|' || role || '|>' || chr(10) || c || '<|end|>' || chr(10) AS rc, '<|' || role || '|>' || chr(10) || r || '<|end|>' || chr(10) AS rr FROM p JOIN s USING (pair_id))
+SELECT pair_id, count(*) FILTER (split IS NULL OR turn < split) AS prompt_turns,
+  coalesce(string_agg(rc, '' ORDER BY turn) FILTER (split IS NULL OR turn < split), '') AS prompt,
+  coalesce(string_agg(rc, '' ORDER BY turn) FILTER (turn >= split), '') AS chosen,
+  coalesce(string_agg(rr, '' ORDER BY turn) FILTER (turn >= split), '') AS rejected,
+  coalesce(max(CASE WHEN turn >= split THEN '14:' || (14 + length(c) + 7) END), '') AS chosen_mask,
+  coalesce(max(CASE WHEN turn >= split THEN '14:' || (14 + length(r) + 7) END), '') AS rejected_mask
+FROM x GROUP BY pair_id""",
     "op6_url_filters": r"""
 WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
