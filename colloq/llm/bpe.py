@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -197,15 +198,15 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.vocabulary.bytes[i] for i in ids]).decode("utf-8", "replace")
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from them."""
+    def digests(self, text: str) -> tuple[int, str, str, str]:
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from them, the joined ids."""
         found = self.pieces(text)
         ids, decoded = ",".join([p[0] for p in found]), b"".join([p[1] for p in found])
         try:
             decoded.decode()
         except UnicodeDecodeError:
             decoded = decoded.decode("utf-8", "replace").encode()
-        return (ids.count(",") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return (ids.count(",") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids
 
 
 @lru_cache(maxsize=4)
@@ -300,7 +301,7 @@ def encode(docs: DataFrame, vocabulary: str, top: int = TOP_WORDS, lexicon: byte
             found = [encoder.digests(t) for t in texts]
             columns = [pa.array(x, t) for x, t in zip(([f[i] for f in found] for i in range(3)), added.values())]
             if with_ids:
-                columns.append(pa.array([encoder.ids(t) for t in texts], added["ids"]))
+                columns.append(pa.array([np.fromstring(f[3], np.int32, sep=",") if f[3] else [] for f in found], added["ids"]))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + columns, names=[*kept, *added])
 
     schema = docs.select(*kept).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
