@@ -46,3 +46,41 @@ def connected_components(edges: DataFrame, seed: int = 17) -> DataFrame:
     linked = label.join(least, "at").select("node", "component")
     alone = loops.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
     return linked.unionByName(alone)
+
+
+def reply_edges(messages: DataFrame, node: str, parent: str, existing_only: bool = True) -> DataFrame:
+    """(src, dst): child to parent. With ``existing_only`` replies to absent messages are no edges."""
+    edges = messages.select(F.col(node).cast("bigint").alias("src"), F.col(parent).cast("bigint").alias("dst")).where("src is not null and dst is not null")
+    if not existing_only:
+        return edges
+    known = messages.select(F.col(node).cast("bigint").alias("dst")).distinct()
+    return edges.join(known, "dst", "left_semi").select("src", "dst")
+
+
+def conversations(messages: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, component) of every message: connected components of the reply graph, a lone message is its own."""
+    parts = connected_components(reply_edges(messages, node, parent))
+    nodes = messages.select(F.col(node).cast("bigint").alias("node")).where("node is not null").distinct()
+    return nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def chain_roots(edges: DataFrame, max_depth: int = 200) -> DataFrame:
+    """(node, root, depth, cyclic) for every child of ``edges(src, dst)``, one parent each, by pointer doubling.
+
+    Each round squares the path length, so a chain of 200 needs eight joins. A node on or before a
+    cycle never reaches a root: its root is null and ``cyclic`` is true. Depths above ``max_depth`` are
+    reported as ``max_depth``.
+    """
+    up = edges.groupBy("src").agg(F.min("dst").alias("dst"))
+    at = cut(up.select(F.col("src").alias("node"), F.col("dst").alias("top"), F.when(F.col("src") == F.col("dst"), 0).otherwise(1).cast("bigint").alias("depth")))
+    children = at.select(F.col("node").alias("top"))
+    reach = 1
+    while reach < max_depth:
+        step = at.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
+        at = cut(at.join(step, "top", "left").select("node", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        reach *= 2
+        if at.join(children, "top", "left_semi").isEmpty():
+            break
+    open_ = at.join(children.withColumn("open", F.lit(True)), "top", "left")
+    cyclic = F.coalesce("open", F.lit(False))
+    return open_.select("node", F.when(~cyclic, F.col("top")).alias("root"), F.least(F.col("depth"), F.lit(max_depth)).alias("depth"), cyclic.alias("cyclic"))
