@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from colloq.plans import conversations, texts  # noqa: F401
+    from colloq.plans import conversations, tables, texts  # noqa: F401
