@@ -30,6 +30,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,8 @@ ANY_PATTERN = regex.compile(PATTERN)
 TOP_WORDS = 100_000
 MAX_LEXICON_WORD = 64
 KEPT_WORDS = 200_000
+#: Bytes of text whose results are held at a time.
+SLICE = 4 << 20
 SHORT = 48
 
 
@@ -242,6 +245,19 @@ def _text(value: bytes | None) -> str:
     return value.decode("utf-8", "replace") if value else ""
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``SLICE`` bytes of the (binary) column, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > SLICE:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield batch.slice(begin)
+
+
 def frequent_words(docs: DataFrame, top: int = TOP_WORDS) -> DataFrame:
     """(word, n): at most ``top`` pre-tokens that are frequent in all of ``docs``."""
 
@@ -296,9 +312,8 @@ def encode(docs: DataFrame, vocabulary: str, top: int = TOP_WORDS, lexicon: byte
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, shared)
-        for batch in it:
-            texts = [_text(x.as_py()) for x in batch.column(len(kept))]
-            found = [encoder.digests(t) for t in texts]
+        for batch in (part for whole in it for part in _slices(whole, len(kept))):
+            found = [encoder.digests(_text(x.as_py())) for x in batch.column(len(kept))]
             columns = [pa.array(x, t) for x, t in zip(([f[i] for f in found] for i in range(3)), added.values())]
             if with_ids:
                 columns.append(pa.array([np.fromstring(f[3], np.int32, sep=",") if f[3] else [] for f in found], added["ids"]))
