@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: The contract's white space, [\x20\x09-\x0D], without the space itself.
 OTHER_SPACE = "\t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows that a join may broadcast: under 10 MB for keys and a few numbers.
+BROADCAST_ROWS = 100_000
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,3 +46,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(candidate)
         out.append(candidate)
     return out
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised table of a few short columns, marked for broadcast if it has at most ``rows`` rows.
+
+    A larger one is left to a shuffle join, whose hot keys adaptive execution splits.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloq.llm.common import ascii_lower, fresh
+from colloq.llm.common import ascii_lower, fresh, sized
 from colloq.session import cut
 
 KEY = ("sha", "n_bytes", "check")
@@ -77,7 +77,7 @@ def drop_copies(docs: DataFrame, keep: str = "max", steps: int = 4) -> DataFrame
     gone = cut(rows.select(*key, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")))
     marked = keyed(docs, F.unhex(F.sha2(ascii_lower(F.col("text")), 256)))
     again = gone.where("again").select(*key).distinct()
-    kept = marked.join(gone.select(*key), key, "left_anti").select(*docs.columns)
+    kept = marked.join(sized(gone.select(*key)), key, "left_anti").select(*docs.columns)
     if again.isEmpty():
         return kept
     columns = F.struct(*[marked[c] for c in docs.columns]).alias(all_columns)

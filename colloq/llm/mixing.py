@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloq.llm.common import fresh, split_words
+from colloq.llm.common import fresh, sized, split_words
 from colloq.session import cut
 
 BLOCK_BITS = 12
@@ -145,7 +145,7 @@ def copies(passes: Column, cut_at: Column, at: Column) -> Column:
 def mixed(docs: DataFrame, target: MixTarget = MixTarget()) -> DataFrame:
     """One row per document: doc_id, source, n_tokens, weight of its source, copies and its block in the partial pass."""
     tokens = cut(tokens_of(docs))
-    plan = mix_plan(tokens, target).drop("tokens", "n_docs")
+    plan = sized(mix_plan(tokens, target).drop("tokens", "n_docs"))
     joined = tokens.join(plan, ["no_source", "source_key"])
     return joined.select("doc_id", "source", "n_tokens", "weight", copies(F.col("passes"), F.col("cut_at"), F.col("at")).cast("long").alias("copies"), block(F.col("at")).alias("block"), "at")
 
@@ -158,7 +158,7 @@ def draw(docs: DataFrame, target: MixTarget = MixTarget(), with_order: bool = Fa
     plan = mix_plan(cut(tokens_of(docs)), target)
     none, key, passes, end, epoch = fresh(docs, "none", "key", "passes", "end", "epoch")
     plan = plan.select(F.col("no_source").alias(none), F.col("source_key").alias(key), F.col("passes").alias(passes), F.col("cut_at").alias(end))
-    marked = docs.withColumns({none: F.col("source").isNull(), key: F.coalesce(F.col("source").cast("string"), F.lit(""))}).join(plan, [none, key])
+    marked = docs.withColumns({none: F.col("source").isNull(), key: F.coalesce(F.col("source").cast("string"), F.lit(""))}).join(sized(plan), [none, key])
     n = copies(F.col(passes), F.col(end), place(-1)).cast("int")
     drawn = marked.where(n > 0).withColumn(epoch, F.explode(F.sequence(F.lit(1), n)))
     if not with_order:

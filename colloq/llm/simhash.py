@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloq.llm.common import fresh, let
+from colloq.llm.common import fresh, let, sized
 from colloq.operators.graph import connected_components
 from colloq.session import cut
 
@@ -151,4 +151,4 @@ def drop_near_copies(docs: DataFrame, groups: int = GROUPS, dense: int = DENSE)
     ident, gone = fresh(docs, "id", "gone")
     found = near_duplicates(docs, groups, dense).where("component_id <> doc_id").select(F.col("doc_id").alias(ident)).distinct()
     found = cut(found)
-    return docs.withColumn(ident, F.col("doc_id")).join(found, ident, "left_anti").select(*docs.columns)
+    return docs.withColumn(ident, F.col("doc_id")).join(sized(found), ident, "left_anti").select(*docs.columns)
