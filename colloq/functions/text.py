@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from colloq.functions.expressions import let
+
 WORD = r"[\p{L}\p{N}_]"
 
 # Response patterns and cue lists of the customer-support domain.
@@ -168,10 +170,14 @@ def _any_of(low: Column, words: tuple[str, ...]) -> Column:
 
 def cue(c: Column) -> Column:
     """The first of sorry, contact, ask, thank whose cues occur, else default."""
-    low, out = F.lower(_text(c)), F.lit("default")
-    for name in reversed(CUES):
-        out = F.when(_any_of(low, CUES[name]), F.lit(name)).otherwise(out)
-    return out
+
+    def named(low: Column) -> Column:
+        out = F.lit("default")
+        for name in reversed(CUES):
+            out = F.when(_any_of(low, CUES[name]), F.lit(name)).otherwise(out)
+        return out
+
+    return let(F.lower(_text(c)), named)
 
 
 def cue_set(c: Column) -> Column:
@@ -231,8 +237,17 @@ def strip_code_fence(c: Column) -> Column:
 
 def grounded_body(c: Column, limit: int = 220) -> Column:
     """The sanitised reply, cut at the last space that leaves at most ``limit`` characters."""
-    text = sanitize(c)
-    body = F.regexp_replace(text, r"(?<=[.!?])\s+", " ")
-    short = F.regexp_extract(body, rf"^(?s)(.{{0,{limit}}})(?= )", 1)
-    cut = F.when(F.length(body) <= limit, body).when(short != "", short).when(body.contains(" "), F.element_at(F.split(body, " "), 1)).otherwise(body)
-    return F.when((cut != text) & (cut != "") & ~cut.rlike(r"[.!?]$"), F.concat(cut, F.lit("."))).otherwise(cut)
+
+    def shortened(body: Column) -> Column:
+        short = F.regexp_extract(body, rf"^(?s)(.{{0,{limit}}})(?= )", 1)
+        return F.when(F.length(body) <= limit, body).when(short != "", short).when(body.contains(" "), F.element_at(F.split(body, " "), 1)).otherwise(body)
+
+    def finished(s: Column) -> Column:
+        cut = s["cut"]
+        return F.when((cut != s["text"]) & (cut != "") & ~cut.rlike(r"[.!?]$"), F.concat(cut, F.lit("."))).otherwise(cut)
+
+    def both(text: Column) -> Column:
+        body = let(F.regexp_replace(text, r"(?<=[.!?])\s+", " "), shortened)
+        return let(F.struct(text.alias("text"), body.alias("cut")), finished)
+
+    return let(sanitize(c), both)
