@@ -12,6 +12,8 @@ from colloq.plans.registry import query
 from colloq.session import read
 
 DIGITS = 6
+#: Vector searches ask for every row whose id is divisible by 50, against all rows.
+QUERY_ROWS = "doc_id % 50 = 0"
 TOKENS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_''-]+'), lambda x: length(x) > 1 AND NOT regexp_matches(x, '^\p{{Nd}}+$'))"
 INDEX_SQL = f"""t AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), d AS (SELECT doc_id, len(t) AS dl FROM t), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY 1, 2),
 v AS (SELECT term, count(*) AS df FROM p GROUP BY 1 HAVING count(*) >= 2), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d)"""
@@ -61,7 +63,7 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(rt.tfidf_scores(_index(spark, sf_dir, tokenizer=tx.tfidf_tokens), _items(spark, sf_dir)))
 
 
-DENSE_SQL = "ds AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM embeddings q, embeddings d WHERE q.vec_id < 20)"
+DENSE_SQL = "ds AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)"
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return rt.dense_scores(v, v.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), "embedding"))
+    return rt.dense_scores(v, v.where(QUERY_ROWS).select(F.col("doc_id").alias("query_id"), "embedding"))
 
 
 @query("WITH " + DENSE_SQL + ", r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ds) SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10")
@@ -79,7 +81,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A second, sparse score over the vectors: the sum of their positive coordinates' overlap.
-SPARSE_SQL = "sp AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: CASE WHEN z[1] > 0.1 AND z[2] > 0.1 THEN 1.0 ELSE 0.0 END))::DOUBLE AS score FROM embeddings q, embeddings d WHERE q.vec_id < 20)"
+SPARSE_SQL = "sp AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: CASE WHEN z[1] > 0.1 AND z[2] > 0.1 THEN 1.0 ELSE 0.0 END))::DOUBLE AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)"
 HYBRID_SQL = (
     DENSE_SQL + ", " + SPARSE_SQL
     + """, b AS (SELECT ds.query_id, ds.doc_id, ds.score AS d, sp.score AS s FROM ds JOIN sp USING (query_id, doc_id)),
@@ -93,7 +95,7 @@ def _hybrid(spark: SparkSession, sf_dir: str, alphas: tuple[float, ...]) -> Data
     v = _vectors(spark, sf_dir)
     positive = lambda c: F.transform(c, lambda x: F.when(x > 0.1, F.lit(1.0)).otherwise(F.lit(0.0)))
     flags = v.select("doc_id", positive("embedding").alias("embedding"))
-    sparse = rt.dense_scores(flags, flags.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), "embedding"))
+    sparse = rt.dense_scores(flags, flags.where(QUERY_ROWS).select(F.col("doc_id").alias("query_id"), "embedding"))
     return rt.hybrid_scores(_dense(spark, sf_dir), sparse, alphas)
 
 
@@ -114,7 +116,7 @@ def topk_cutoff_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense search that sees only vectors up to the query's cutoff (id as time) and none of its own label."""
     v = _vectors(spark, sf_dir)
     documents = v.select("doc_id", F.col("doc_id").alias("ts"), F.col("label").alias("group"))
-    queries = v.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), (F.lit(100) + F.col("doc_id")).alias("cutoff"), F.col("label").alias("exclude"))
+    queries = v.where(QUERY_ROWS).select(F.col("doc_id").alias("query_id"), (F.lit(100) + F.col("doc_id")).alias("cutoff"), F.col("label").alias("exclude"))
     return _top(rt.masked(_dense(spark, sf_dir), documents, queries), 5)
 
 
@@ -123,7 +125,7 @@ def index_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.fingerprint(read(spark, sf_dir, "documents"))
 
 
-RANKED_SQL = DENSE_SQL + ", h AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ds WHERE query_id <> doc_id), hits AS (SELECT * FROM h WHERE rank <= 10), gold AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, CASE WHEN d.vec_id % 5 = 0 THEN 2 ELSE 1 END AS level FROM embeddings q, embeddings d WHERE q.vec_id < 20 AND q.vec_id <> d.vec_id AND q.label = d.label)"
+RANKED_SQL = DENSE_SQL + ", h AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ds WHERE query_id <> doc_id), hits AS (SELECT * FROM h WHERE rank <= 10), gold AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, CASE WHEN d.vec_id % 5 = 0 THEN 2 ELSE 1 END AS level FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id AND q.label = d.label)"
 
 
 def _hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -133,7 +135,7 @@ def _hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of a query's label are relevant (level 1), those with an id divisible by five useful (2)."""
     v = _vectors(spark, sf_dir).select("doc_id", "label")
-    q = v.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), "label")
+    q = v.where(QUERY_ROWS).select(F.col("doc_id").alias("query_id"), "label")
     return v.join(q, "label").where("query_id <> doc_id").select("query_id", "doc_id", F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1).alias("level"))
 
 
@@ -167,7 +169,7 @@ def pooled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'dense' AS model, query_id, 'semantic_near_miss' AS mode, CASE WHEN useful_retrieved = 0 THEN 'full_useful_miss' ELSE 'partial_useful_miss' END AS miss_kind, useful_retrieved, useful_total, related_missed FROM m WHERE useful_total > useful_retrieved
 UNION ALL SELECT '(pool)', query_id, 'benchmark_absence', 'no_useful_candidate_in_pool', 0, 0, related_missed FROM m WHERE useful_total = 0""")
 def retrieval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = _vectors(spark, sf_dir).where("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.lit("en").alias("language"))
+    queries = _vectors(spark, sf_dir).where(QUERY_ROWS).select(F.col("doc_id").alias("query_id"), F.lit("en").alias("language"))
     return me.retrieval_failures(_hits(spark, sf_dir).withColumn("model", F.lit("dense")), _gold(spark, sf_dir), queries)
 
 

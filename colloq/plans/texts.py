@@ -184,12 +184,12 @@ def draft_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", policy.draft_auto(F.col("text")).alias("draft"))
 
 
-@query(r"""WITH w AS (SELECT item_id, text, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda x: NOT regexp_matches(x, '^(http|tco)'))) AS w FROM benchmark),
-d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda x: NOT regexp_matches(x, '^(http|tco)'))) AS w FROM documents WHERE source = 'src1')
-SELECT item_id, doc_id, len(list_intersect(w.w, d.w)) >= 2 AS grounded FROM w, d WHERE item_id < 5""")
+@query(
+    "WITH drafts AS (" + _draft_sql() + r"""), w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(draft), '[a-z]{5,}'), lambda x: NOT regexp_matches(x, '^(http|tco)'))) AS a,
+  list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda x: NOT regexp_matches(x, '^(http|tco)'))) AS b FROM drafts JOIN documents USING (doc_id))
+SELECT doc_id, len(list_intersect(a, b)) >= 2 AS grounded FROM w"""
+)
 def grounded_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of five benchmark items against the documents of one source."""
-    items = read(spark, sf_dir, "benchmark").where("item_id < 5").orderBy("item_id").collect()
-    pairs = F.explode(F.array(*[F.struct(F.lit(r.item_id).alias("item_id"), F.lit(r.text).alias("reply")) for r in items]))
-    rows = docs(spark, sf_dir, "doc_id", "text", "source").where("source = 'src1'").select("doc_id", "text", pairs.alias("i"))
-    return rows.select("i.item_id", "doc_id", tx.shares_words(F.col("text"), F.col("i.reply")).alias("grounded"))
+    """Whether each document's draft reuses at least two of its words."""
+    rows = docs(spark, sf_dir).withColumn("draft", policy.draft_auto(F.col("text")))
+    return rows.select("doc_id", tx.shares_words(F.col("draft"), F.col("text")).alias("grounded"))

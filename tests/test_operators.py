@@ -217,3 +217,32 @@ def test_top_two(spark):
     df = spark.createDataFrame([([0.2, 0.5, 0.5],), ([1.0],)], "p array<double>")
     got = [tuple(r[0]) for r in df.select(ml.top_two(F.col("p"))).collect()]
     assert got == [(1, 0.5, 0.0), (0, 1.0, 1.0)]
+
+
+def test_calibration_hits_the_target_rate(spark):
+    rows = spark.createDataFrame([("delivery_delay", i / 10, [(0.5, "r")]) for i in range(1, 10)], "intent string, p double, hits array<struct<score:double,brand_response:string>>")
+    floor = policy.calibrate(rows, 0.25)
+    assert round(floor, 6) == round(0.6 * 0.3 + 0.4 * 0.5, 6)
+    swept = {r.floor: r.n_escalated for r in policy.sweep(rows, [0.0, floor, 1.1]).collect()}
+    assert swept == {0.0: 0, floor: 2, 1.1: 9}
+
+
+def test_results_do_not_depend_on_the_partitions(spark):
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 200)], "src bigint, dst bigint")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append(sorted(map(tuple, graph.connected_components(edges.repartition(int(n))).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+
+
+def test_dense_search_with_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BATCH", 2)
+    monkeypatch.setattr(retrieval, "BROADCAST_BATCHES", 1)
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "doc_id bigint, embedding array<float>")
+    queries = vectors.where("doc_id < 5").withColumnRenamed("doc_id", "query_id")
+    got = scores(retrieval.dense_scores(vectors, queries))
+    assert got == {(q, d): float(q * d + 1) for q in range(5) for d in range(6)}
+    assert retrieval.dense_scores(vectors, queries.limit(0)).count() == 0
