@@ -50,11 +50,11 @@ LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 LATIN_TEXT = re.compile(rf"[\t-\r -~{LATIN}]*")
 LATIN_PATTERN = re.compile(rf" ?[{LATIN}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r 0-9{LATIN}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 ANY_PATTERN = regex.compile(PATTERN)
-TOP_WORDS = 100_000
+TOP_WORDS = 50_000
 MAX_LEXICON_WORD = 64
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 #: Bytes of text whose results are held at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 SHORT = 48
 
 
