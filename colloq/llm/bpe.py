@@ -300,15 +300,16 @@ def share(spark: SparkSession, vocabulary: str, lexicon: bytes | None) -> tuple[
     return uuid.uuid4().hex, spark.sparkContext.broadcast((vocabulary, path, lexicon))
 
 
-def encode(docs: DataFrame, vocabulary: str, top: int = TOP_WORDS, lexicon: bytes | None = None, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, top: int = TOP_WORDS, lexicon: bytes | None = None, with_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (ARRAY<INT>; left out without ``with_ids``), ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
 
-    A column of ``docs`` with one of these names is replaced.
+    A column of ``docs`` with one of these names is replaced. Without ``keep_text`` the text is left out,
+    so that it crosses to the workers once and does not come back.
     """
     key, shared = share(docs.sparkSession, vocabulary, build_lexicon(docs, vocabulary, top) if lexicon is None else lexicon)
     (raw,) = fresh(docs, "t")
     added = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
-    kept = [c for c in docs.columns if c.lower() not in added]
+    kept = [c for c in docs.columns if c.lower() not in added and (keep_text or c.lower() != "text")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, shared)
