@@ -42,8 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The drawn documents with ids, their number and the digests of ids and decoded text, without the text."""
-    encoded = bpe.encode(docs, vocabulary_text())
-    return encoded.drop("text")
+    return bpe.encode(docs, vocabulary_text(), keep_text=False)
 
 
 STAGES = [
