@@ -8,9 +8,10 @@ tested by length, by the position of the shared word and by a 64-bit parity bitm
 a lower bound of the symmetric difference. What remains is verified on the word sets themselves. A
 line goes if an equal or similar line (Jaccard >= 0.8) stands earlier in (doc_id, line number) order.
 
-Only the existence of an earlier match matters, so each class first verifies its most similar earlier
-candidate; only classes without a match yet verify the others. A family of similar lines of any size
-is thus verified in proportion to its size.
+Only the existence of an earlier match matters. Each class is first compared with the earliest class of
+each of its prefix words, which settles most members of a family of similar lines at a cost that is
+linear in its size; only classes without a match yet are compared with every earlier class they share
+a prefix word with.
 
 Defined cases: lines of fewer than ``MIN_WORDS`` (5) different words are never removed; a null text is
 one empty line; rows with one doc_id are one document for the order, so repeated rows keep or lose the
@@ -23,15 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloq.llm.common import fresh
-from colloq.session import cut
+from colloq.llm.common import fresh, let, sized
+from colloq.session import cut, release
 
 MIN_WORDS = 5
 SKETCH_BITS = 18
+ID_BITS = 47
 SPACE = r"[\x20\x09-\x0D]+"
-LAST = (1 << 63) - 1
 KEY = ("k1", "k2", "n")
-LINE = ("doc", "line_no")
+#: Ids that a join may broadcast: 10 MB at 16 bytes each.
+BROADCAST_IDS = 600_000
 
 
 def _bucket(h: Column) -> Column:
@@ -39,107 +41,173 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Rank (0 to 255, logarithmic) of each bucket of word hashes, as a folded array literal."""
+    """Rank (0 to 255, logarithmic) of each bucket of word hashes, above ``ID_BITS`` bits, as a folded array literal."""
+    buckets = 1 << SKETCH_BITS
     words = docs.select(F.explode(F.split("text", SPACE)).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
-    rank = F.least(F.lit(255), F.floor(F.log(F.col("n") + 1) * 8)).cast("int")
-    ranks = [0] * (1 << SKETCH_BITS)
-    for r in counts.select("b", rank.alias("r")).collect():  # at most 2**SKETCH_BITS rows
-        ranks[r.b] = r.r
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    every = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("bigint").alias("n"))
+    rank = F.least(F.lit(255), F.floor(F.log(F.sum("n") + 1) * 8)).cast("bigint")
+    ranked = counts.unionByName(every).groupBy("b").agg(F.shiftleft(rank, ID_BITS).alias("r"))
+    # a list of 2**SKETCH_BITS numbers, whatever the corpus
+    listed = ranked.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "r"))), lambda x: x["r"].cast("string")), ",").alias("r"))
+    return F.split(F.lit(listed.first()["r"]), ",").cast("array<bigint>")
 
 
 def word_set(line: Column) -> Column:
     """64-bit ids of the different words of a line."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    # a literal separator is split without a regular expression; the empty words between separators are removed below
+    words = F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, SPACE)).otherwise(F.split(line, " "))
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def lines_of(docs: DataFrame, ranks: Column) -> DataFrame:
+    """Per line of MIN_WORDS different words: their number, bitmap, 128-bit class key, prefix in rarity order."""
+    each = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    where = ("doc", "line_no")
+    sets = each.select(*where, word_set(F.col("line")).alias("h")).withColumn("n", F.size("h")).where(F.col("n") >= MIN_WORDS)
+    # sorting these ids sorts by rarity: 47 bits of the hash under the rank of its bucket
+    ids = F.transform("h", lambda h: F.coalesce(F.get(ranks, _bucket(h)), F.lit(0).cast("bigint")).bitwiseOR(h.bitwiseAND(F.lit((1 << ID_BITS) - 1))))
+    parity = F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, int(x & 63)))")
+    ordered = sets.select(*where, "n", parity.alias("bitmap"), ids.alias("p")).select(*where, "n", "bitmap", F.sort_array("p").alias("p"))
+    prefix = F.slice("p", F.lit(1), prefix_length(F.col("n")))
+    return ordered.select(F.col("doc"), F.col("line_no").cast("bigint"), F.col("n").cast("bigint"), "bitmap", F.xxhash64("p").alias("k1"), F.xxhash64(F.lit(1), "p").alias("k2"), prefix.alias("prefix"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+def prefix_length(n: Column) -> Column:
+    """A set of n words shares one of its first so many with any set that it is similar to."""
+    return (n - F.floor((4 * n + 4) / 5) + 1).cast("int")
 
 
-def classes_of_lines(docs: DataFrame, ranks: Column) -> DataFrame:
-    """Per line of MIN_WORDS words: class key, prefix in rarity order and bitmap. Materialised."""
-    sets = _lines(docs).withColumn("h", word_set(F.col("line"))).withColumn("n", F.size("h")).where(F.col("n") >= MIN_WORDS)
-    low = F.lit((1 << 47) - 1)
-    packed = F.transform("h", lambda h: F.shiftleft(F.get(ranks, _bucket(h)).cast("bigint"), 47).bitwiseOR(F.shiftrightunsigned(h, 1).bitwiseAND(low)))
-    parity = F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, int(x & 63)))")
-    ordered = sets.select(*LINE, "n", parity.alias("bitmap"), packed.alias("p")).select(*LINE, "n", "bitmap", F.sort_array("p").alias("p"))
-    length = F.col("n") - F.expr("(4 * n + 4) div 5") + 1
-    return cut(ordered.select(*LINE, "n", "bitmap", F.xxhash64("p").alias("k1"), F.xxhash64(F.lit(1), "p").alias("k2"), F.slice("p", F.lit(1), length.cast("int")).alias("prefix")))
-
-
-def candidates(firsts: DataFrame) -> DataFrame:
-    """Pairs of classes (earlier line, later line, bitmap distance) that pass all filters; may repeat."""
-    posted = firsts.select("first", "n", "bitmap", F.posexplode("prefix").alias("at", "word"))
-    a, b = posted.alias("a"), posted.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    need = F.expr("(4 * (a.n + b.n) + 8) div 9")
-    apart = F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap")))
-    passes = (
-        (F.col("a.word") == F.col("b.word"))
-        & (F.col("a.first") < F.col("b.first"))
-        & (5 * F.least(na, nb) >= 4 * F.greatest(na, nb))
-        & (F.least(na - F.col("a.at"), nb - F.col("b.at")) >= need)
-        & (apart <= na + nb - 2 * need)
-    )
-    return a.join(b, passes).select(F.col("b.first").alias("later"), F.col("a.first").alias("earlier"), apart.alias("apart"))
-
-
-def _sets_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(line, h) of the given distinct lines, read again from the texts."""
-    wanted = lines.select("line.doc", "line.line_no").groupBy("doc").agg(F.collect_set("line_no").alias("wanted"))  # lines of one document
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), "text").join(wanted, "doc")
-    each = texts.select("doc", F.explode("wanted").alias("line_no"), F.split("text", "\n").alias("all"))
-    own = each.select("doc", "line_no", F.get("all", F.col("line_no")).alias("t")).where("t is not null")
-    return own.select(F.struct("doc", "line_no").alias("line"), word_set(F.col("t")).alias("h"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+class Places:
+    """(doc_id, line number) in one BIGINT that keeps their order; null doc_ids come last."""
+
+    def __init__(self, lines: DataFrame) -> None:
+        s = lines.agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("line_no").alias("l")).first()
+        self.low, self.high, self.lines = s.a or 0, s.b or 0, (s.l or 0) + 1
+        if (self.high - self.low + 2) * self.lines >= 1 << 63:
+            raise OverflowError("doc_id and line numbers span more than 63 bits; number the documents first")
+
+    def of(self, doc: Column, line_no: Column) -> Column:
+        return (F.coalesce(doc, F.lit(self.high + 1)) - F.lit(self.low)) * F.lit(self.lines) + line_no
+
+    def doc(self, place: Column) -> Column:
+        whole = F.call_function("div", place, F.lit(self.lines).cast("bigint")) + F.lit(self.low)
+        return F.when(whole <= F.lit(self.high), whole)
+
+    def line(self, place: Column) -> Column:
+        return F.pmod(place, F.lit(self.lines))
+
+
+def _posted(classes: DataFrame) -> DataFrame:
+    """A row per class and prefix word: word, first, bitmap, size (number of words and the word's position).
+
+    Dealt out by word here, so that all uses within one plan share one exchange.
+    """
+    each = classes.select("first", "n", "bitmap", F.posexplode("prefix").alias("at", "word"))
+    rows = each.select("word", "first", "bitmap", (F.shiftleft("n", 31) + F.col("at")).alias("size"))
+    # said before the exchange, or else each use adds what it infers and no exchange is shared
+    return rows.where("word is not null and first is not null and bitmap is not null and size is not null").repartition("word")
+
+
+def _passes(earlier: str, later: str) -> tuple[Column, Column]:
+    """The filters for two posted rows of one word (prefixes of their columns), and their bitmap distance."""
+    na, nb = (F.shiftright(f"{x}.size", 31) for x in (earlier, later))
+    ia, ib = (F.col(f"{x}.size").bitwiseAND(F.lit((1 << 31) - 1)) for x in (earlier, later))
+    need = F.floor((4 * (na + nb) + 8) / 9)  # the overlap that a similarity of 0.8 takes
+    apart = F.bit_count(F.col(f"{earlier}.bitmap").bitwiseXOR(F.col(f"{later}.bitmap")))
+    length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
+    position = F.least(na - ia, nb - ib) >= need
+    return (F.col(f"{earlier}.first") < F.col(f"{later}.first")) & length & position & (apart <= na + nb - 2 * need), apart
+
+
+def hub_candidates(firsts: DataFrame) -> DataFrame:
+    """For each class the most alike (later, earlier) among the earliest classes of its prefix words: linear in the postings."""
+    posted = _posted(firsts)
+    hubs = posted.groupBy("word").agg(F.min(F.struct("first", "bitmap", "size")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    passes, apart = _passes("hub", "p")
+    near = posted.alias("p").join(hubs, "word").where(passes)
+    return near.groupBy(F.col("p.first").alias("later")).agg(F.min(F.struct(apart.alias("apart"), F.col("hub.first").alias("earlier"))).alias("c")).select("later", "c.earlier")
+
+
+def candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
+    """Distinct pairs (later, earlier) of classes that pass all filters, for later ones that are not ``settled`` (later)."""
+    posted = _posted(firsts)
+    # an outer join, as a semi or anti join would be pushed below the exchange and double it
+    done = sized(settled.select(F.col("later").alias("first"), F.lit(True).alias("done")))
+    a, b = posted.alias("a"), posted.join(done, "first", "left").where("done is null").drop("done").alias("b")
+    passes, _ = _passes("a", "b")
+    return a.join(b, (F.col("a.word") == F.col("b.word")) & passes).select(F.col("b.first").alias("later"), F.col("a.first").alias("earlier")).distinct()
+
+
+def _sets_of(docs: DataFrame, lines: DataFrame, places: Places) -> DataFrame:
+    """(place, h) of the given distinct lines, read again from the texts of the documents that have them."""
+    spots = lines.select(places.doc(F.col("place")).alias("doc"), places.line(F.col("place")).cast("int").alias("line_no"), "place")
+    key = [F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id")]
+    wanted = spots.groupBy(*key).agg(F.collect_list(F.struct("line_no", "place")).alias("wanted"))  # lines of one document
+    wanted = cut(wanted)
+    # ids alone are short enough to broadcast more of them: then only texts that are wanted are shuffled
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").select(*key, "text")
+    texts = texts.join(sized(wanted.select("none", "id"), BROADCAST_IDS), ["none", "id"], "left_semi").join(sized(wanted), ["none", "id"])
+    picked = let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda x: F.struct(x["place"].alias("place"), F.get(lines, x["line_no"]).alias("line"))))
+    own = texts.select(F.explode(picked).alias("x")).where("x.line is not null")
+    return own.select("x.place", word_set(F.col("x.line")).alias("h"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, places: Places) -> DataFrame:
     """The pairs (later, earlier) whose word sets have a Jaccard similarity of 0.8 or more."""
-    lines = pairs.select(F.explode(F.array("later", "earlier")).alias("line")).distinct()
-    sets = cut(_sets_of(docs, lines))
-    both = pairs.join(sets.select(F.col("line").alias("later"), F.col("h").alias("x")), "later").join(sets.select(F.col("line").alias("earlier"), F.col("h").alias("y")), "earlier")
+    pairs = cut(pairs)
+    lines = pairs.select(F.explode(F.array("later", "earlier")).alias("place")).distinct()
+    sets = cut(_sets_of(docs, lines, places))
+    x, y = sets.select(F.col("place").alias("later"), F.col("h").alias("x")), sets.select(F.col("place").alias("earlier"), F.col("h").alias("y"))
+    both = pairs.join(x, "later").join(y, "earlier")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("later", "earlier").distinct()
 
 
-def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all compared lines: doc, line_no, first; removed ones: doc, line_no, because of)."""
-    lines = classes_of_lines(docs, rarity(docs))
-    place = F.struct("doc", "line_no")
-    firsts = cut(lines.groupBy(*KEY).agg(F.min(place).alias("first"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")))
-    best = cut(candidates(firsts).groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("c"), F.count("*").alias("n")))
-    matched = _verified(docs, best.select("later", "c.earlier"))
-    matched = cut(matched)
-    open_ = best.where("n > 1").join(matched, "later", "left_anti").select("later")
-    # the remaining candidates of classes that have no match yet
-    rest = cut(candidates(firsts).join(open_, "later").select("later", "earlier").distinct().join(best.select("later", "c.earlier"), ["later", "earlier"], "left_anti"))
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc, line_no, by_doc, by_line): the lines to remove and the earlier line that each repeats."""
+    spark = docs.sparkSession
+    lines = cut(lines_of(docs, rarity(docs)))
+    places = Places(lines)
+    lines = lines.withColumn("place", places.of(F.col("doc"), F.col("line_no")))
+    firsts = cut(lines.groupBy(*KEY).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")))
+    lines = cut(lines.select("place", *KEY))
+    release(spark)  # the prefixes of all lines and the shuffle of the classes
+    # most members of a family are alike its earliest member; the others are compared with every earlier class
+    matched = cut(_verified(docs, hub_candidates(firsts), places))
+    release(spark)
+    rest = cut(candidates(firsts, matched))
+    release(spark)
     if not rest.isEmpty():
-        matched = matched.unionByName(_verified(docs, rest))
-    because = cut(matched.groupBy("later").agg(F.min("earlier").alias("earlier")))
-    named = firsts.join(because.withColumnRenamed("later", "first"), "first", "left").select(*KEY, "first", "earlier")
-    all_lines = lines.select(*LINE, *KEY).join(named, list(KEY)).select(*LINE, place.alias("own"), "first", "earlier")
-    gone = all_lines.where((F.col("own") != F.col("first")) | F.col("earlier").isNotNull())
-    cause = F.when(F.col("own") != F.col("first"), F.col("first")).otherwise(F.col("earlier"))
-    return all_lines, gone.select(*LINE, cause.alias("because"))
+        matched = matched.unionByName(_verified(docs, rest, places))
+    similar = matched.groupBy("later").agg(F.min("earlier").alias("cause")).withColumnRenamed("later", "place")
+    # members of a class with several lines, but the first
+    several = cut(firsts.where("first < last").select(*KEY, "first"))
+    equal = lines.select("place", *KEY).join(sized(several), list(KEY)).where("place > first").select("place", F.col("first").alias("cause"))
+    gone = similar.unionByName(equal)
+    return gone.select(places.doc(F.col("place")).alias("doc"), places.line(F.col("place")).alias("line_no"), places.doc(F.col("cause")).alias("by_doc"), places.line(F.col("cause")).alias("by_line"))
+
+
+def _per_document(docs: DataFrame) -> DataFrame:
+    spots = F.struct(F.col("line_no"), F.col("by_doc").alias("by_doc_id"), F.col("by_line").alias("by_line_no"))
+    return removed_lines(docs).groupBy(F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id")).agg(F.array_sort(F.collect_set(spots)).alias("removed"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line number and the doc_id and line number that it repeats)."""
-    _, gone = removed_lines(docs)
-    per_doc = gone.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("line_no", F.col("because.doc").alias("by_doc_id"), F.col("because.line_no").alias("by_line_no")))).alias("removed"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    none = F.array().cast("array<struct<line_no:int,by_doc_id:bigint,by_line_no:int>>")
-    joined = rows.join(per_doc, "doc", "left").withColumn("removed", F.coalesce("removed", none))
-    return joined.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    """doc_id, n_removed, removed (line number and the doc_id and line number that it repeats); one row per input row."""
+    per_doc = _per_document(docs)
+    ident = F.col("doc_id").cast("bigint")
+    rows = docs.select("doc_id", ident.isNull().alias("none"), F.coalesce(ident, F.lit(0)).alias("id"))
+    none = F.array().cast("array<struct<line_no:bigint,by_doc_id:bigint,by_line_no:bigint>>")
+    joined = rows.join(per_doc, ["none", "id"], "left").withColumn("removed", F.coalesce("removed", none))
+    return joined.select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines, other columns as they were; a null text stays null."""
-    _, gone = removed_lines(docs)
-    doc, lines = fresh(docs, "doc", "lines")
-    per_doc = gone.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line_no").alias(lines))
-    marked = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).join(per_doc, doc, "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n")
-    return marked.withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    none, ident, gone = fresh(docs, "none", "id", "gone")
+    per_doc = cut(_per_document(docs).select(F.col("none").alias(none), F.col("id").alias(ident), F.transform("removed", lambda r: r["line_no"]).alias(gone)))
+    own = F.col("doc_id").cast("bigint")
+    marked = docs.withColumns({none: own.isNull(), ident: F.coalesce(own, F.lit(0))}).join(sized(per_doc), [none, ident], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i.cast("bigint"))), "\n")
+    return marked.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

@@ -12,7 +12,7 @@ from colloq.session import read
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.deduplicated(read(spark, sf_dir, "documents"))
     shown = F.transform("removed", lambda r: F.concat_ws(":", r["line_no"].cast("string"), r["by_doc_id"].cast("string"), r["by_line_no"].cast("string")))
-    return rows.select("doc_id", "n_lines", "n_removed", F.array_join(shown, ",").alias("removed"))
+    return rows.select("doc_id", "n_removed", F.array_join(shown, ",").alias("removed"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, vocabulary_text(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs, vocabulary_text(), with_ids=False, keep_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_simhash, op4_exact_dedup, op5_chat_formatting, op6_url_filters, op7_mixing, op8_toxicity, op9_token_counts, op10_bpe)}
