@@ -171,18 +171,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     places = Places(lines)
     lines = lines.withColumn("place", places.of(F.col("doc"), F.col("line_no")))
     firsts = cut(lines.groupBy(*KEY).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")))
+    # members of a class with several lines go, but the first
+    several = cut(firsts.where("first < last").select(*KEY, "first"))
     lines = cut(lines.select("place", *KEY))
     release(spark)  # the prefixes of all lines and the shuffle of the classes
     # most members of a family are alike its earliest member; the others are compared with every earlier class
     matched = cut(_verified(docs, hub_candidates(firsts), places))
     release(spark)
     rest = cut(candidates(firsts, matched))
+    del firsts
     release(spark)
     if not rest.isEmpty():
         matched = matched.unionByName(_verified(docs, rest, places))
     similar = matched.groupBy("later").agg(F.min("earlier").alias("cause")).withColumnRenamed("later", "place")
-    # members of a class with several lines, but the first
-    several = cut(firsts.where("first < last").select(*KEY, "first"))
     equal = lines.select("place", *KEY).join(sized(several), list(KEY)).where("place > first").select("place", F.col("first").alias("cause"))
     gone = similar.unionByName(equal)
     return gone.select(places.doc(F.col("place")).alias("doc"), places.line(F.col("place")).alias("line_no"), places.doc(F.col("cause")).alias("by_doc"), places.line(F.col("cause")).alias("by_line"))
