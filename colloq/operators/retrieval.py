@@ -19,7 +19,8 @@ from colloq.functions import numbers as nu
 from colloq.functions import text as tx
 from colloq.session import cut
 
-MAX_TERMS = 200_000
+#: The reference's BM25 vocabulary, for callers who ask for a cut one: ``fit(..., max_terms=BM25_TERMS)``.
+BM25_TERMS = 500_000
 BATCH = 256
 BROADCAST_BATCHES = 32
 
@@ -46,13 +47,15 @@ class LexicalIndex:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "documents")), meta.n_docs, meta.avgdl)
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer=tx.tokens, min_df: int = 2, max_terms: int = MAX_TERMS) -> LexicalIndex:
-    """Tokenise once, keep terms in at least ``min_df`` documents (the ``max_terms`` most frequent of them)."""
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer=tx.tokens, min_df: int = 2, max_terms: int | None = None) -> LexicalIndex:
+    """Tokenise once, keep all terms in at least ``min_df`` documents, or with ``max_terms`` the most frequent of them."""
     tokens = docs.select(F.col(doc_id).alias("doc_id"), tokenizer(F.col(text)).alias("t"))
     documents = cut(tokens.select("doc_id", F.size("t").cast("bigint").alias("dl")))
     postings = tokens.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     postings = cut(postings)
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).orderBy(F.desc("df"), "term").limit(max_terms)
+    terms = postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    if max_terms is not None:
+        terms = terms.orderBy(F.desc("df"), "term").limit(max_terms)
     totals = documents.agg(F.count("*").alias("n"), F.avg("dl").alias("a")).first()
     return LexicalIndex(postings, cut(terms), documents, totals.n, totals.a or 0.0)
 
