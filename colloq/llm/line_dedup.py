@@ -13,8 +13,9 @@ each of its prefix words, which settles most members of a family of similar line
 linear in its size; only classes without a match yet are compared with every earlier class they share
 a prefix word with.
 
-Defined cases: lines of fewer than ``MIN_WORDS`` (5) different words are never removed; a null text is
-one empty line; rows with one doc_id are one document for the order, so repeated rows keep or lose the
+Defined cases: lines without a word are never removed, nor are lines of fewer than ``min_words``
+different words, an option (the registered query has 1, every line with a word; the functions' own
+default is ``MIN_WORDS``, 5); a null text is one empty line; rows with one doc_id are one document for the order, so repeated rows keep or lose the
 same lines; null doc_ids come last in the order and count as one document; an empty table gives an
 empty result; other columns are kept by :func:`clean` and never collide.
 """
@@ -28,6 +29,8 @@ from colloq.llm.common import fresh, let, sized
 from colloq.session import cut, release
 
 MIN_WORDS = 5
+#: A set of fewer words is similar to no set but its equal (4 words may stand in a set of 5: 4/5 = 0.8).
+POSTED_WORDS = 4
 SKETCH_BITS = 18
 ID_BITS = 47
 SPACE = r"[\x20\x09-\x0D]+"
@@ -60,16 +63,16 @@ def word_set(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def lines_of(docs: DataFrame, ranks: Column) -> DataFrame:
-    """Per line of MIN_WORDS different words: their number, bitmap, 128-bit class key, prefix in rarity order."""
+def lines_of(docs: DataFrame, ranks: Column, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per line of ``min_words`` different words, at least one: their number, bitmap, 128-bit class key, prefix in rarity order."""
     each = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     where = ("doc", "line_no")
-    sets = each.select(*where, word_set(F.col("line")).alias("h")).withColumn("n", F.size("h")).where(F.col("n") >= MIN_WORDS)
+    sets = each.select(*where, word_set(F.col("line")).alias("h")).withColumn("n", F.size("h")).where(F.col("n") >= max(1, min_words))
     # sorting these ids sorts by rarity: 47 bits of the hash under the rank of its bucket
     ids = F.transform("h", lambda h: F.coalesce(F.get(ranks, _bucket(h)), F.lit(0).cast("bigint")).bitwiseOR(h.bitwiseAND(F.lit((1 << ID_BITS) - 1))))
     parity = F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, int(x & 63)))")
     ordered = sets.select(*where, "n", parity.alias("bitmap"), ids.alias("p")).select(*where, "n", "bitmap", F.sort_array("p").alias("p"))
-    prefix = F.slice("p", F.lit(1), prefix_length(F.col("n")))
+    prefix = F.slice("p", F.lit(1), F.when(F.col("n") < POSTED_WORDS, F.lit(0)).otherwise(prefix_length(F.col("n"))))
     return ordered.select(F.col("doc"), F.col("line_no").cast("bigint"), F.col("n").cast("bigint"), "bitmap", F.xxhash64("p").alias("k1"), F.xxhash64(F.lit(1), "p").alias("k2"), prefix.alias("prefix"))
 
 
@@ -164,10 +167,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, places: Places) -> DataFrame:
     return both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("later", "earlier").distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, line_no, by_doc, by_line): the lines to remove and the earlier line that each repeats."""
     spark = docs.sparkSession
-    lines = cut(lines_of(docs, rarity(docs)))
+    lines = cut(lines_of(docs, rarity(docs), min_words))
     places = Places(lines)
     lines = lines.withColumn("place", places.of(F.col("doc"), F.col("line_no")))
     firsts = cut(lines.groupBy(*KEY).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")))
@@ -189,14 +192,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.select(places.doc(F.col("place")).alias("doc"), places.line(F.col("place")).alias("line_no"), places.doc(F.col("cause")).alias("by_doc"), places.line(F.col("cause")).alias("by_line"))
 
 
-def _per_document(docs: DataFrame) -> DataFrame:
+def _per_document(docs: DataFrame, min_words: int) -> DataFrame:
     spots = F.struct(F.col("line_no"), F.col("by_doc").alias("by_doc_id"), F.col("by_line").alias("by_line_no"))
-    return removed_lines(docs).groupBy(F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id")).agg(F.array_sort(F.collect_set(spots)).alias("removed"))
+    return removed_lines(docs, min_words).groupBy(F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id")).agg(F.array_sort(F.collect_set(spots)).alias("removed"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_removed, removed (line number and the doc_id and line number that it repeats); one row per input row."""
-    per_doc = _per_document(docs)
+    per_doc = _per_document(docs, min_words)
     ident = F.col("doc_id").cast("bigint")
     rows = docs.select("doc_id", ident.isNull().alias("none"), F.coalesce(ident, F.lit(0)).alias("id"))
     none = F.array().cast("array<struct<line_no:bigint,by_doc_id:bigint,by_line_no:bigint>>")
@@ -204,10 +207,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the removed lines, other columns as they were; a null text stays null."""
     none, ident, gone = fresh(docs, "none", "id", "gone")
-    per_doc = cut(_per_document(docs).select(F.col("none").alias(none), F.col("id").alias(ident), F.transform("removed", lambda r: r["line_no"]).alias(gone)))
+    per_doc = cut(_per_document(docs, min_words).select(F.col("none").alias(none), F.col("id").alias(ident), F.transform("removed", lambda r: r["line_no"]).alias(gone)))
     own = F.col("doc_id").cast("bigint")
     marked = docs.withColumns({none: own.isNull(), ident: F.coalesce(own, F.lit(0))}).join(sized(per_doc), [none, ident], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i.cast("bigint"))), "\n")

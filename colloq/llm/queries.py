@@ -10,7 +10,7 @@ from colloq.session import read
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.deduplicated(read(spark, sf_dir, "documents"))
+    rows = line_dedup.deduplicated(read(spark, sf_dir, "documents"), min_words=1)
     shown = F.transform("removed", lambda r: F.concat_ws(":", r["line_no"].cast("string"), r["by_doc_id"].cast("string"), r["by_line_no"].cast("string")))
     return rows.select("doc_id", "n_removed", F.array_join(shown, ",").alias("removed"))
 
