@@ -5,7 +5,8 @@ decision of their aliases: urls joined by canonical-link, meta-refresh or redire
 canonical form of the url itself (scheme, ``www.``/``m.`` host prefix, query, fragment, ``.html`` and
 trailing slash do not name another document), form connected components. An explicit allow of any
 member allows the undecided members of its component; else an explicit block of any member blocks
-them; else they are allowed.
+them; else they are allowed. Ends of edges that are no pages count too: rules judge them as they judge pages.
+Relative link targets are those of the page's own url.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, has no
 aliases and is allowed; repeated rows are judged alike; an empty table gives an empty result.
@@ -75,14 +76,36 @@ def canonical_form(host: Column, path: Column) -> Column:
 
 
 def linked_forms(html: Column) -> Column:
-    """Absolute targets of canonical links and meta refreshes in a page."""
+    """Targets of canonical links and meta refreshes in a page, as written."""
     canonical = F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*\brel=[\"']?canonical\b[^>]*>"), 0)
     refresh = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*\bhttp-equiv=[\"']?refresh\b[^>]*>"), 0)
     tags = F.concat(F.coalesce(canonical, F.array().cast("array<string>")), F.coalesce(refresh, F.array().cast("array<string>")))
-    targets = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)(?:href=|url=)[\"']?([^\"'>\s]*://[^\"'>\s]*)", 1))
+    targets = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)(?:\bhref|\burl)\s*=\s*[\"']?([^\"'>\s]+)", 1))
     return F.filter(targets, lambda t: t != "")
 
 
+def resolved(target: Column, url: Column) -> Column:
+    """``target`` as an absolute url, relative to ``url``; null if it has another scheme than a web page's."""
+    scheme, authority = F.regexp_extract(url, r"^(.*?)://", 1), F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    ref = F.regexp_extract(target, r"^([^?#]*)", 1)  # queries and fragments do not name another document
+    joined = F.when(ref == "", path).when(ref.startswith("/"), ref).otherwise(F.concat(folder, ref))
+    # dot segments: names are kept unless a later ".." takes them back
+    names = F.aggregate(
+        F.slice(F.split(joined, "/"), 2, 1 << 30),
+        F.array().cast("array<string>"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)),
+    )
+    end = F.when(joined.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    plain = F.concat(authority, F.when(joined == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(names, "/"), end)))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), plain)
+    )
+
+
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the alias component's representative.
 
@@ -90,21 +113,25 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[Url
     """
     host, path = url_parts(F.col("url"))
     html = F.col("html") if "html" in pages.columns else F.lit(None).cast("string")
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"), linked_forms(html).alias("targets"))
+    parsed = pages.select("page_id", host.alias("host"), path.alias("path"), F.transform(linked_forms(html), lambda t: resolved(t, F.col("url"))).alias("targets"))
     parsed = parsed.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)).withColumn("form", canonical_form(F.col("host"), F.col("path")))
     parsed = cut(parsed.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"), "form", "targets"))
 
-    target_host, target_path = url_parts(F.col("target"))
-    edges = parsed.where(F.size("targets") > 0).select("form", F.explode("targets").alias("target")).select(F.col("form").alias("a"), canonical_form(target_host, target_path).alias("b"))
+    def end(url: Column) -> Column:
+        host, path = url_parts(url)
+        return F.struct(canonical_form(host, path).alias("form"), best_rule(host, path, rules)["verdict"].alias("ruled"))
+
+    own = F.struct("form", "ruled")
+    edges = parsed.where(F.size("targets") > 0).select(own.alias("a"), F.explode("targets").alias("target")).select("a", end(F.col("target")).alias("b"))
     if redirects is not None:
-        ends = redirects.select(*[canonical_form(*url_parts(F.col(c))).alias(n) for c, n in (("src", "a"), ("dst", "b"))])
-        edges = edges.unionByName(ends)
-    edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"))
+        edges = edges.unionByName(redirects.select(end(F.col("src")).alias("a"), end(F.col("dst")).alias("b")))
+    links = cut(edges.where("a.form is not null and b.form is not null"))
+    edges = links.select(F.xxhash64("a.form").alias("src"), F.xxhash64("b.form").alias("dst"))
     alias = connected_components(edges).select(F.col("node").alias("form_id"), F.col("component").alias("linked"))
 
-    # pages of one form are one node, so a form of any size is one row here; targets that are no pages
-    # themselves may still carry a rule through the edge's other end only
-    forms = parsed.where(F.col("form").isNotNull()).groupBy(F.xxhash64("form").alias("form_id")).agg(
+    # pages and edge ends of one form are one node, so a form of any size is one row here
+    ends = links.select(F.explode(F.array("a", "b")).alias("e")).select("e.form", "e.ruled")
+    forms = parsed.where(F.col("form").isNotNull()).select("form", "ruled").unionByName(ends).groupBy(F.xxhash64("form").alias("form_id")).agg(
         F.max(F.col("ruled") == "allow").alias("allowed"), F.max(F.col("ruled") == "block").alias("blocked")
     )
     forms = forms.join(alias, "form_id", "left").withColumn("alias_id", F.coalesce("linked", "form_id"))

@@ -4,7 +4,7 @@ import random
 
 from helpers import table, words
 
-from colloq.llm import line_dedup, queries
+from colloq.llm import line_dedup, queries, url_filters
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +35,26 @@ def test_the_query_removes_short_lines(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = queries.op1_line_dedup(spark, SF).collect()
     assert {(r.doc_id, int(x.split(":")[0])) for r in got for x in r.removed.split(",") if x} == removed(rows)
+
+
+def test_rules_judge_link_ends_that_are_no_pages(spark):
+    """Uncrawled targets of links and redirects carry their rules; relative targets are those of the page."""
+    canonical, refresh = '<link rel="canonical" href="{}">'.format, "<meta http-equiv='refresh' content='0; url={}'>".format
+    rows = [
+        (1, "http://a.it/1", canonical("http://z.org/es/1")),
+        (2, "http://b.it/1", None),
+        (3, "http://c.it/1", None),
+        (4, "http://d.org/fr/1?q=1", canonical("/es/2")),
+        (5, "http://e.org/es2/x/1", refresh("../../es/./3")),
+        (6, "https://f.it/1", refresh("//z.org/es/9")),
+        (7, "http://g.it/1", canonical("mailto:x@z.org")),
+        (8, "http://h.it", canonical("1.html")),
+        (9, "http://i.it/1", canonical("https://z.org/fr/1")),
+        (10, "http://j.it/a/1", canonical("2")),
+        (11, "http://j.it/a/2", canonical("http://z.org/es/5")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    redirects = spark.createDataFrame([("http://b.it/1", "http://z.org/es/2"), ("http://c.it/1", "http://z.net/de/1"), ("http://c.it/1", "http://z.org/es/3"), (None, "http://z.org/es/4")], "src string, dst string")
+    got = {r.page_id: r.verdict for r in url_filters.judge(pages, redirects).collect()}
+    assert len(got) == len(rows)
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow", 10: "block", 11: "block"}
