@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloq.llm.common import let
+from colloq.session import cut
 
 END = "<|end|>"
 DONOR_BLOCK = 1024
@@ -31,19 +32,39 @@ def _turns(conversations: DataFrame) -> DataFrame:
     return one.select("conv_id", "turn", "said.role", "said.text")
 
 
-def swapped_replies(conversations: DataFrame) -> DataFrame:
+def _next_replies(last: DataFrame) -> DataFrame:
+    """conv_id, until, other: the last reply of the next conversation by conv_id, around the end of the table.
+
+    Conversations are sorted into ranges; the last one of a range takes the first of the next range.
+    """
+    placed = cut(last.repartitionByRange("conv_id").select("conv_id", "last", F.spark_partition_id().alias("range")))
+    heads = placed.groupBy("range").agg(F.min(F.struct("conv_id", F.col("last.text").alias("text"))).alias("head"))
+    around = Window.orderBy("head.conv_id")  # one row per range
+    heads = heads.select("range", F.coalesce(F.lead("head").over(around), F.first("head").over(around)).alias("after"))
+    own = F.struct("conv_id", F.col("last.text").alias("text"))
+    within = F.lead(own).over(Window.partitionBy("range").orderBy("conv_id"))
+    donors = placed.select("range", "conv_id", F.col("last.turn").alias("until"), within.alias("next")).join(F.broadcast(heads), "range")
+    donors = donors.select("conv_id", "until", F.coalesce("next", "after").alias("donor"))
+    return donors.where("donor.conv_id <> conv_id").select("conv_id", "until", F.col("donor.text").alias("other"))
+
+
+def swapped_replies(conversations: DataFrame, block: int | None = DONOR_BLOCK) -> DataFrame:
     """Pairs for a table without preferences: each conversation up to its last assistant turn is chosen;
     the same with that turn's text replaced by the last reply of the next conversation is rejected.
 
-    "Next" is by conv_id within blocks of 1024 ids, around the end; a conversation alone in its block, or
-    without an assistant turn, makes no pair. Gives (pair_id, side, turn, role, text).
+    "Next" is by conv_id, around the end: among all conversations with ``block=None`` (as in the registered query),
+    else within blocks of so many ids. A conversation without an assistant turn, or the only one of its block or
+    of the table, makes no pair. Gives (pair_id, side, turn, role, text).
     """
     turns = _turns(conversations)
     last = turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    block = Window.partitionBy(F.floor(F.col("conv_id") / DONOR_BLOCK))
-    ring = block.orderBy("conv_id")
-    other = F.coalesce(F.lead("last.text").over(ring), F.first("last.text").over(ring))
-    donors = last.select("conv_id", F.col("last.turn").alias("until"), other.alias("other"), F.count("*").over(block).alias("n")).where("n > 1")
+    if block is None:
+        donors = _next_replies(last)
+    else:
+        ids = Window.partitionBy(F.floor(F.col("conv_id") / block))
+        ring = ids.orderBy("conv_id")
+        other = F.coalesce(F.lead("last.text").over(ring), F.first("last.text").over(ring))
+        donors = last.select("conv_id", F.col("last.turn").alias("until"), other.alias("other"), F.count("*").over(ids).alias("n")).where("n > 1")
     rows = turns.join(donors, "conv_id").where("turn <= until")
     sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text")), F.struct(F.lit("rejected").alias("side"), F.when(F.col("turn") == F.col("until"), F.col("other")).otherwise(F.col("text")).alias("text")))
     return rows.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(sides).alias("s")).select("pair_id", "s.side", "turn", "role", "s.text")

@@ -32,7 +32,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
-    return chat_formatting.format_preferences(chat_formatting.swapped_replies(turns))
+    return chat_formatting.format_preferences(chat_formatting.swapped_replies(turns, block=None))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

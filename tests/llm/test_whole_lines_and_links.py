@@ -58,3 +58,15 @@ def test_rules_judge_link_ends_that_are_no_pages(spark):
     got = {r.page_id: r.verdict for r in url_filters.judge(pages, redirects).collect()}
     assert len(got) == len(rows)
     assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow", 10: "block", 11: "block"}
+
+
+def test_sparse_conversations_make_pairs(spark, tmp_path):
+    """Ids over 1,024 apart, negative ones included: each takes the next one's reply, the last one the first's."""
+    ids = [-(1 << 62), -5000, 3, *range(10_000, 10_000 + 5000 * 40, 5000), 1 << 62]
+    rows = [(c, t, r, f"{r} {c}") for c in ids for t, r in enumerate(("user", "assistant"))]
+    said = spark.createDataFrame([*rows, (4, 0, "user", "no reply")], "conv_id bigint, turn bigint, role string, text string")
+    said.write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    got = {r.pair_id: r.rejected for r in queries.op5_chat_formatting(spark, str(tmp_path / "many")).collect()}
+    assert got == {c: f"<|assistant|>\nassistant {d}<|end|>\n" for c, d in zip(ids, [*ids[1:], ids[0]], strict=True)}
+    said.where("conv_id = 3").write.parquet(str(tmp_path / "one" / "conversations.parquet"))
+    assert queries.op5_chat_formatting(spark, str(tmp_path / "one")).count() == 0
