@@ -139,7 +139,7 @@ def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A language classifier fitted on the documents that have labels says what all documents are."""
     rows = ml.with_ngrams(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")))
     labelled = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
-    return ml.weak_labels(ml.text_classifier(rows.join(labelled, "id"), iterations=20, max_terms=20_000), rows)
+    return ml.weak_labels(ml.text_classifier(rows.join(labelled, "id"), iterations=1200, min_df=1), rows)
 
 
 @query(None)
