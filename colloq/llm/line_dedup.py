@@ -1,79 +1,93 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words. Lines with equal sets are one class, named by its first line; classes
-are then joined: words are ordered by rarity (corpus counts of all documents in ``2**SKETCH_BITS``
-hashed buckets, so the order needs a table of fixed size; any total order is exact, rarity makes it
-fast), each class is posted under the first words of its order (prefix filter), and posted pairs are
-tested by length, by the position of the shared word and by a 64-bit parity bitmap, whose distance is
-a lower bound of the symmetric difference. What remains is verified on the word sets themselves. A
-line goes if an equal or similar line (Jaccard >= 0.8) stands earlier in (doc_id, line number) order.
-
-Only the existence of an earlier match matters. Each class is first compared with the earliest class of
-each of its prefix words, which settles most members of a family of similar lines at a cost that is
-linear in its size; only classes without a match yet are compared with every earlier class they share
-a prefix word with.
+A line is the set of its words. Words are ordered by rarity (corpus counts of all documents in
+``2**SKETCH_BITS`` hashed buckets, so the order needs a table of fixed size; any total order is exact,
+rarity makes it fast). Lines with equal sets are one class, named by its first line. Each class is posted
+under the first words of its order (prefix filter), and classes that share a posted word are tested by
+length, by the position of the shared word and by a 64-bit parity bitmap of their ``HEAD`` rarest words,
+whose distance is bounded for similar sets. What remains is verified on the words themselves, read again
+from the texts. A line goes if an equal or similar line (Jaccard >= 0.8) stands earlier in (document, line)
+order.
+
+Only the existence of an earlier match matters. Classes that share a word posted by at most ``CROWD``
+classes are compared with each other, so a posting costs at most ``CROWD`` comparisons. Classes that share
+a more common posted word (a large family of similar lines) are first compared with the earliest class of
+that word, which settles most of a family at a cost linear in its size; only those without a match yet
+are then compared with every earlier class of the word. Both ways read one exchange of the postings.
 
 Defined cases: lines without a word are never removed, nor are lines of fewer than ``min_words``
-different words, an option (the registered query has 1, every line with a word; the functions' own
-default is ``MIN_WORDS``, 5); a null text is one empty line; rows with one doc_id are one document for the order, so repeated rows keep or lose the
-same lines; null doc_ids come last in the order and count as one document; an empty table gives an
-empty result; other columns are kept by :func:`clean` and never collide.
+different words (1 by default: every line with a word); lines of fewer than four words are similar to
+their equals alone; a null text is one empty line; rows are told apart by doc_id, or where doc_ids
+repeat or are null by doc_id and text, so rows equal in both keep or lose the same lines; documents stand
+in the order of doc_id, nulls last, ties by a hash of the text; very long lines and texts are taken whole;
+an empty table gives an empty result; other columns are kept by :func:`clean` and never collide.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloq.llm.common import fresh, let, sized
-from colloq.session import cut, release
+from colloq.llm.common import fresh, sized
+from colloq.session import cut, drop_table, release, write_table
 
-MIN_WORDS = 5
 #: A set of fewer words is similar to no set but its equal (4 words may stand in a set of 5: 4/5 = 0.8).
 POSTED_WORDS = 4
 SKETCH_BITS = 18
-ID_BITS = 47
+RANK_SHIFT = 48
+#: Words in the parity bitmap.
+HEAD = 24
+#: Classes that share a posted word and are all compared with each other.
+CROWD = 128
 SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 KEY = ("k1", "k2", "n")
-#: Ids that a join may broadcast: 10 MB at 16 bytes each.
-BROADCAST_IDS = 600_000
+#: Rows of a few numbers that a join may broadcast: 10 MB at 16 bytes, or at 40 bytes for classes.
+BROADCAST_PLACES = 600_000
+BROADCAST_CLASSES = 250_000
+
+
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit((1 << SKETCH_BITS) - 1))
+
+
+def _odd(text: Column) -> Column:
+    """Whether other white space than spaces and line ends is in a text."""
+    return F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+
 
+def _each_line(docs: DataFrame, *columns: str) -> DataFrame:
+    """line_no, line, odd and the given columns, a row per line."""
+    flagged = docs.select(*columns, "text", _odd(F.col("text")).alias("odd"))
+    return flagged.select(*columns, "odd", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int")
+
+def _words() -> Column:
+    """The words of a line, with empty ones at repeated separators."""
+    # a literal separator is split without a regular expression
+    return F.when(F.col("odd"), F.split("line", SPACE)).otherwise(F.split("line", " "))
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Rank (0 to 255, logarithmic) of each bucket of word hashes, above ``ID_BITS`` bits, as a folded array literal."""
-    buckets = 1 << SKETCH_BITS
-    words = docs.select(F.explode(F.split("text", SPACE)).alias("w"))
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("bigint").alias("n"))
-    rank = F.least(F.lit(255), F.floor(F.log(F.sum("n") + 1) * 8)).cast("bigint")
-    ranked = counts.unionByName(every).groupBy("b").agg(F.shiftleft(rank, ID_BITS).alias("r"))
-    # a list of 2**SKETCH_BITS numbers, whatever the corpus
-    listed = ranked.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "r"))), lambda x: x["r"].cast("string")), ",").alias("r"))
-    return F.split(F.lit(listed.first()["r"]), ",").cast("array<bigint>")
-
-
-def word_set(line: Column) -> Column:
-    """64-bit ids of the different words of a line."""
-    # a literal separator is split without a regular expression; the empty words between separators are removed below
-    words = F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, SPACE)).otherwise(F.split(line, " "))
-    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-
-
-def lines_of(docs: DataFrame, ranks: Column, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per line of ``min_words`` different words, at least one: their number, bitmap, 128-bit class key, prefix in rarity order."""
-    each = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    where = ("doc", "line_no")
-    sets = each.select(*where, word_set(F.col("line")).alias("h")).withColumn("n", F.size("h")).where(F.col("n") >= max(1, min_words))
-    # sorting these ids sorts by rarity: 47 bits of the hash under the rank of its bucket
-    ids = F.transform("h", lambda h: F.coalesce(F.get(ranks, _bucket(h)), F.lit(0).cast("bigint")).bitwiseOR(h.bitwiseAND(F.lit((1 << ID_BITS) - 1))))
-    parity = F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, int(x & 63)))")
-    ordered = sets.select(*where, "n", parity.alias("bitmap"), ids.alias("p")).select(*where, "n", "bitmap", F.sort_array("p").alias("p"))
-    prefix = F.slice("p", F.lit(1), F.when(F.col("n") < POSTED_WORDS, F.lit(0)).otherwise(prefix_length(F.col("n"))))
-    return ordered.select(F.col("doc"), F.col("line_no").cast("bigint"), F.col("n").cast("bigint"), "bitmap", F.xxhash64("p").alias("k1"), F.xxhash64(F.lit(1), "p").alias("k2"), prefix.alias("prefix"))
+    """Rank (-128 to 127, logarithmic in the count) of each bucket of words, as a folded array literal."""
+    words = _each_line(docs).select(F.explode(_words()).alias("w"))
+    counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
+    rank = F.least(F.lit(255), F.floor(F.log(F.col("n") + 1) * 8)) - 128
+    # at most 2**SKETCH_BITS numbers, whatever the corpus
+    listed = counts.agg(F.array_join(F.collect_list(F.concat_ws(" ", "b", rank)), " ").alias("r")).first()["r"]
+    pairs = listed.split()
+    ranks = ["-128"] * (1 << SKETCH_BITS)
+    for bucket, found in zip(pairs[::2], pairs[1::2], strict=True):
+        ranks[int(bucket)] = found
+    return F.split(F.lit(",".join(ranks)), ",").cast("array<bigint>")
+
+
+def _word_id(ranks: Column, word: Column) -> Column:
+    """47 bits of the word's hash under the rank of its bucket: sorting ids sorts by rarity."""
+    return F.shiftleft(F.get(ranks, _bucket(word)), RANK_SHIFT).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 17))
 
 
 def prefix_length(n: Column) -> Column:
@@ -81,137 +95,269 @@ def prefix_length(n: Column) -> Column:
     return (n - F.floor((4 * n + 4) / 5) + 1).cast("int")
 
 
+def _bitmap() -> Column:
+    """Parity of the ``HEAD`` first ids by their low six bits, spelled out as a lambda would be interpreted.
+
+    Many more terms would make the generated method too long for the JVM to compile.
+    """
+    bits = [F.expr(f"coalesce(shiftleft(1L, int(get(p, {i}) & 63)), 0L)") for i in range(HEAD)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseXOR(b)
+    return out
+
+
+def lines_of(docs: DataFrame, ranks: Column) -> DataFrame:
+    """Per line with a word: doc, line_no, number of words, bitmap, 128-bit class key, prefix in rarity order."""
+    each = _each_line(docs, "doc").where(F.col("line").rlike(WORD))
+    where = (F.col("doc"), F.col("line_no").cast("bigint").alias("line_no"))
+    ids = F.sort_array(F.array_distinct(F.transform(_words(), lambda w: _word_id(ranks, w))))
+    sets = each.select(*where, F.array_remove(ids, _word_id(ranks, F.lit(""))).alias("p"))
+    n = F.size("p")
+    prefix = F.slice("p", F.lit(1), F.when(n < POSTED_WORDS, F.lit(0)).otherwise(prefix_length(n)))
+    return sets.select("doc", "line_no", n.cast("bigint").alias("n"), _bitmap().alias("bitmap"), F.xxhash64("p").alias("k1"), F.xxhash64(F.lit(1), "p").alias("k2"), prefix.alias("prefix"))
+
+
+@dataclass(frozen=True)
+class Numbered:
+    """Documents as (doc, text): ``doc`` is doc_id itself, or a row number where doc_ids don't tell rows apart.
+
+    ``names`` (doc, doc_id, check) says what the numbers stand for; None if they are the doc_ids.
+    """
+
+    docs: DataFrame
+    names: DataFrame | None = None
+
+    @classmethod
+    def of(cls, docs: DataFrame, again: bool = False) -> Numbered:
+        """``again``: number the rows even if the doc_ids tell them apart."""
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text")
+        if not again and rows.where("doc is null").isEmpty() and rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return cls(rows)
+        check = F.xxhash64(F.coalesce("text", F.lit("")))
+        found = rows.select("doc", check.alias("check")).distinct()
+        spread = cut(found.repartitionByRange(F.col("doc").asc_nulls_last(), "check").select("doc", "check", F.spark_partition_id().alias("part")))
+        # ranges follow each other, so a rank is the place in the range behind the rows of earlier ranges
+        before = spread.groupBy("part").agg(F.count("*").alias("rows"))
+        before = before.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))  # one row per partition
+        place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("doc").asc_nulls_last(), "check")) - 1
+        names = cut(spread.withColumn("place", place).join(F.broadcast(before), "part").select((F.col("place") + F.col("before")).alias("doc"), F.col("doc").alias("doc_id"), "check"))
+        key = (F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id"))
+        named = names.select("doc", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "check")
+        # equal rows are one document
+        once = rows.select(*key, check.alias("check"), "text").join(named, ["none", "id", "check"]).groupBy("doc").agg(F.first("text").alias("text"))
+        return cls(once, names)
+
+
+@dataclass(frozen=True)
 class Places:
-    """(doc_id, line number) in one BIGINT that keeps their order; null doc_ids come last."""
+    """(doc, line number) in one BIGINT that keeps their order."""
 
-    def __init__(self, lines: DataFrame) -> None:
+    low: int
+    high: int
+    lines: int
+
+    @classmethod
+    def of(cls, lines: DataFrame) -> Places:
         s = lines.agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("line_no").alias("l")).first()
-        self.low, self.high, self.lines = s.a or 0, s.b or 0, (s.l or 0) + 1
-        if (self.high - self.low + 2) * self.lines >= 1 << 63:
-            raise OverflowError("doc_id and line numbers span more than 63 bits; number the documents first")
+        return cls(s.a or 0, s.b or 0, (s.l or 0) + 1)
 
-    def of(self, doc: Column, line_no: Column) -> Column:
-        return (F.coalesce(doc, F.lit(self.high + 1)) - F.lit(self.low)) * F.lit(self.lines) + line_no
+    @property
+    def fit(self) -> bool:
+        return (self.high - self.low + 1) * self.lines < 1 << 63
 
-    def doc(self, place: Column) -> Column:
-        whole = F.call_function("div", place, F.lit(self.lines).cast("bigint")) + F.lit(self.low)
-        return F.when(whole <= F.lit(self.high), whole)
+    def of_line(self, doc: Column, line_no: Column) -> Column:
+        return (doc - F.lit(self.low)) * F.lit(self.lines) + line_no
 
-    def line(self, place: Column) -> Column:
-        return F.pmod(place, F.lit(self.lines))
+    def spot(self, place: Column) -> tuple[Column, Column]:
+        return F.call_function("div", place, F.lit(self.lines).cast("bigint")) + F.lit(self.low), F.pmod(place, F.lit(self.lines))
 
 
 def _posted(classes: DataFrame) -> DataFrame:
-    """A row per class and prefix word: word, first, bitmap, size (number of words and the word's position).
-
-    Dealt out by word here, so that all uses within one plan share one exchange.
-    """
+    """A row per class and prefix word: word, first, bitmap, n (words), rest (words from this one on)."""
     each = classes.select("first", "n", "bitmap", F.posexplode("prefix").alias("at", "word"))
-    rows = each.select("word", "first", "bitmap", (F.shiftleft("n", 31) + F.col("at")).alias("size"))
-    # said before the exchange, or else each use adds what it infers and no exchange is shared
-    return rows.where("word is not null and first is not null and bitmap is not null and size is not null").repartition("word")
+    return each.select("word", "first", "bitmap", "n", (F.col("n") - F.col("at")).alias("rest"))
 
 
 def _passes(earlier: str, later: str) -> tuple[Column, Column]:
     """The filters for two posted rows of one word (prefixes of their columns), and their bitmap distance."""
-    na, nb = (F.shiftright(f"{x}.size", 31) for x in (earlier, later))
-    ia, ib = (F.col(f"{x}.size").bitwiseAND(F.lit((1 << 31) - 1)) for x in (earlier, later))
-    need = F.floor((4 * (na + nb) + 8) / 9)  # the overlap that a similarity of 0.8 takes
+    na, nb, ra, rb = (F.col(f"{x}.{c}") for c in ("n", "rest") for x in (earlier, later))
     apart = F.bit_count(F.col(f"{earlier}.bitmap").bitwiseXOR(F.col(f"{later}.bitmap")))
+    need = 4 * (na + nb)  # nine times the overlap that a similarity of 0.8 takes
     length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
-    position = F.least(na - ia, nb - ib) >= need
-    return (F.col(f"{earlier}.first") < F.col(f"{later}.first")) & length & position & (apart <= na + nb - 2 * need), apart
+    position = 9 * F.least(ra, rb) >= need
+    # of the HEAD first words of two sets, at most as many differ on either side as of the whole larger set
+    return (F.col(f"{earlier}.first") < F.col(f"{later}.first")) & (9 * apart <= 18 * F.greatest(na, nb) - 2 * need) & length & position, apart
 
 
-def hub_candidates(firsts: DataFrame) -> DataFrame:
-    """For each class the most alike (later, earlier) among the earliest classes of its prefix words: linear in the postings."""
-    posted = _posted(firsts)
-    hubs = posted.groupBy("word").agg(F.min(F.struct("first", "bitmap", "size")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+def _crowded(classes: DataFrame) -> DataFrame:
+    """Words posted by more than ``CROWD`` classes, with the earliest of these (the word's hub)."""
+    # the bucket of such a word counts as many at least, so its rank says which words to count
+    known = F.shiftright("word", RANK_SHIFT) >= F.lit(int(math.log(CROWD + 2) * 8) - 128)
+    counts = _posted(classes).where(known).groupBy("word").agg(F.count("*").alias("members"), F.min("first").alias("first")).where(F.col("members") > CROWD)
+    # the hub's other columns are fetched by a join, so that the counts stay fixed-width
+    hubs = _posted(classes).join(sized(cut(counts.select("word", "first")), BROADCAST_CLASSES), ["word", "first"])
+    return cut(hubs.select("word", F.struct("first", "bitmap", "n", "rest").alias("hub")))
+
+
+def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(later, earlier) of the rows of ``b`` and ``a`` that share a word and pass the filters."""
+    a, b = a.alias("a"), b.alias("b")
+    passes, _ = _passes("a", "b")
+    return a.join(b, (F.col("a.word") == F.col("b.word")) & passes).select(F.col("b.first").alias("later"), F.col("a.first").alias("earlier"))
+
+
+def candidates(classes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Pairs (later, earlier) that pass all filters: every pair of a word that is not crowded, and each class of a
+    crowded word with the most alike of its hubs."""
+    words = sized(crowded, BROADCAST_CLASSES)
+    posted = _posted(classes)
+    cold = posted.join(words.select("word"), "word", "left_anti")
     passes, apart = _passes("hub", "p")
-    near = posted.alias("p").join(hubs, "word").where(passes)
-    return near.groupBy(F.col("p.first").alias("later")).agg(F.min(F.struct(apart.alias("apart"), F.col("hub.first").alias("earlier"))).alias("c")).select("later", "c.earlier")
+    near = posted.alias("p").join(words, "word").where(passes)
+    hubs = near.groupBy(F.col("p.first").alias("later")).agg(F.min(F.struct(apart.alias("apart"), F.col("hub.first").alias("earlier"))).alias("c")).select("later", "c.earlier")
+    return _pairs(cold, cold).unionByName(hubs).distinct()
+
+
+def _hot(classes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The postings of crowded words, with their classes' prefixes."""
+    each = classes.select("first", "n", "bitmap", "prefix", F.posexplode("prefix").alias("at", "word"))
+    posted = each.select("word", "first", "bitmap", "n", (F.col("n") - F.col("at")).alias("rest"), "prefix")
+    return posted.join(sized(crowded.select("word"), BROADCAST_PLACES), "word", "left_semi")
+
+
+def _enough(earlier: str, later: str) -> tuple[Column, Column]:
+    """Whether two prefixes share enough words, and how many they share.
+
+    Of two sets, all words up to the smaller of the last prefix words are in the prefixes, so they share no more
+    than their prefixes do, and what the set with that last word has behind it.
+    """
+    (na, pa), (nb, pb) = ((F.col(f"{x}.n"), F.col(f"{x}.prefix")) for x in (earlier, later))
+    shared = F.size(F.array_intersect(pa, pb))
+    behind = F.when(F.element_at(pa, -1) <= F.element_at(pb, -1), na - F.size(pa)).otherwise(nb - F.size(pb))
+    return 9 * (shared + behind) >= 4 * (na + nb), shared
 
 
-def candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
-    """Distinct pairs (later, earlier) of classes that pass all filters, for later ones that are not ``settled`` (later)."""
-    posted = _posted(firsts)
-    # an outer join, as a semi or anti join would be pushed below the exchange and double it
-    done = sized(settled.select(F.col("later").alias("first"), F.lit(True).alias("done")))
-    a, b = posted.alias("a"), posted.join(done, "first", "left").where("done is null").drop("done").alias("b")
+def crowded_candidates(hot: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs (later, earlier, shared) of crowded words whose later class is not ``settled`` (later); adaptive execution
+    splits their exchange."""
+    done = sized(cut(settled.select(F.col("later").alias("first")).distinct()), BROADCAST_PLACES)
+    a, b = hot.alias("a"), hot.join(done, "first", "left_anti").alias("b")
     passes, _ = _passes("a", "b")
-    return a.join(b, (F.col("a.word") == F.col("b.word")) & passes).select(F.col("b.first").alias("later"), F.col("a.first").alias("earlier")).distinct()
-
-
-def _sets_of(docs: DataFrame, lines: DataFrame, places: Places) -> DataFrame:
-    """(place, h) of the given distinct lines, read again from the texts of the documents that have them."""
-    spots = lines.select(places.doc(F.col("place")).alias("doc"), places.line(F.col("place")).cast("int").alias("line_no"), "place")
-    key = [F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id")]
-    wanted = spots.groupBy(*key).agg(F.collect_list(F.struct("line_no", "place")).alias("wanted"))  # lines of one document
-    wanted = cut(wanted)
-    # ids alone are short enough to broadcast more of them: then only texts that are wanted are shuffled
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").select(*key, "text")
-    texts = texts.join(sized(wanted.select("none", "id"), BROADCAST_IDS), ["none", "id"], "left_semi").join(sized(wanted), ["none", "id"])
-    picked = let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda x: F.struct(x["place"].alias("place"), F.get(lines, x["line_no"]).alias("line"))))
-    own = texts.select(F.explode(picked).alias("x")).where("x.line is not null")
-    return own.select("x.place", word_set(F.col("x.line")).alias("h"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, places: Places) -> DataFrame:
-    """The pairs (later, earlier) whose word sets have a Jaccard similarity of 0.8 or more."""
-    pairs = cut(pairs)
-    lines = pairs.select(F.explode(F.array("later", "earlier")).alias("place")).distinct()
-    sets = cut(_sets_of(docs, lines, places))
-    x, y = sets.select(F.col("place").alias("later"), F.col("h").alias("x")), sets.select(F.col("place").alias("earlier"), F.col("h").alias("y"))
-    both = pairs.join(x, "later").join(y, "earlier")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("later", "earlier").distinct()
-
-
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, line_no, by_doc, by_line): the lines to remove and the earlier line that each repeats."""
-    spark = docs.sparkSession
-    lines = cut(lines_of(docs, rarity(docs), min_words))
-    places = Places(lines)
-    lines = lines.withColumn("place", places.of(F.col("doc"), F.col("line_no")))
-    firsts = cut(lines.groupBy(*KEY).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")))
-    # members of a class with several lines go, but the first
-    several = cut(firsts.where("first < last").select(*KEY, "first"))
-    lines = cut(lines.select("place", *KEY))
-    release(spark)  # the prefixes of all lines and the shuffle of the classes
-    # most members of a family are alike its earliest member; the others are compared with every earlier class
-    matched = cut(_verified(docs, hub_candidates(firsts), places))
-    release(spark)
-    rest = cut(candidates(firsts, matched))
-    del firsts
-    release(spark)
-    if not rest.isEmpty():
-        matched = matched.unionByName(_verified(docs, rest, places))
-    similar = matched.groupBy("later").agg(F.min("earlier").alias("cause")).withColumnRenamed("later", "place")
-    equal = lines.select("place", *KEY).join(sized(several), list(KEY)).where("place > first").select("place", F.col("first").alias("cause"))
-    gone = similar.unionByName(equal)
-    return gone.select(places.doc(F.col("place")).alias("doc"), places.line(F.col("place")).alias("line_no"), places.doc(F.col("cause")).alias("by_doc"), places.line(F.col("cause")).alias("by_line"))
+    enough, shared = _enough("a", "b")
+    near = a.join(b, (F.col("a.word") == F.col("b.word")) & passes).where(enough)
+    return near.select(F.col("b.first").alias("later"), F.col("a.first").alias("earlier"), shared.alias("shared")).distinct()
 
 
-def _per_document(docs: DataFrame, min_words: int) -> DataFrame:
-    spots = F.struct(F.col("line_no"), F.col("by_doc").alias("by_doc_id"), F.col("by_line").alias("by_line_no"))
-    return removed_lines(docs, min_words).groupBy(F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id")).agg(F.array_sort(F.collect_set(spots)).alias("removed"))
+def _prefixed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(later, earlier, shared): the pairs whose prefixes share enough words."""
+    sets = classes.select("first", "n", "prefix")
+    both = pairs.join(sets.alias("b"), F.col("later") == F.col("b.first")).join(sets.alias("a"), F.col("earlier") == F.col("a.first"))
+    enough, shared = _enough("a", "b")
+    return both.where(enough).select("later", "earlier", shared.alias("shared"))
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_removed, removed (line number and the doc_id and line number that it repeats); one row per input row."""
-    per_doc = _per_document(docs, min_words)
+def _sets_of(documents: Numbered, places: Places, wanted: DataFrame) -> DataFrame:
+    """(place, words) of the given distinct lines, read again from the documents."""
+    each = _each_line(documents.docs, "doc").select(places.of_line(F.col("doc"), F.col("line_no")).alias("place"), "line", "odd")
+    return each.join(sized(wanted, BROADCAST_PLACES), "place").select("place", F.array_remove(F.array_distinct(_words()), "").alias("words"))
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (later, earlier) whose sets of words have a Jaccard similarity of 0.8 or more; at least one for each
+    ``later`` that has any. The pair with the most shared prefix words is looked at first."""
+    x, y = (sets.select(F.col("place").alias(side), F.col("words").alias(name)) for side, name in (("later", "x"), ("earlier", "y")))
+
+    def similar(some: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect("x", "y"))
+        both = some.join(x, "later").join(y, "earlier")
+        return cut(both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("later", "earlier"))
+
+    best = similar(pairs.groupBy("later").agg(F.max_by("earlier", "shared").alias("earlier")))
+    rest = pairs.select("later", "earlier").join(best.select("later"), "later", "left_anti")
+    return best.unionByName(similar(rest))
+
+
+def removed_lines(documents: Numbered, min_words: int = 1) -> DataFrame:
+    """(doc, line_no, by_doc, by_line): the lines to remove and the earlier line that each repeats."""
+    docs, spark = documents.docs, documents.docs.sparkSession
+    lines = write_table(lines_of(docs, rarity(docs)))
+    places = Places.of(lines)
+    if not places.fit:
+        raise OverflowError("doc_id and line numbers span more than 63 bits")
+    table = lines.where(F.col("n") >= min_words).select(places.of_line(F.col("doc"), F.col("line_no")).alias("place"), *KEY, "bitmap", "prefix")
+    several = cut(table.groupBy(*KEY).agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    release(spark)
+    small = several.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    # hot classes are split by adaptive execution: the exchange serves this join alone
+    table = table.join(F.broadcast(several) if small else several, list(KEY), "left").select("place", F.coalesce("first", "place").alias("first"), "n", "bitmap", "prefix")
+    if not small:  # a join that costs an exchange is made once
+        table = write_table(table)
+    classes = table.where((F.col("place") == F.col("first")) & (F.col("n") >= POSTED_WORDS)).select("first", "n", "bitmap", "prefix")
+    crowded = _crowded(classes)
+    pairs = cut(_prefixed(candidates(classes, crowded), classes))
+    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("place"))
+    if families := not crowded.isEmpty():
+        hot = write_table(_hot(classes, crowded))
+        wanted = wanted.unionByName(hot.select(F.col("first").alias("place")))
+    sets = write_table(_sets_of(documents, places, cut(wanted.distinct())))
+    release(spark)  # the exchanges of the postings
+    matched = _verified(sets, pairs)
+    if families:
+        matched = matched.unionByName(_verified(sets, cut(crowded_candidates(hot, matched))))
+        drop_table(hot)
+    equal = table.where("place <> first").select("place", F.col("first").alias("cause"))
+    similar = matched.groupBy(F.col("later").alias("place")).agg(F.min("earlier").alias("cause"))
+    gone = cut(similar.unionByName(equal))
+    for written in {lines, sets} if small else {lines, table, sets}:
+        drop_table(written)
+    (doc, line_no), (by_doc, by_line) = places.spot(F.col("place")), places.spot(F.col("cause"))
+    return gone.select(doc.alias("doc"), line_no.alias("line_no"), by_doc.alias("by_doc"), by_line.alias("by_line"))
+
+
+def _per_document(docs: DataFrame, min_words: int) -> tuple[Numbered, DataFrame]:
+    """The numbered documents, and (doc, removed): the removed lines of a document (as many as it has), if it has any."""
+    documents = Numbered.of(docs)
+    try:
+        gone = removed_lines(documents, min_words)
+    except OverflowError:  # very sparse doc_ids
+        documents = Numbered.of(docs, again=True)
+        gone = removed_lines(documents, min_words)
+    if documents.names is None:
+        gone = gone.withColumn("by_doc_id", F.col("by_doc"))
+    else:
+        gone = gone.join(documents.names.select(F.col("doc").alias("by_doc"), F.col("doc_id").alias("by_doc_id")), "by_doc")
+    spots = F.struct("line_no", "by_doc_id", F.col("by_line").alias("by_line_no"))
+    return documents, gone.groupBy("doc").agg(F.array_sort(F.collect_list(spots)).alias("removed"))
+
+
+def _with_number(docs: DataFrame, documents: Numbered, name: str) -> DataFrame:
+    """``docs`` with the number of each row's document in column ``name``."""
     ident = F.col("doc_id").cast("bigint")
-    rows = docs.select("doc_id", ident.isNull().alias("none"), F.coalesce(ident, F.lit(0)).alias("id"))
+    if documents.names is None:
+        return docs.withColumn(name, ident)
+    none, key, check = fresh(docs.withColumn(name, F.lit(0)), "none", "key", "check")
+    marked = docs.withColumns({none: ident.isNull(), key: F.coalesce(ident, F.lit(0)), check: F.xxhash64(F.coalesce("text", F.lit("")))})
+    names = documents.names.select(F.col("doc").alias(name), F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0)).alias(key), F.col("check").alias(check))
+    return marked.join(names, [none, key, check]).drop(none, key, check)
+
+
+def deduplicated(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """doc_id, n_removed, removed (line number and the doc_id and line number that it repeats); one row per input row."""
+    documents, per_doc = _per_document(docs, min_words)
+    rows = _with_number(docs.select("doc_id", "text"), documents, "doc").select("doc_id", "doc")
     none = F.array().cast("array<struct<line_no:bigint,by_doc_id:bigint,by_line_no:bigint>>")
-    joined = rows.join(per_doc, ["none", "id"], "left").withColumn("removed", F.coalesce("removed", none))
+    joined = rows.join(per_doc, "doc", "left").withColumn("removed", F.coalesce("removed", none))
     return joined.select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def clean(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """``docs`` without the removed lines, other columns as they were; a null text stays null."""
-    none, ident, gone = fresh(docs, "none", "id", "gone")
-    per_doc = cut(_per_document(docs, min_words).select(F.col("none").alias(none), F.col("id").alias(ident), F.transform("removed", lambda r: r["line_no"]).alias(gone)))
-    own = F.col("doc_id").cast("bigint")
-    marked = docs.withColumns({none: own.isNull(), ident: F.coalesce(own, F.lit(0))}).join(sized(per_doc), [none, ident], "left")
+    number, gone = fresh(docs, "number", "gone")
+    documents, per_doc = _per_document(docs, min_words)
+    per_doc = cut(per_doc.select(F.col("doc").alias(number), F.transform("removed", lambda r: r["line_no"]).alias(gone)))
+    if (per_doc.agg(F.sum(F.size(gone) + 2).alias("numbers")).first()["numbers"] or 0) <= BROADCAST_PLACES:
+        per_doc = F.broadcast(per_doc)
+    marked = _with_number(docs, documents, number).join(per_doc, number, "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i.cast("bigint"))), "\n")
     return marked.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

@@ -31,6 +31,39 @@ def test_short_lines_match_brute_force(spark):
     assert gone == removed(rows) and {(101, 0), (103, 0)} <= gone and (103, 1) not in gone
 
 
+def test_crowded_words_match_brute_force(spark, monkeypatch):
+    """With crowds of three, families go through their words' hubs first, and the rest is compared with all."""
+    monkeypatch.setattr(line_dedup, "CROWD", 2)
+    rnd = random.Random(7)
+    vocab = [f"w{i}" for i in range(40)]
+    bases = [rnd.sample(vocab, 12) for _ in range(6)]
+    rows = []
+    for d in range(70):
+        x = list(rnd.choice(bases))
+        for _ in range(rnd.randint(0, 3)):
+            x[rnd.randrange(len(x))] = rnd.choice(vocab)
+        rows.append((d, " ".join(x)))
+    got = line_dedup.deduplicated(table(spark, rows))
+    assert {(r.doc_id, x.line_no) for r in got.collect() for x in r.removed} == removed(rows)
+
+
+def test_rows_that_ids_do_not_tell_apart(spark):
+    """Rows with one doc_id or none are documents of their own; equal rows share their fate."""
+    rows = [(1, "a b c d e\nsame line"), (1, "q r s\nsame line"), (None, "e d c b a\nown"), (None, "z z2"), (None, "z z2"), (5, "same line")]
+    docs = table(spark, rows)
+    got = sorted((r.doc_id or 99, r.n_removed) for r in line_dedup.deduplicated(docs).collect())
+    assert got == [(1, 0), (1, 1), (5, 1), (99, 0), (99, 0), (99, 1)]
+    texts = sorted(r.text for r in line_dedup.clean(docs).collect())
+    assert texts in (sorted(["a b c d e\nsame line", "q r s", "own", "z z2", "z z2", ""]), sorted(["a b c d e", "q r s\nsame line", "own", "z z2", "z z2", ""]))
+
+
+def test_very_sparse_ids_and_long_texts(spark):
+    long = "\n".join(f"line {i} of many different lines" for i in range(3000))
+    rows = [(-(1 << 62), "x y"), (3, long), (1 << 62, "y x\n" + "w " * 100_000 + "v"), ((1 << 62) + 1, "v w")]
+    got = {r.doc_id: [(x.line_no, x.by_doc_id) for x in r.removed] for r in line_dedup.deduplicated(table(spark, rows)).collect()}
+    assert got[-(1 << 62)] == [] and got[1 << 62] == [(0, -(1 << 62))] and got[(1 << 62) + 1] == [(0, 1 << 62)]
+
+
 def test_the_query_removes_short_lines(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = queries.op1_line_dedup(spark, SF).collect()
