@@ -7,17 +7,30 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloq.session import cut
+
 
 def portable_hash(c: Column, multiplier: int = 2654435761, modulus: int = 1000003) -> Column:
     """(id * multiplier) mod modulus: an order that other SQL engines can repeat."""
     return F.pmod(c * F.lit(multiplier), F.lit(modulus))
 
 
+def ranked_rows(rows: DataFrame, order: Sequence[Column], rank: str) -> DataFrame:
+    """``rows`` with their place (from 1) in a total order, without one task that sorts them all.
+
+    Rows are dealt into ranges of the order; a place is that within the range behind the rows of earlier ranges.
+    """
+    placed = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # one row a range
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return placed.withColumn(rank, within).join(F.broadcast(before), "__range").withColumn(rank, F.col(rank) + F.col("__before")).drop("__range", "__before")
+
+
 def split_groups(rows: DataFrame, group: str, shares: Mapping[str, float], order: Column) -> DataFrame:
     """``split`` per row such that no group is in two: groups in ``order``, cut at rounded (half-even) shares; the last split takes the rest."""
-    groups = rows.select(group).where(F.col(group).isNotNull()).distinct()
+    groups = ranked_rows(rows.select(group).where(F.col(group).isNotNull()).distinct(), [order, F.col(group)], "__place")
     n = groups.count()
-    ranked = groups.withColumn("__place", F.row_number().over(Window.orderBy(order, group)))
     upto, split = 0, F.lit(list(shares)[-1])
     bounds = []
     for name, share in list(shares.items())[:-1]:
@@ -25,7 +38,7 @@ def split_groups(rows: DataFrame, group: str, shares: Mapping[str, float], order
         bounds.append((name, upto))
     for name, bound in reversed(bounds):
         split = F.when(F.col("__place") <= bound, F.lit(name)).otherwise(split)
-    return rows.join(ranked.select(group, split.alias("split")), group)
+    return rows.join(groups.select(group, split.alias("split")), group)
 
 
 def sample_rows(rows: DataFrame, n: int, order: Column, key: str) -> DataFrame:
@@ -56,32 +69,32 @@ def first_long_enough(rows: DataFrame, group: str, text: str, order: Sequence[st
     return one_per_group(rows, group, [fits.desc(), *[F.col(c) for c in order]])
 
 
-def exact_quota(sizes: Mapping[str, int], want: int, other: str = "_other") -> dict[str, int]:
-    """Proportional quotas of at least 1, adjusted until they add up to ``want`` or no group has more."""
-    ordered = dict(sorted(sizes.items(), key=lambda x: -x[1]))
-    total = max(1, sum(ordered.values()))
-    quota = {k: max(1, round(want * v / total)) for k, v in ordered.items()}
-    while sum(quota.values()) != want and quota:
-        if sum(quota.values()) > want:
-            spare = [k for k in quota if k != other and quota[k] > 1] or list(quota)
-            quota[spare[-1]] -= 1
-        else:
-            room = [k for k in ordered if quota[k] < ordered[k]]
-            if not room:
-                break
-            quota[room[0]] += 1
-    return quota
+def quotas(rows: DataFrame, stratum: str, want: int) -> DataFrame:
+    """(stratum, size, quota): quotas that add up to ``want``, or to all rows if there are fewer.
+
+    The ``want`` largest strata get one row each (ties: the smaller name); what is left of ``want`` is apportioned to the
+    sizes less these rows by largest remainders (ties: the larger stratum, then the smaller name). Integers throughout.
+    """
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("size"))
+    # windows over the strata, one row each
+    largest = Window.orderBy(F.desc("size"), F.col(stratum).asc_nulls_last())
+    first = sizes.withColumn("one", F.when(F.row_number().over(largest) <= want, 1).otherwise(0).cast("bigint"))
+    every = Window.partitionBy()
+    shared = first.withColumns({"left": F.greatest(F.lit(0), F.least(F.lit(want), F.sum("size").over(every)) - F.sum("one").over(every)), "open": F.col("size") - F.col("one")})
+    shared = shared.withColumn("all_open", F.greatest(F.lit(1), F.sum("open").over(every)))
+    parts = shared.withColumns({"whole": F.expr("left * open div all_open"), "over": F.expr("left * open % all_open")})
+    missing = F.col("left") - F.sum("whole").over(every)
+    by_remainder = Window.orderBy(F.desc("over"), F.desc("size"), F.col(stratum).asc_nulls_last())
+    extra = F.when((F.row_number().over(by_remainder) <= missing) & (F.col("over") > 0), 1).otherwise(0)
+    return parts.select(stratum, "size", (F.col("one") + F.col("whole") + extra).alias("quota"))
 
 
 def quota_pick(rows: DataFrame, stratum: str, want: int, order: Sequence[Column]) -> DataFrame:
-    """Stratified pick that adds up to ``want``; strata sizes are a small table."""
-    sizes = {r[stratum]: r["n"] for r in rows.groupBy(stratum).agg(F.count("*").alias("n")).collect()}
-    quota = exact_quota(sizes, want)
-    limit = F.lit(0)
-    for k, q in quota.items():
-        limit = F.when(F.col(stratum).eqNullSafe(F.lit(k)), F.lit(q)).otherwise(limit)
-    w = Window.partitionBy(stratum).orderBy(*order)
-    return rows.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= limit).drop("__place")
+    """Stratified pick of exactly ``want`` rows (or all): of each stratum the first of ``order``, as many as its quota."""
+    limits = quotas(rows, stratum, want).select(F.col(stratum).alias("__stratum"), "quota")
+    ranked = rows.withColumn("__place", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+    picked = ranked.join(limits, F.col(stratum).eqNullSafe(F.col("__stratum"))).where(F.col("__place") <= F.col("quota"))
+    return picked.drop("__place", "__stratum", "quota")
 
 
 def in_several(sets: Mapping[str, DataFrame], key: str) -> DataFrame:
@@ -94,6 +107,17 @@ def in_several(sets: Mapping[str, DataFrame], key: str) -> DataFrame:
     return found.where(F.size("sets") > 1).select(key, F.size("sets").cast("bigint").alias("n_sets"), F.array_join("sets", ",").alias("sets"))
 
 
+def pairwise_overlaps(sets: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """(a, b, n): how many different keys each two of the named tables share, zero included; names in the given order."""
+    place = {name: i for i, name in enumerate(sets)}
+    pairs = [(a, b) for a in place for b in place if place[a] < place[b]]
+    found = in_several(sets, key).select(F.split("sets", ",").alias("sets"))
+    each = F.filter(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]), lambda p: F.array_contains("sets", p["a"]) & F.array_contains("sets", p["b"]))
+    counts = found.select(F.explode(each).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    every = found.sparkSession.createDataFrame(pairs, "a string, b string")
+    return every.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 class OverlapError(ValueError):
     """Two sets that must be disjoint are not."""
 
@@ -124,6 +148,6 @@ def violations(rows: DataFrame, domains: Mapping[str, Sequence[str]]) -> DataFra
 
 
 def representativeness(sample: DataFrame, whole: DataFrame, value: str) -> DataFrame:
-    """Mean and median of a sample beside those of the corpus."""
-    stat = lambda df, name: df.agg(F.lit(name).alias("population"), F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"))
+    """Mean, median, least and greatest of a sample beside those of the corpus."""
+    stat = lambda df, name: df.agg(F.lit(name).alias("population"), F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"))
     return stat(sample, "sample").unionByName(stat(whole, "corpus"))
