@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloq.functions import numbers as nu
+from colloq.operators.retrieval import top_k
+from colloq.session import cut
 
 RELEVANT, USEFUL = 1, 2
 
@@ -35,10 +37,9 @@ def retrieval_summary(per_query: DataFrame, digits: int = 6) -> DataFrame:
     return per_query.agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), digits).alias(c) for c in recalls], F.round(F.avg("reciprocal_rank"), digits).alias("mrr"), F.round(F.avg(F.col("none_in_5").cast("double")), digits).alias("no_relevant_at_5"))
 
 
-def refilled(hits: DataFrame, flag: str, k: int) -> DataFrame:
-    """The k best hits per query without flagged ones, ranked anew."""
-    w = Window.partitionBy("query_id").orderBy("rank")
-    return hits.where(~F.col(flag)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def refilled(scores: DataFrame, flag: str, k: int, digits: int | None = None) -> DataFrame:
+    """The k best (query_id, doc_id, score) per query once flagged ones are dropped, so that lower ones move up."""
+    return top_k(scores.where(~F.col(flag)), k, digits=digits)
 
 
 def class_metrics(rows: DataFrame, gold: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
@@ -64,6 +65,31 @@ def classification_summary(rows: DataFrame, gold: str, pred: str, by: Sequence[s
     )
 
 
+def on_shared_labels(rows: DataFrame, gold: str, vocabulary: DataFrame) -> DataFrame:
+    """Rows whose gold label is in ``vocabulary(label)``."""
+    return rows.join(vocabulary.select(F.col("label").alias(gold)).distinct(), gold, "left_semi")
+
+
+def learning_curve(rows: DataFrame, size: str, gold: str, pred: str, vocabulary: DataFrame, digits: int = 6) -> DataFrame:
+    """Per training size the scores on all rows and on those whose label every model knows."""
+    whole = classification_summary(rows, gold, pred, [size], digits).select(size, F.lit("all").alias("subset"), "n", "accuracy", "macro_f1", "weighted_f1")
+    shared = classification_summary(on_shared_labels(rows, gold, vocabulary), gold, pred, [size], digits)
+    return whole.unionByName(shared.select(size, F.lit("shared").alias("subset"), "n", "accuracy", "macro_f1", "weighted_f1"))
+
+
+def misclassified(rows: DataFrame, gold: str, pred: str, key: str, limit: int | None = None) -> DataFrame:
+    """Rows whose prediction is not the gold label, by id; ``limit`` of them if asked for."""
+    wrong = rows.where(~F.col(gold).eqNullSafe(F.col(pred))).orderBy(key)
+    return wrong.limit(limit) if limit is not None else wrong
+
+
+def sliced(rows: DataFrame, **wanted: str) -> DataFrame:
+    """Rows equal to all of the wanted values, such as subset, model and input."""
+    for column, value in wanted.items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    return rows
+
+
 def confusion(rows: DataFrame, gold: str, pred: str, labels: Sequence) -> DataFrame:
     """Label by label, in a fixed order of columns, with zeros."""
     return rows.groupBy(gold).pivot(pred, list(labels)).agg(F.count(F.lit(1))).na.fill(0)
@@ -124,20 +150,36 @@ def agreement_summary(rows: DataFrame, flags: Sequence[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *[F.avg(F.col(f).cast("double")).alias(f"{f}_rate") for f in flags])
 
 
+def rater_summary(rows: DataFrame, first: str, again: str, other: str) -> DataFrame:
+    """Rates of a rater's verdicts, of the same rater asked again and of another; how often the rater agrees with either,
+    and the gap between the two rates. Nulls are left out of each rate and agreement."""
+    agree = lambda a, b: F.avg((F.col(a) == F.col(b)).cast("double"))
+    rate = lambda c: F.avg(F.col(c).cast("double"))
+    return rows.agg(F.count("*").alias("n"), rate(first).alias("rate"), rate(again).alias("rate_again"), rate(other).alias("rate_other"), agree(first, again).alias("self_agreement"), agree(first, other).alias("agreement")).withColumn("gap", F.col("rate") - F.col("rate_other"))
+
+
+def latency(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean and interpolated 95th percentile of timings."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("avg"), F.percentile(value, F.lit(0.95)).alias("p95"))
+
+
 def order_statistics(rows: DataFrame, value: str, share: float) -> DataFrame:
     """Floor-index, half-even-index and interpolated quantile of one column.
 
-    The two indexed ones are found by counting: the values are counted, and the running count of the
-    distinct values (sorted, without the rows) is searched.
+    The two indexed ones are found by counting: the different values are ranked in ranges, and the running count
+    (that of earlier ranges, then of smaller values of the range) is searched; no task sees all of them.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    running = counts.select(value, F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    placed = cut(counts.repartitionByRange(value).withColumn("__range", F.spark_partition_id()))
+    sizes = placed.groupBy("__range").agg(F.sum("n").alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("total"))  # one row a range
+    within = F.sum("n").over(Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    running = placed.withColumn("within", within).join(F.broadcast(before), "__range").select(value, (F.col("within") + F.col("__before")).alias("upto"), "total")
     at = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
     last = F.col("total") - 1
     indexed = running.agg(at(F.floor(F.lit(share) * last)).alias("floor_index"), at(F.bround(F.lit(share) * last)).alias("rounded_index"))
-    exact = rows.agg(F.percentile(value, F.lit(share)).alias("interpolated")).withColumn("__one", F.lit(1))
-    return indexed.join(exact, F.lit(1) == F.col("__one")).drop("__one")
+    exact = rows.agg(F.percentile(value, F.lit(share)).alias("interpolated"))
+    return indexed.crossJoin(F.broadcast(exact))  # one row each
 
 
 def retrieval_failures(hits: DataFrame, judgements: DataFrame, queries: DataFrame, k: int = 5, headline: str = "dense") -> DataFrame:

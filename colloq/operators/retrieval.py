@@ -1,118 +1,243 @@
 """Lexical, dense and hybrid retrieval for batches of queries.
 
-An index is a set of tables: postings (doc_id, term, tf), terms (term, df, idf), documents (doc_id, dl).
-A batch of queries is a table too; scoring is one equi-join on the term and one aggregation, so all
-queries share a pass over the postings. Queries are joined as they are: adaptive execution broadcasts
-them while they are small and shuffles by term otherwise. Top-k is a window that Spark limits per task
-before its shuffle. Ties go to the smaller doc_id.
+An index is a set of tables: postings (doc_id, dl, term, tf), terms (term, df), documents (doc_id, dl). They
+are built when they are first asked for: a batch of BM25 queries on texts needs neither the whole vocabulary nor
+the postings of words that no query has. A batch of queries is a table too; all queries share a pass over
+the texts or postings. Postings are dealt out by document, so scores are summed where they are, and top-k
+is a window that Spark limits per task before its shuffle. Ties go to the smaller doc_id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import json
+import time
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloq.functions import numbers as nu
 from colloq.functions import text as tx
 from colloq.session import cut
 
-#: The reference's BM25 vocabulary, for callers who ask for a cut one: ``fit(..., max_terms=BM25_TERMS)``.
+#: The published BM25 and TF-IDF vocabularies, for callers who ask for cut ones: ``fit(..., max_terms=BM25_TERMS)``.
 BM25_TERMS = 500_000
-BATCH = 256
+TFIDF_TERMS = 200_000
+#: Queries that ride along a document's or a vector's row, about: they are dealt to batches by a hash.
+BATCH = 128
 BROADCAST_BATCHES = 32
+#: Rows of a term and a number that a join may broadcast.
+BROADCAST_TERMS = 200_000
+#: Stands for a document itself among its terms; no tokenizer gives it.
+ITSELF = ""
+TOKENIZERS: dict[str, Callable[[Column], Column]] = {"tokens": tx.tokens, "tfidf_tokens": tx.tfidf_tokens}
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has at most ``BROADCAST_TERMS`` rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
 
 
 @dataclass
 class LexicalIndex:
-    """postings(doc_id, term, tf), terms(term, df), documents(doc_id, dl), and their totals."""
-
-    postings: DataFrame
-    terms: DataFrame
-    documents: DataFrame
-    n_docs: int
-    avgdl: float
+    """A corpus by its terms. ``texts`` (doc_id, text) is what it is built from; a loaded index has its tables instead."""
+
+    texts: DataFrame | None = None
+    tokenizer: str = "tokens"
+    min_df: int = 2
+    max_terms: int | None = None
+    meta: dict = field(default_factory=dict)
+
+    def _exploded(self) -> DataFrame:
+        """(doc_id, dl, term): a row per token, and one per document with the term ``ITSELF``."""
+        tokens = self.texts.select("doc_id", TOKENIZERS[self.tokenizer](F.col("text")).alias("t"))
+        return tokens.select("doc_id", F.size("t").cast("bigint").alias("dl"), F.explode(F.array_append("t", F.lit(ITSELF))).alias("term"))
+
+    @staticmethod
+    def _counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+    @cached_property
+    def _all(self) -> DataFrame:
+        return cut(self._counted(self._exploded()))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self._all.where(F.col("term") != ITSELF)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        if "_all" in self.__dict__:
+            return self._all.where(F.col("term") == ITSELF).select("doc_id", "dl")
+        return self.texts.select("doc_id", F.size(TOKENIZERS[self.tokenizer](F.col("text"))).cast("bigint").alias("dl"))
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        """The vocabulary: terms in at least ``min_df`` documents; with ``max_terms`` those with the highest counts
+        (ties: the smaller term) - of occurrences for TF-IDF tokens, of documents for BM25's."""
+        found = self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences")).where(F.col("df") >= self.min_df)
+        if self.max_terms is not None:
+            found = found.orderBy(F.desc("occurrences" if self.tokenizer == "tfidf_tokens" else "df"), "term").limit(self.max_terms)
+        return cut(found.select("term", "df"))
+
+    @cached_property
+    def totals(self) -> tuple[int, float]:
+        """Number of documents and their mean length."""
+        s = self.documents.agg(F.count("*").alias("n"), F.avg("dl").alias("a")).first()
+        return s.n, s.a or 0.0
+
+    def about(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(postings, terms) of the terms in ``asked`` (term) alone."""
+        if self.texts is None or "_all" in self.__dict__ or self.max_terms is not None:
+            terms = cut(self.terms.join(asked, "term", "left_semi"))
+            return self.postings.join(_small(terms.select("term")), "term", "left_semi"), terms
+        every = asked.where(F.col("term") != ITSELF).unionByName(asked.sparkSession.range(1).select(F.lit(ITSELF).alias("term")))
+        # dealt out by document: what queries find in one is then summed where it is
+        rows = cut(self._counted(self._exploded().join(_small(every), "term").repartition("doc_id")))
+        self.__dict__["documents"] = rows.where(F.col("term") == ITSELF).select("doc_id", "dl")
+        postings = rows.where(F.col("term") != ITSELF)
+        return postings, cut(postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= self.min_df))
 
     def save(self, path: str) -> None:
+        """The tables, and a manifest that says of what they are."""
         for name in ("postings", "terms", "documents"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        meta = self.postings.sparkSession.createDataFrame([(self.n_docs, self.avgdl)], "n_docs bigint, avgdl double")
-        meta.write.mode("overwrite").parquet(f"{path}/meta")
+        n, mean = self.totals
+        made = self.meta | {"tokenizer": self.tokenizer, "min_df": self.min_df, "max_terms": self.max_terms, "n_docs": n, "avgdl": mean}
+        self.documents.sparkSession.createDataFrame([(json.dumps(made, sort_keys=True),)], "manifest string").write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
-    def load(cls, spark, path: str) -> LexicalIndex:
-        meta = spark.read.parquet(f"{path}/meta").first()
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "documents")), meta.n_docs, meta.avgdl)
-
-
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer=tx.tokens, min_df: int = 2, max_terms: int | None = None) -> LexicalIndex:
-    """Tokenise once, keep all terms in at least ``min_df`` documents, or with ``max_terms`` the most frequent of them."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), tokenizer(F.col(text)).alias("t"))
-    documents = cut(tokens.select("doc_id", F.size("t").cast("bigint").alias("dl")))
-    postings = tokens.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    postings = cut(postings)
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    if max_terms is not None:
-        terms = terms.orderBy(F.desc("df"), "term").limit(max_terms)
-    totals = documents.agg(F.count("*").alias("n"), F.avg("dl").alias("a")).first()
-    return LexicalIndex(postings, cut(terms), documents, totals.n, totals.a or 0.0)
-
-
-def _query_terms(queries: DataFrame, tokenizer, distinct: bool) -> DataFrame:
-    toks = tokenizer(F.col("text"))
+    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
+        made = json.loads(spark.read.parquet(f"{path}/meta").first()["manifest"])
+        index = cls(None, made.pop("tokenizer"), made.pop("min_df"), made.pop("max_terms"))
+        index.__dict__["totals"] = (made.pop("n_docs"), made.pop("avgdl"))
+        for name in ("postings", "terms", "documents"):
+            index.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+        index.meta = made
+        return index
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "tokens", min_df: int | None = None, max_terms: int | None = None) -> LexicalIndex:
+    """An index of ``docs``: all terms in at least ``min_df`` documents (by default 2 for BM25's tokens and 1 for
+    TF-IDF's), or with ``max_terms`` the most frequent of them."""
+    least = {"tokens": 2, "tfidf_tokens": 1}[tokenizer] if min_df is None else min_df
+    return LexicalIndex(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), tokenizer, least, max_terms)
+
+
+def build_index(docs: DataFrame, path: str, **options) -> LexicalIndex:
+    """Fit and save, unless ``path`` has a valid index of this corpus and these options; the manifest has its version."""
+    spark, version = docs.sparkSession, fingerprint(docs).first()["version"]
+    wanted = fit(docs, **options)
+    try:
+        found = LexicalIndex.load(spark, path)
+        if (found.meta.get("version"), found.tokenizer, found.min_df, found.max_terms) == (version, wanted.tokenizer, wanted.min_df, wanted.max_terms):
+            return found
+    except Exception as error:  # noqa: BLE001  Spark has one class for all it can't read
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+    began = time.time()
+    wanted.meta = {"version": version}
+    _ = wanted.postings
+    wanted.meta["build_seconds"] = round(time.time() - began, 3)
+    wanted.save(path)
+    return LexicalIndex.load(spark, path)
+
+
+def build_all(variants: Mapping[str, DataFrame], folder: str, models: Mapping[str, str] = {"bm25": "tokens", "tfidf": "tfidf_tokens"}) -> DataFrame:
+    """An index of every model and variant (such as the message alone, and with its context) under
+    ``folder/model/variant``; gives (model, variant, version, n_docs, build_seconds), a row per index."""
+    rows = []
+    for variant, docs in variants.items():
+        for model, tokenizer in models.items():
+            index = build_index(docs, f"{folder}/{model}/{variant}", tokenizer=tokenizer)
+            rows.append((model, variant, index.meta["version"], index.totals[0], index.meta["build_seconds"]))
+    return docs.sparkSession.createDataFrame(rows, "model string, variant string, version string, n_docs bigint, build_seconds double")
+
+
+def _query_terms(queries: DataFrame, tokenizer: str, distinct: bool) -> DataFrame:
+    toks = TOKENIZERS[tokenizer](F.col("text"))
     return queries.select("query_id", F.explode(F.array_distinct(toks) if distinct else toks).alias("term"))
 
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = nu.K1, b: float = nu.B) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term; query terms are a set."""
-    terms = index.terms.withColumn("idf", nu.bm25_idf(F.lit(index.n_docs), F.col("df")))
-    asked = _query_terms(queries, tx.tokens, True).join(terms, "term")
-    hits = index.postings.join(asked, "term").join(index.documents, "doc_id")
-    weight = F.col("idf") * nu.bm25_weight(F.col("tf"), F.col("dl"), F.lit(index.avgdl), k1, b)
+    asked = cut(_query_terms(queries, index.tokenizer, True))
+    postings, terms = index.about(asked.select("term").distinct())
+    n, mean = index.totals
+    weighed = cut(asked.join(terms, "term").select("query_id", "term", nu.bm25_idf(F.lit(n), F.col("df")).alias("idf")))
+    # postings lie by document and the queries come to them, so a (query, document) pair is summed in its task
+    hits = postings.join(_small(weighed), "term")
+    weight = F.col("idf") * nu.bm25_weight(F.col("tf"), F.col("dl"), F.lit(mean), k1, b)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
 def tfidf_scores(index: LexicalIndex, queries: DataFrame, sublinear: bool = True) -> DataFrame:
     """Cosine of TF-IDF vectors with smoothed idf; words outside the vocabulary are ignored on both sides."""
     tf = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
-    terms = index.terms.withColumn("idf", nu.smooth_idf(F.lit(index.n_docs), F.col("df"))).drop("df")
+    n, _ = index.totals
+    terms = index.terms.withColumn("idf", nu.smooth_idf(F.lit(n), F.col("df"))).drop("df")
 
     def weighted(rows: DataFrame, key: str) -> DataFrame:
-        w = rows.join(terms, "term").select(key, "term", (tf * F.col("idf")).alias("w"))
-        norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+        return rows.join(terms, "term").select(key, "term", (tf * F.col("idf")).alias("w"))
+
+    def norms(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
-    asked = _query_terms(queries, tx.tfidf_tokens, False).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    q = weighted(asked, "query_id").withColumnRenamed("w", "qw")
-    return weighted(index.postings, "doc_id").join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    asked = weighted(_query_terms(queries, index.tokenizer, False).groupBy("query_id", "term").agg(F.count("*").alias("tf")), "query_id")
+    q = cut(asked.join(norms(asked, "query_id"), "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("qw")))
+    mine = cut(weighted(index.postings, "doc_id"))
+    dots = mine.join(_small(q), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return dots.join(norms(mine, "doc_id"), "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("norm")).alias("score"))
+
+
+def _batched(queries: DataFrame, *values: str) -> tuple[DataFrame, int]:
+    """(batch, qs): queries in arrays of about ``BATCH``, dealt by a hash; and the number of batches."""
+    n = max(1, -(-queries.count() // BATCH))
+    packed = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("batch")).agg(F.collect_list(F.struct("query_id", *values)).alias("qs"))
+    return packed, n
+
+
+def _with_queries(rows: DataFrame, queries: DataFrame, *values: str) -> DataFrame:
+    """Every row with every query (a stated query set against all rows), as struct ``q``: one array of queries a batch."""
+    packed, n = _batched(queries, *values)
+    spread = rows.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    side = F.broadcast(packed) if n <= BROADCAST_BATCHES else packed  # else adaptive execution splits the batches' shuffles
+    return spread.join(side, "batch").drop("batch").withColumn("q", F.explode("qs")).drop("qs")
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): dot product of every query with every vector.
 
     ``vectors(doc_id, embedding)``, ``queries(query_id, embedding)``. Exact search compares each query
-    with all vectors: the queries of a batch ride along each vector as one array of at most
+    with all vectors: the queries of a batch ride along each vector as one array of about
     ``BATCH`` queries, so the vectors are read once per batch and nothing but scores is shuffled.
     """
-    batches = queries.select(F.col("query_id"), "embedding").withColumn("batch", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / BATCH).cast("int"))
-    packed = batches.groupBy("batch").agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs"))
-    n = packed.count()
-    spread = vectors.select("doc_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("batch"))
-    side = F.broadcast(packed) if n <= BROADCAST_BATCHES else packed  # else adaptive execution splits the batches' shuffles
-    rows = spread.join(side, "batch").select("doc_id", "embedding", F.explode("qs").alias("q"))
+    rows = _with_queries(vectors.select("doc_id", "embedding"), queries, "embedding")
     return rows.select("q.query_id", "doc_id", nu.dot(F.col("q.embedding"), F.col("embedding")).alias("score"))
 
 
 def all_pairs(index_docs: DataFrame, queries: DataFrame, scores: DataFrame) -> DataFrame:
     """Every (query, document) with its score, 0 where nothing is shared (a stated query set against all rows)."""
-    asked = queries.select("query_id").agg(F.collect_set("query_id").alias("qs"))  # a batch of queries
-    ids = asked.first()["qs"]
-    pairs = index_docs.select("doc_id", F.explode(F.array(*[F.lit(i) for i in ids])).alias("query_id"))
+    pairs = _with_queries(index_docs.select("doc_id"), queries.select("query_id")).select("q.query_id", "doc_id")
     return pairs.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def top_k_with_zeros(index_docs: DataFrame, queries: DataFrame, scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """``top_k`` where documents that share nothing score 0, without pairing them all.
+
+    A query that has fewer than ``k`` documents above 0 is filled up with the smallest doc_ids, of which no more than
+    ``k`` plus its own hits can be needed; scores are at least 0.
+    """
+    best = cut(top_k(scores, k, digits=digits))
+    found = best.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = queries.select("query_id").join(found, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
+    smallest = index_docs.select("doc_id").orderBy("doc_id").limit(2 * k)  # fewer than k of them have a score
+    fill = _with_queries(smallest, short).select("q.query_id", "doc_id", F.lit(0.0).alias("score")).join(best, ["query_id", "doc_id"], "left_anti")
+    return top_k(best.drop("rank").unionByName(fill), k, digits=digits)
+
+
 def hybrid_scores(dense: DataFrame, sparse: DataFrame, alphas: Sequence[float] = (0.5,)) -> DataFrame:
     """(query_id, doc_id, alpha, score): min-max normalised per query, then blended; alpha weights dense.
 
@@ -159,11 +284,85 @@ def pooled(hits: DataFrame, cap: int = 5) -> DataFrame:
     return pool.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
 
 
+def payload(hits: DataFrame, cases: DataFrame, key: str = "doc_id", columns: Sequence[str] = ()) -> DataFrame:
+    """Hits with the columns of what they found (all by default); a hit without a case keeps nulls."""
+    wanted = [c for c in (columns or cases.columns) if c != key]
+    return hits.join(cases.select(key, *wanted), key, "left")
+
+
 def new_rows(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows not yet embedded: an idempotent resume."""
     return source.join(done.select(key), key, "left_anti")
 
 
-def nested_subset(docs: DataFrame, size: int, seed: int = 42, doc_id: str = "doc_id") -> DataFrame:
-    """The ``size`` first documents of a seeded order; a larger subset contains every smaller one."""
-    return docs.orderBy(F.xxhash64(doc_id, F.lit(seed)), doc_id).limit(size)
+def unit(c: Column) -> Column:
+    """A vector over its length; a zero vector stays zero."""
+    length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.transform(F.zip_with(c, F.array_repeat(length, F.size(c)), lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0))), lambda x: x.cast("float"))
+
+
+def hashed_encoder(dim: int = 64, tokenizer: str = "tokens") -> Callable[[Column], Column]:
+    """An encoder that needs no model: signed counts of hashed tokens. Any function of a text column to a vector will do."""
+
+    def encode(text: Column) -> Column:
+        hashes = F.transform(TOKENIZERS[tokenizer](text), lambda t: F.crc32(t))
+        one = lambda h, i: F.when(F.pmod(h, F.lit(dim)) != i, 0.0).when(F.pmod(F.floor(h / dim), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(hashes, F.lit(0.0), lambda a, h: a + one(h, i)))
+
+    return encode
+
+
+class StaleEmbeddings(ValueError):
+    """Stored vectors are of another model, size or corpus."""
+
+
+@dataclass(frozen=True)
+class EmbeddingStore:
+    """Unit vectors (doc_id, embedding) with a manifest (model, dim, corpus version, number of rows) in a folder."""
+
+    spark: SparkSession
+    path: str
+
+    @property
+    def manifest(self) -> dict | None:
+        try:
+            return json.loads(self.spark.read.parquet(f"{self.path}/manifest").first()["manifest"])
+        except Exception as error:  # noqa: BLE001  Spark has one class for all it can't read
+            if "PATH_NOT_FOUND" in str(error):
+                return None
+            raise
+
+    def vectors(self) -> DataFrame:
+        return self.spark.read.schema("doc_id bigint, embedding array<float>").parquet(f"{self.path}/vectors")
+
+    def valid(self, docs: DataFrame, model: str, dim: int) -> bool:
+        made = self.manifest
+        version = fingerprint(docs).first()["version"]
+        return made is not None and (made["model"], made["dim"], made["version"]) == (model, dim, version) and self.vectors().count() == made["n"]
+
+    def build(self, docs: DataFrame, model: str, dim: int, encode: Callable[[Column], Column]) -> DataFrame:
+        """Embed what is not there yet; a finished store of the same corpus is returned as it is.
+
+        Each call appends the missing rows, so one that died is resumed. Vectors of another model or size are refused.
+        """
+        made = self.manifest
+        if made is not None and (made["model"], made["dim"]) != (model, dim):
+            raise StaleEmbeddings(f"{self.path} has vectors of {made['model']} ({made['dim']}), not of {model} ({dim})")
+        if made is not None and self.valid(docs, model, dim):
+            return self.vectors()
+        started = {"model": model, "dim": dim, "version": None, "n": 0}
+        self._write(started)
+        texts = docs.select(F.col("doc_id").cast("bigint"), "text")
+        texts.limit(0).select("doc_id", F.array().cast("array<float>").alias("embedding")).write.mode("append").parquet(f"{self.path}/vectors")
+        missing = new_rows(texts, self.vectors(), "doc_id")
+        missing.select("doc_id", unit(encode(F.col("text"))).alias("embedding")).write.mode("append").parquet(f"{self.path}/vectors")
+        self._write(started | {"version": fingerprint(docs).first()["version"], "n": self.vectors().count()})
+        return self.vectors()
+
+    def _write(self, manifest: dict) -> None:
+        self.spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "manifest string").write.mode("overwrite").parquet(f"{self.path}/manifest")
+
+
+def nested_subset(docs: DataFrame, size: int, order: Column, doc_id: str = "doc_id") -> DataFrame:
+    """The ``size`` first documents of an order; a larger subset contains every smaller one."""
+    return docs.orderBy(order, doc_id).limit(size)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.functions import text as tx
 from colloq.operators import metrics as me
 from colloq.operators import retrieval as rt
+from colloq.operators.sampling import portable_hash
 from colloq.plans.registry import query
-from colloq.session import read
+from colloq.session import checkpoint_dir, cut, read
 
 DIGITS = 6
 #: Vector searches ask for every row whose id is divisible by 50, against all rows.
@@ -17,6 +19,8 @@ QUERY_ROWS = "doc_id % 50 = 0"
 TOKENS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_''-]+'), lambda x: length(x) > 1 AND NOT regexp_matches(x, '^\p{{Nd}}+$'))"
 INDEX_SQL = f"""t AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), d AS (SELECT doc_id, len(t) AS dl FROM t), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY 1, 2),
 v AS (SELECT term, count(*) AS df FROM p GROUP BY 1 HAVING count(*) >= 2), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d)"""
+#: Every document is eligible, with a score of 0 if it shares no term.
+ZEROS = "z AS (SELECT item_id AS query_id, documents.doc_id, round(coalesce(score, 0), 6) AS score FROM benchmark CROSS JOIN documents LEFT JOIN {0} s ON s.query_id = item_id AND s.doc_id = documents.doc_id), r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM z) SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 5"
 BM25_SQL = (
     INDEX_SQL
     + f""", q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark),
@@ -46,21 +50,25 @@ def doc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).documents
 
 
-@query("WITH " + BM25_SQL + ", r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 5")
+def _lexical_top(spark: SparkSession, sf_dir: str, scores: DataFrame, k: int = 5) -> DataFrame:
+    top = rt.top_k_with_zeros(read(spark, sf_dir, "documents"), _items(spark, sf_dir), scores, k, digits=DIGITS)
+    return top.select("query_id", "doc_id", "score", "rank")
+
+
+@query("WITH " + BM25_SQL + ", " + ZEROS.format("bm"))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(rt.bm25_scores(_index(spark, sf_dir), _items(spark, sf_dir)))
+    return _lexical_top(spark, sf_dir, rt.bm25_scores(_index(spark, sf_dir), _items(spark, sf_dir)))
 
 
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), v AS (SELECT term, count(*) AS df FROM p GROUP BY 1 HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM documents),
+@query(f"""WITH t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), v AS (SELECT term, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
 i AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM v, n), dw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM p JOIN i USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY 1),
 qt AS (SELECT item_id AS query_id, unnest({WORDS.format('text')}) AS term FROM benchmark), qp AS (SELECT query_id, term, count(*) AS tf FROM qt GROUP BY 1, 2), qw AS (SELECT query_id, term, (1 + ln(tf)) * idf AS w FROM qp JOIN i USING (term)),
-qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1), s AS (SELECT qw.query_id, dw.doc_id, sum(qw.w / qn.norm * dw.w / dn.norm) AS score FROM qw JOIN qn USING (query_id) JOIN dw ON dw.term = qw.term JOIN dn ON dn.doc_id = dw.doc_id GROUP BY 1, 2),
-r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
+qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1), tfidf AS (SELECT qw.query_id, dw.doc_id, sum(qw.w / qn.norm * dw.w / dn.norm) AS score FROM qw JOIN qn USING (query_id) JOIN dw ON dw.term = qw.term JOIN dn ON dn.doc_id = dw.doc_id GROUP BY 1, 2), {ZEROS.format('tfidf')}""")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(rt.tfidf_scores(_index(spark, sf_dir, tokenizer=tx.tfidf_tokens), _items(spark, sf_dir)))
+    return _lexical_top(spark, sf_dir, rt.tfidf_scores(_index(spark, sf_dir, tokenizer="tfidf_tokens"), _items(spark, sf_dir)))
 
 
 DENSE_SQL = "ds AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)"
@@ -151,8 +159,8 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + RANKED_SQL.replace("WHERE query_id <> doc_id)", "WHERE query_id <> doc_id AND doc_id % 7 <> 0)") + ", " + PER_QUERY_SQL)
 def no_canned_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same after flagged hits (ids divisible by seven) were dropped and the ranking refilled."""
-    all_hits = _top(_dense(spark, sf_dir).where("query_id <> doc_id"), 1_000_000).withColumn("canned", F.col("doc_id") % 7 == 0)
-    hits = me.refilled(all_hits, "canned", 10).select("query_id", "doc_id", "rank")
+    scored = _dense(spark, sf_dir).where("query_id <> doc_id").withColumn("canned", F.col("doc_id") % 7 == 0)
+    hits = me.refilled(scored, "canned", 10, digits=DIGITS).select("query_id", "doc_id", "rank")
     return me.retrieval_summary(me.retrieval_per_query(hits, _gold(spark, sf_dir)))
 
 
@@ -173,17 +181,75 @@ def retrieval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.retrieval_failures(_hits(spark, sf_dir).withColumn("model", F.lit("dense")), _gold(spark, sf_dir), queries)
 
 
-@query(None)
+#: Documents that hold a passage: their shingles of three whole words find them, the text itself decides.
+CONTAINED = 3
+
+
+def _holders(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, doc_id) where the document's text contains the item's.
+
+    The inner words of a passage are whole words of a text that holds it, so a shingle of them is looked up among the
+    shingles of the texts. Items of fewer than five words are too short for one and are compared with each text.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    shingle = lambda c, i: F.xxhash64(F.array_join(F.slice(c, i, CONTAINED), " "))
+    asked = items.select("query_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
+    long = asked.where(F.size("w") >= CONTAINED + 2).select("query_id", "passage", shingle(F.col("w"), F.lit(2)).alias("key"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - CONTAINED + 1))
+    each = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.transform(starts, lambda i: shingle(F.col("w"), i))).alias("key"))
+    found = each.join(long.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
+    held = found.join(docs, "doc_id").join(long.select("query_id", "passage"), "query_id").where(F.contains("text", "passage"))
+    short = asked.where(F.size("w") < CONTAINED + 2)
+    few = docs.join(short, F.contains("text", "passage")) if not short.isEmpty() else None
+    pairs = held.select("query_id", "doc_id")
+    return pairs if few is None else pairs.unionByName(few.select("query_id", "doc_id"))
+
+
+def _curve_part(share: int) -> str:
+    """SQL of one point of the curve: BM25 over the first 1 / ``share`` of the documents."""
+    docs = f"(SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY (doc_id * 2654435761) % 1000003, doc_id) AS place, count(*) OVER () AS n FROM documents) WHERE place <= n // {share})"
+    return f"""SELECT * FROM (WITH part AS {docs}, {BM25_SQL.replace('FROM documents', 'FROM part')}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm),
+gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), inside AS (SELECT count(*) AS n FROM gold WHERE doc_id IN (SELECT doc_id FROM part)),
+pq AS (SELECT g.query_id, count(*) FILTER (rank <= 5) / greatest(1, count(*)) AS r5, coalesce(1 / min(rank), 0) AS rr, coalesce(min(rank) > 5, true) AS none5 FROM gold g LEFT JOIN (SELECT * FROM r WHERE rank <= 5) h ON h.query_id = g.query_id AND h.doc_id = g.doc_id GROUP BY 1)
+SELECT (SELECT count(*) FROM part) AS size, count(*) AS n_queries, round(avg(r5), 6) AS recall_at_5, round(avg(rr), 6) AS mrr, round(avg(none5::INTEGER), 6) AS no_relevant_at_5, (SELECT n FROM inside) AS n_relevant_inside FROM pq)"""
+
+
+@query(" UNION ALL ".join(_curve_part(share) for share in (4, 2, 1)))
 def scaling_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall and MRR of BM25 over nested subsets, beside the share of relevant documents that each subset has."""
+    """Recall and MRR of BM25 over nested subsets, beside the number of relevant documents that each subset has."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     items = _items(spark, sf_dir)
-    gold = d.join(items.withColumnRenamed("text", "passage"), d.text.contains(F.col("passage"))).select("query_id", "doc_id", F.lit(1).alias("level"))
+    gold = cut(_holders(d, items).withColumn("level", F.lit(1)))
     n, out = d.count(), None
     for size in (n // 4, n // 2, n):
-        part = rt.nested_subset(d, size)
+        part = rt.nested_subset(d, size, portable_hash(F.col("doc_id")))
         hits = rt.top_k(rt.bm25_scores(rt.fit(part), items), 5, digits=DIGITS)
         inside = gold.join(part.select("doc_id"), "doc_id", "left_semi").agg(F.count("*").alias("n_relevant_inside"))
-        row = me.retrieval_summary(me.retrieval_per_query(hits, gold, ks=(5,))).withColumn("size", F.lit(size)).join(inside.withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).drop("one")
+        row = me.retrieval_summary(me.retrieval_per_query(hits, gold, ks=(5,))).withColumn("size", F.lit(size).cast("bigint")).crossJoin(F.broadcast(inside))  # one row each
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("SELECT count(*) AS n, (SELECT count(*) FROM documents) AS n_documents, 32 AS dim, true AS all_unit, true AS resumed FROM documents")
+def embedding_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeds half of the documents, then resumes with all, and states the manifest, the lengths and the validity."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    store = rt.EmbeddingStore(spark, f"{checkpoint_dir(spark)}/embeddings-{uuid.uuid4().hex}")
+    encode = rt.hashed_encoder(32)
+    store.build(d.where("doc_id % 2 = 0"), "hashed", 32, encode)
+    vectors = store.build(d, "hashed", 32, encode)
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    summary = vectors.agg(F.count("*").alias("n"), F.bool_and((F.abs(length - 1) < 1e-5) | (length == 0)).alias("all_unit"), F.max(F.size("embedding")).alias("dim"))
+    resumed = store.valid(d, "hashed", 32) and not store.valid(d.where("doc_id % 2 = 0"), "hashed", 32)
+    return summary.select("n", F.lit(d.count()).alias("n_documents"), "dim", "all_unit", F.lit(resumed).alias("resumed"))
+
+
+@query("WITH " + DENSE_SQL + ", r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ds) SELECT query_id, doc_id, rank::INTEGER AS rank, e.label, round(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE)), 4) AS total FROM r JOIN embeddings e ON e.vec_id = r.doc_id WHERE rank <= 3")
+def hit_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three hits of each vector query with what the found rows say."""
+    found = rt.payload(_hits_of(spark, sf_dir, 3), _vectors(spark, sf_dir))
+    return found.select("query_id", "doc_id", "rank", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+def _hits_of(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return _top(_dense(spark, sf_dir), k).select("query_id", "doc_id", "rank")
