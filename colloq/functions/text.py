@@ -50,6 +50,14 @@ RUBRIC = {
 }
 DEICTIC = r"\b(it|this|that|still|again|what|okay|ok|thanks|thx)\b"
 ANGRY = r"\b(wtf|hell|sick|fed up|useless|terrible|scam|worst|angry|furious|disgusting|never again)\b"
+# What is taken out of a reply before it is reused.
+REMOVED = {
+    "urls": r"https?://\S+|t\.co/\S+",
+    "phones": r"(?<!\d)(?:\+?\d[\d\s().-]{7,}\d)(?!\d)",
+    "long ids": r"\b\d{13,17}\b",
+    "handles": rf"@{WORD}+",
+    "tags": r"\^[A-Za-z0-9]+",
+}
 MAX_CONTEXT_TURNS = 6
 
 
@@ -153,11 +161,9 @@ def flag_map(flags: dict[str, Column]) -> Column:
 
 def sanitize(c: Column) -> Column:
     """URLs, phone numbers, long ids, handles and ^tags removed; ends stripped of space and light punctuation."""
-    t = F.regexp_replace(_text(c), r"https?://\S+|t\.co/\S+", "")
-    t = F.regexp_replace(t, r"(?<!\d)(?:\+?\d[\d\s().-]{7,}\d)(?!\d)", "")
-    t = F.regexp_replace(t, r"\b\d{13,17}\b", "")
-    t = F.regexp_replace(t, rf"@{WORD}+", "")
-    t = F.regexp_replace(t, r"\^[A-Za-z0-9]+", "")
+    t = _text(c)
+    for pattern in REMOVED.values():
+        t = F.regexp_replace(t, pattern, "")
     return F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[ .,;-]+|[ .,;-]+$", "")
 
 
@@ -217,6 +223,39 @@ def message_flags(c: Column) -> dict[str, Column]:
     return {"is_short": F.length(_text(c)) < 90, "is_deictic": low.rlike(DEICTIC), "is_angry": low.rlike(ANGRY)}
 
 
+def in_pool(c: Column, rules: dict[str, str] = RUBRIC) -> Column:
+    """Whether a message is worth a person's label: short, pointing at something, angry, or without a rule that fits."""
+    flags = message_flags(c)
+    return flags["is_short"] | flags["is_deictic"] | flags["is_angry"] | (rubric_bucket(c, rules) == "unmatched")
+
+
+def id_shape(c: Column, own: Column) -> Column:
+    """struct(commas, has_number, is_self, all_digits) of a field that should hold the id of another row."""
+    t = _text(c)
+    return F.struct(
+        (F.size(F.split(t, ",")) - 1).cast("bigint").alias("commas"),
+        t.rlike(r"[0-9]").alias("has_number"),
+        F.coalesce(F.trim(t) == own.cast("string"), F.lit(False)).alias("is_self"),
+        t.rlike(r"^\d+$").alias("all_digits"),
+    )
+
+
+def intent_input(message: Column, context: Column) -> Column:
+    """What an intent classifier reads: the message, and its context on the next line if there is any."""
+    return F.concat_ws("\n", _text(message), F.nullif(_text(context), F.lit("")))
+
+
+def flat_context(context: Column, previous: Column) -> Column:
+    """Context turns (role, text) line by line; without any, the brand's previous message."""
+    lines = F.array_join(F.transform(context, lambda t: render_turn(F.upper(t["role"]), t["text"])), "\n")
+    return F.when(F.size(context) > 0, lines).otherwise(_text(previous))
+
+
+def shared_cues(a: Column, b: Column) -> Column:
+    """Sorted names of the cue features that two texts have in common."""
+    return F.array_sort(F.array_intersect(cue_set(a), cue_set(b)))
+
+
 def is_low_content(c: Column) -> Column:
     return F.length(F.trim(F.replace(_text(c), F.lit("@USER"), F.lit("")))) < 8
 

@@ -60,15 +60,41 @@ def rendered_context(context: Column) -> Column:
 
 
 def with_replies(turns: DataFrame, conversation: str, order: Sequence[str], is_brand: Column, value: Column) -> DataFrame:
-    """previous_brand and next_brand: ``value`` of the nearest brand turn before and after, without a join."""
+    """previous_brand and next_brand: ``value`` of the nearest brand turn before and after, without a join.
+
+    Both frames grow from the start of an order, the second of the reverse one, so each row is added to them once;
+    a frame that shrinks would be computed anew for every row.
+    """
     w = ordered(conversation, order)
+    backwards = Window.partitionBy(conversation).orderBy(*[F.col(c).desc_nulls_last() for c in order])
     said = F.when(is_brand, value)
-    return turns.withColumns(
-        {
-            "previous_brand": F.last(said, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-            "next_brand": F.first(said, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-        }
-    )
+    nearest = lambda over: F.last(said, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    return turns.withColumns({"previous_brand": nearest(w), "next_brand": nearest(backwards)})
+
+
+def next_reply(turns: DataFrame, conversation: str, order: Sequence[str], is_brand: Column, text: Column, at: Column) -> DataFrame:
+    """next_brand as struct(text, at): the nearest brand turn behind each turn, with its time."""
+    both = F.struct(text.alias("text"), at.alias("at"))
+    backwards = Window.partitionBy(conversation).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return turns.withColumn("next_brand", F.last(F.when(is_brand, both), ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def with_start(turns: DataFrame, conversation: str, at: str, name: str = "root_created_at") -> DataFrame:
+    """The earliest ``at`` of each conversation beside every turn; aggregated first, so a long conversation is no window."""
+    first = turns.groupBy(conversation).agg(F.min(at).alias(name))
+    return turns.join(first, conversation, "left")
+
+
+def reply_mismatches(made: DataFrame, turns: DataFrame, order: str = "turn") -> DataFrame:
+    """One row that cross-checks cases by another way: the next brand message found by an aggregation, not by a window.
+
+    ``turns`` (conv_id, ``order``, role, text_clean) are what ``made`` (conv_id, ``order``, brand_response) was built from.
+    """
+    replies = turns.where("role = 'BRAND'").select("conv_id", F.col(order).alias("__at"), "text_clean")
+    after = made.select("conv_id", order, "brand_response").join(replies, "conv_id", "left")
+    found = after.groupBy("conv_id", order).agg(F.first("brand_response").alias("brand_response"), F.min(F.when(F.col("__at") > F.col(order), F.struct("__at", "text_clean"))).alias("reply"))
+    expected = F.nullif(F.trim("reply.text_clean"), F.lit(""))
+    return found.agg(F.count("*").alias("n_cases"), F.count_if(~F.col("brand_response").eqNullSafe(expected)).alias("n_mismatches"))
 
 
 def touched_by(messages: DataFrame, conversation: str, is_wanted: Column) -> DataFrame:
@@ -168,6 +194,16 @@ def forensics(made: DataFrame) -> DataFrame:
     )
 
 
+def forensic_tables(made: DataFrame, k: int = 10) -> dict[str, DataFrame]:
+    """The three tables beside the scalar statistics: cases by language, by response flag, and the k commonest templates."""
+    flags = made.select(F.explode("metadata").alias("flag", "on"))
+    return {
+        "languages": made.groupBy(F.col("language").alias("name")).agg(F.count("*").alias("n")),
+        "flags": flags.groupBy(F.col("flag").alias("name")).agg(F.count_if("on").alias("n")),
+        "templates": made.where(F.col("template_key").isNotNull()).groupBy(F.col("template_key").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(k),
+    }
+
+
 def transcript(turns: DataFrame, conversation: str, order: Sequence[str], limit: int = 260) -> DataFrame:
     """Per conversation: 'ROLE: text' lines in order, line breaks to spaces, cut at ``limit`` with an ellipsis."""
     flat = F.regexp_replace(F.col("text"), r"\n", " ")

@@ -96,3 +96,34 @@ def top_terms(df: DataFrame, terms: str, k: int, group: str | None = None) -> Da
         return weighted.orderBy(F.desc("weight"), "term").limit(k)
     w = Window.partitionBy(group).orderBy(F.desc("weight"), "term")
     return weighted.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def code_counts(df: DataFrame, codes: str) -> DataFrame:
+    """(code, n): rows that carry each of the codes in an array column."""
+    return df.select(F.explode(F.array_distinct(codes)).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def vocabulary_counts(df: DataFrame, column: str, vocabulary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., value, n) for every value of ``vocabulary(value)``, zero where none is counted."""
+    counts = df.groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    every = df.select(*by).distinct().crossJoin(F.broadcast(vocabulary)) if by else vocabulary  # segments by a short list
+    return every.join(counts, [*by, "value"], "left").select(*by, "value", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def output_sizes(df: DataFrame, text: str) -> DataFrame:
+    """Number of outputs, empty ones, and the mean length of the others."""
+    length = F.length(F.coalesce(text, F.lit("")))
+    return df.agg(F.count("*").alias("n"), F.count_if(length == 0).alias("n_empty"), F.avg(F.when(length > 0, length)).alias("avg_chars"))
+
+
+def by_most_codes(df: DataFrame, codes: str, key: str) -> DataFrame:
+    """Rows with the most codes first, then by id."""
+    return df.orderBy(F.size(codes).desc(), key)
+
+
+def in_named_order(df: DataFrame, column: str, names: Sequence[str], *then: str) -> DataFrame:
+    """Rows in the order of ``names``, other values behind them, then by the other columns."""
+    place = F.lit(len(names))
+    for i, name in enumerate(names):
+        place = F.when(F.col(column) == name, i).otherwise(place)
+    return df.orderBy(place, *then)

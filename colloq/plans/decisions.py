@@ -106,17 +106,19 @@ def sensitivity_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.sweep(_answered(spark, sf_dir), [0.2, 0.45, 0.7]).withColumn("rate", F.round("rate", 6))
 
 
-@query(ANSWERED_SQL + """, x AS (SELECT *, CASE WHEN conv_id % 4 = 0 THEN 'delivery_delay' ELSE intent END AS truth, CASE WHEN conv_id % 3 = 0 THEN ['none'] ELSE []::VARCHAR[] END AS secondary, CASE WHEN no_intent OR risky OR no_hits OR NOT usable OR far OR confidence < 0.45 THEN 'escalate' ELSE 'auto_handle' END AS action FROM d)
+@query(ANSWERED_SQL + """, x AS (SELECT *, CASE WHEN conv_id % 4 = 0 THEN 'delivery_delay' ELSE intent END AS truth, CASE WHEN conv_id % 3 = 0 THEN ['none'] ELSE []::VARCHAR[] END AS secondary, CASE WHEN no_intent OR risky OR no_hits OR NOT usable OR far OR confidence < 0.45 THEN 'escalate' ELSE 'auto_handle' END AS action,
+  CASE WHEN k > 0 THEN list_distinct(list_filter(regexp_extract_all(lower(next_brand), '[a-z]{5,}'), lambda w: NOT regexp_matches(w, '^(http|tco)'))) END AS words_next,
+  CASE WHEN k > 1 THEN list_distinct(list_filter(regexp_extract_all(lower(previous_brand), '[a-z]{5,}'), lambda w: NOT regexp_matches(w, '^(http|tco)'))) END AS words_previous FROM d)
 SELECT example_id, concat_ws(';', CASE WHEN intent <> truth AND list_contains(secondary, intent) THEN 'intent_close_secondary' END, CASE WHEN intent <> truth AND NOT list_contains(secondary, intent) AND intent = 'none' THEN 'intent_predicted_none' END,
   CASE WHEN intent <> truth AND NOT list_contains(secondary, intent) AND intent <> 'none' THEN 'intent_off_target' END, CASE WHEN action = 'escalate' AND p >= 0.3 AND usable AND sim >= 0.12 THEN 'escalation_conservative' END,
-  CASE WHEN action = 'auto_handle' AND (NOT usable OR sim < 0.12) THEN 'escalation_false_auto' END, CASE WHEN action = 'auto_handle' THEN 'drafting_ungrounded' END, CASE WHEN conv_id % 2 = 0 AND k > 0 THEN 'retrieval_lang_mismatch' END) AS codes FROM x""")
+  CASE WHEN action = 'auto_handle' AND (NOT usable OR sim < 0.12) THEN 'escalation_false_auto' END, CASE WHEN action = 'auto_handle' AND (turn % 2 = 0 OR NOT (coalesce(len(words_next), 0) >= 2 OR coalesce(len(words_previous), 0) >= 2)) THEN 'drafting_ungrounded' END, CASE WHEN conv_id % 2 = 0 AND k > 0 THEN 'retrieval_lang_mismatch' END) AS codes FROM x""")
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _answered(spark, sf_dir).withColumn("action", policy.decide(F.col("intent"), F.col("p"), F.col("hits"))["action"]).withColumns(
         {
             "true_intent": F.when(F.col("conv_id") % 4 == 0, "delivery_delay").otherwise(F.col("intent")),
             "secondary_intents": F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("none"))).otherwise(F.array().cast("array<string>")),
             "intent_prob": F.col("p"),
-            "draft": F.lit(""),
+            "draft": F.when(F.col("turn") % 2 == 0, F.lit("")).otherwise(F.concat_ws(" ", "hits.brand_response")),
             "language": F.when(F.col("conv_id") % 2 == 0, "de").otherwise("en"),
         }
     )

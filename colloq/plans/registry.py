@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from colloq.plans import conversations, decisions, retrieval, tables, texts  # noqa: F401
+    from colloq.plans import conversations, decisions, extras, retrieval, tables, texts  # noqa: F401

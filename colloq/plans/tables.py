@@ -181,9 +181,12 @@ def first_long_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.first_long_enough(read(spark, sf_dir, "conversations"), "conv_id", "text", ["turn"], 40).select("conv_id", "turn")
 
 
-@query(None)
+@query("""WITH s AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang), f AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY size DESC, lang) <= 60 THEN 1 ELSE 0 END AS one FROM s),
+g AS (SELECT *, least(60, sum(size) OVER ()) - sum(one) OVER () AS rest, size - one AS free, greatest(1, sum(size - one) OVER ()) AS all_free FROM f), h AS (SELECT *, rest * free // all_free AS whole, rest * free % all_free AS remainder FROM g),
+q AS (SELECT lang, one + whole + CASE WHEN remainder > 0 AND row_number() OVER (ORDER BY remainder DESC, size DESC, lang) <= rest - sum(whole) OVER () THEN 1 ELSE 0 END AS quota FROM h),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY (doc_id * 2654435761) % 1000003, doc_id) AS place FROM documents) SELECT doc_id, lang FROM r JOIN q USING (lang) WHERE place <= quota""")
 def quota_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixty documents with language quotas that add up exactly (the quotas are fitted in a loop)."""
+    """Sixty documents with language quotas that add up exactly."""
     order = [sm.portable_hash(F.col("doc_id")), F.col("doc_id")]
     return sm.quota_pick(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 60, order)
 
@@ -223,8 +226,8 @@ def domain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.violations(read(spark, sf_dir, "documents"), {"lang": ["en", "de"], "source": ["src0", "src1"]})
 
 
-@query("""SELECT 'sample' AS population, count(*) AS n, round(avg(n_chars), 6) AS mean, quantile_cont(n_chars, 0.5)::DOUBLE AS median FROM (SELECT n_chars FROM documents ORDER BY """ + HASH.format("doc_id") + """, doc_id LIMIT 100)
-UNION ALL SELECT 'corpus', count(*), round(avg(n_chars), 6), quantile_cont(n_chars, 0.5)::DOUBLE FROM documents""")
+@query("""SELECT 'sample' AS population, count(*) AS n, round(avg(n_chars), 6) AS mean, quantile_cont(n_chars, 0.5)::DOUBLE AS median, min(n_chars) AS least, max(n_chars) AS greatest FROM (SELECT n_chars FROM documents ORDER BY """ + HASH.format("doc_id") + """, doc_id LIMIT 100)
+UNION ALL SELECT 'corpus', count(*), round(avg(n_chars), 6), quantile_cont(n_chars, 0.5)::DOUBLE, min(n_chars), max(n_chars) FROM documents""")
 def representativeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return sm.representativeness(sm.sample_rows(d, 100, sm.portable_hash(F.col("doc_id")), "doc_id"), d, "n_chars").withColumn("mean", F.round("mean", 6))

@@ -81,10 +81,8 @@ def test_bm25_values(spark, docs):
 
 
 def test_tfidf_values(spark, docs):
-    from colloq.functions.text import tfidf_tokens
-
     queries = spark.createDataFrame([(1, "where is my order"), (2, "refund echo dot")], "query_id int, text string")
-    got = scores(retrieval.tfidf_scores(retrieval.fit(docs, tokenizer=tfidf_tokens, min_df=1), queries))
+    got = scores(retrieval.tfidf_scores(retrieval.fit(docs, tokenizer="tfidf_tokens"), queries))
     assert got == {(1, 1): 0.737538, (1, 3): 0.129458, (2, 3): 0.733341}
 
 
@@ -201,9 +199,106 @@ def test_guards(spark):
     sampling.assert_subset(spark.range(1), a, "id")
 
 
-def test_exact_quota():
-    assert sum(sampling.exact_quota({"a": 50, "b": 30, "c": 2}, 10).values()) == 10
-    assert sampling.exact_quota({"a": 3, "b": 3}, 4) == {"a": 2, "b": 2}
+@pytest.mark.parametrize(
+    ("sizes", "want", "expected"),
+    [
+        ({"a": 50, "b": 30, "c": 2}, 10, {"a": 5, "b": 4, "c": 1}),
+        ({"a": 3, "b": 3}, 4, {"a": 2, "b": 2}),
+        ({"a": 5, "b": 4, "c": 3, "d": 2, None: 1}, 2, {"a": 1, "b": 1, "c": 0, "d": 0, None: 0}),
+        ({"a": 1, "b": 2}, 99, {"a": 1, "b": 2}),
+        ({}, 5, {}),
+    ],
+)
+def test_quotas_add_up(spark, sizes, want, expected):
+    rows = spark.createDataFrame([(s, i) for s, n in sizes.items() for i in range(n)], "s string, i int")
+    assert {r.s: r.quota for r in sampling.quotas(rows, "s", want).collect()} == expected
+    assert sampling.quota_pick(rows, "s", want, [F.col("i")]).count() == min(want, sum(sizes.values()))
+
+
+def test_ranked_rows_and_overlaps(spark):
+    rows = spark.range(500).select(((F.col("id") * 7919) % 500).alias("v"))
+    assert all(r.v + 1 == r.place for r in sampling.ranked_rows(rows, [F.col("v")], "place").collect())
+    found = sampling.pairwise_overlaps({"a": spark.range(3), "b": spark.range(2, 5), "c": spark.range(9, 10)}, "id")
+    assert sorted(map(tuple, found.collect())) == [("a", "b", 1), ("a", "c", 0), ("b", "c", 0)]
+
+
+def test_rare_words_count_for_tfidf_and_zeros_fill_up(spark):
+    docs = spark.createDataFrame([(1, "zebra crossing"), (2, "a crossing"), (3, "")], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(1, "zebra"), (2, "nothing")], "query_id int, text string")
+    found = retrieval.tfidf_scores(retrieval.fit(docs, tokenizer="tfidf_tokens"), queries)
+    top = retrieval.top_k_with_zeros(docs, queries, found, 3).collect()
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in top) == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 1), (2, 2, 2), (2, 3, 3)]
+    assert [r.score > 0 for r in sorted(top, key=lambda r: (r.query_id, r.rank))] == [True] + [False] * 5
+
+
+def test_index_build_is_reused_only_for_its_corpus(spark, docs, tmp_path):
+    path, queries = str(tmp_path / "i"), spark.createDataFrame([(1, "my order")], "query_id int, text string")
+    first = retrieval.build_index(docs, path, min_df=1)
+    assert retrieval.build_index(docs, path, min_df=1).meta["build_seconds"] == first.meta["build_seconds"] and first.meta["version"] == "cases:3:1:3"
+    less = retrieval.build_index(docs.where("doc_id > 1"), path, min_df=1)
+    assert less.meta["version"] == "cases:2:2:3" and less.totals[0] == 2
+    assert scores(retrieval.bm25_scores(less, queries)) == scores(retrieval.bm25_scores(retrieval.fit(docs.where("doc_id > 1"), min_df=1), queries))
+    capped = retrieval.fit(docs, min_df=1, max_terms=2)
+    assert capped.terms.count() == 2 and retrieval.bm25_scores(capped, queries).count() > 0
+
+
+def test_all_indexes_are_built_once(spark, docs, tmp_path):
+    variants = {"msg": docs, "ctx": docs.withColumn("text", F.concat("text", F.lit(" context")))}
+    first = retrieval.build_all(variants, str(tmp_path / "all")).collect()
+    assert {(r.model, r.variant) for r in first} == {(m, v) for m in ("bm25", "tfidf") for v in variants}
+    assert sorted(first) == sorted(retrieval.build_all(variants, str(tmp_path / "all")).collect())
+
+
+def test_classifier_round_trip_and_idf(spark, tmp_path):
+    rows = [(i, t, label) for i, (t, label) in enumerate([("refund my money", "refund"), ("money back refund", "refund"), ("late parcel", "late"), ("parcel is late again", "late")])]
+    df = ml.with_ngrams(spark.createDataFrame(rows, "id int, text string, label string"))
+    model = ml.text_classifier(df, min_df=1)
+    weights = model.stages[3].transform(model.stages[2].transform(model.stages[1].transform(model.stages[0].transform(df))))
+    word = model.stages[0].vocabulary.index("refund")
+    import math
+
+    assert abs(weights.where("id = 0").first()["weights"][word] - (math.log(5 / 3) + 1)) < 1e-9
+    ml.save(model, str(tmp_path / "m"))
+    again = ml.predict(ml.load(str(tmp_path / "m")), df)
+    assert [r.predicted for r in again.orderBy("id").collect()] == ["refund", "refund", "late", "late"]
+
+
+def test_agent_answers_from_all_parts(spark):
+    queries = spark.createDataFrame([("q", "my parcel is late"), ("z", "hm")], "query_id string, text string")
+    intents = spark.createDataFrame([("q", "delivery_delay", 0.9)], "query_id string, intent string, p double")
+    hits = spark.createDataFrame([("q", "c2", 0.5, 2), ("q", "c1", 0.9, 1), ("q", "gone", 0.4, 3)], "query_id string, doc_id string, score double, rank int")
+    cases = spark.createDataFrame([("c1", "We are sorry, it is on its way.", "en"), ("c2", None, "en")], "doc_id string, brand_response string, language string")
+    got = {r.example_id: r for r in policy.answer(queries, intents, hits, cases).collect()}
+    assert (got["q"].action, got["q"].n_evidence, got["q"].n_usable, got["q"].sim_mean) == ("auto_handle", 3, 1, 0.6) and "on its way" in got["q"].draft
+    assert (got["z"].action, got["z"].n_evidence) == ("escalate", 0)
+
+
+def test_job_manifest(spark, tmp_path):
+    from colloq.providers import router
+
+    requests, responses = spark.range(5), spark.createDataFrame([("0", "ok"), ("1", "ok"), ("2", "error")], "id string, status string")
+    job = router.job_of("labels", requests, responses, 3)
+    job.save(str(tmp_path / "job.json"))
+    assert router.Job.load(str(tmp_path / "job.json")) == job == router.Job("labels", 3, 5, 2, 1, 2) and not job.complete
+
+
+def test_embeddings_resume_and_refuse_other_models(spark, docs, tmp_path):
+    store, encode = retrieval.EmbeddingStore(spark, str(tmp_path / "e")), retrieval.hashed_encoder(8)
+    assert store.manifest is None
+    assert store.build(docs.where("doc_id < 3"), "hashed", 8, encode).count() == 2
+    assert not store.valid(docs, "hashed", 8)
+    vectors = store.build(docs, "hashed", 8, encode)
+    assert sorted(r.doc_id for r in vectors.collect()) == [1, 2, 3] and store.valid(docs, "hashed", 8)
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in vectors.collect())
+    with pytest.raises(retrieval.StaleEmbeddings):
+        store.build(docs, "other", 8, encode)
+
+
+def test_replies_of_a_long_conversation(spark):
+    """Each row enters its window frame once, whichever way it looks."""
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 9_999 == 0, "BRAND").otherwise("CUSTOMER").alias("role"), F.col("id").cast("string").alias("text"))
+    got = cv.with_replies(turns, "conv_id", ["turn"], F.col("role") == "BRAND", F.col("text")).where("turn in (5, 9999, 19999)").orderBy("turn").collect()
+    assert [(r.previous_brand, r.next_brand) for r in got] == [("0", "9999"), ("0", "19998"), ("19998", None)]
 
 
 def test_templates_and_empty_tables(spark):
