@@ -3,14 +3,14 @@
 A pair is a chosen and a rejected conversation. Their longest common prefix of turns (role and text
 equal, turn by turn) is rendered once, as the prompt; the turns behind it are rendered as the two
 completions. Masks give the spans of a completion that are trained on: what assistant turns say, with
-their end mark. Everything is one aggregation per pair over turns aligned by (pair, turn), so two long
-conversations are never compared by a join of all their turns.
+their end mark. Everything is one window and one aggregation per pair over turns aligned by (pair, turn), so two
+long conversations are never compared by a join of all their turns, and rendering is linear in their length.
 
 Defined cases: a null text or role counts as empty; turns without a conversation id or number are left
 out; of several rows of one conversation with the same turn, the smallest (role, text) counts, so
 repeated rows are harmless; a pair with only one side has an empty prompt and one empty completion; equal
-sides give a prompt and two empty completions; an empty table gives an empty result; other columns are
-ignored and never collide.
+sides give a prompt and two empty completions; long conversations and texts are rendered whole; an empty table
+gives an empty result; other columns are ignored and never collide.
 """
 
 from __future__ import annotations
@@ -18,11 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloq.llm.common import let
 from colloq.session import cut
 
 END = "<|end|>"
-DONOR_BLOCK = 1024
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
@@ -32,42 +30,39 @@ def _turns(conversations: DataFrame) -> DataFrame:
     return one.select("conv_id", "turn", "said.role", "said.text")
 
 
-def _next_replies(last: DataFrame) -> DataFrame:
-    """conv_id, until, other: the last reply of the next conversation by conv_id, around the end of the table.
+def _next_conversations(ids: DataFrame) -> DataFrame:
+    """(conv_id, donor): the next id, around the end of the table.
 
-    Conversations are sorted into ranges; the last one of a range takes the first of the next range.
+    Ids are sorted into ranges; the last one of a range takes the first of the next range.
     """
-    placed = cut(last.repartitionByRange("conv_id").select("conv_id", "last", F.spark_partition_id().alias("range")))
-    heads = placed.groupBy("range").agg(F.min(F.struct("conv_id", F.col("last.text").alias("text"))).alias("head"))
-    around = Window.orderBy("head.conv_id")  # one row per range
+    placed = cut(ids.repartitionByRange("conv_id").select("conv_id", "n", F.spark_partition_id().alias("range")))
+    heads = placed.groupBy("range").agg(F.min("conv_id").alias("head"))
+    around = Window.orderBy("head")  # one row per range
     heads = heads.select("range", F.coalesce(F.lead("head").over(around), F.first("head").over(around)).alias("after"))
-    own = F.struct("conv_id", F.col("last.text").alias("text"))
-    within = F.lead(own).over(Window.partitionBy("range").orderBy("conv_id"))
-    donors = placed.select("range", "conv_id", F.col("last.turn").alias("until"), within.alias("next")).join(F.broadcast(heads), "range")
-    donors = donors.select("conv_id", "until", F.coalesce("next", "after").alias("donor"))
-    return donors.where("donor.conv_id <> conv_id").select("conv_id", "until", F.col("donor.text").alias("other"))
+    within = F.lead("conv_id").over(Window.partitionBy("range").orderBy("conv_id"))
+    return placed.withColumn("next", within).join(F.broadcast(heads), "range").select("conv_id", "n", F.coalesce("next", "after").alias("donor"))
 
 
-def swapped_replies(conversations: DataFrame, block: int | None = DONOR_BLOCK) -> DataFrame:
-    """Pairs for a table without preferences: each conversation up to its last assistant turn is chosen;
-    the same with that turn's text replaced by the last reply of the next conversation is rejected.
+def crossed(conversations: DataFrame) -> DataFrame:
+    """Pairs for a table without preferences: each conversation is chosen; rejected is the same up to a turn of it, and
+    from there on what the next conversation by conv_id (around the end of the table) has.
 
-    "Next" is by conv_id, around the end: among all conversations with ``block=None`` (as in the registered query),
-    else within blocks of so many ids. A conversation without an assistant turn, or the only one of its block or
-    of the table, makes no pair. Gives (pair_id, side, turn, role, text).
+    The turn is the one at place ``(7 * conv_id + 3) mod n`` of the conversation's n turns, so sides part at their starts,
+    in their middles or at their ends, in text, role or length, and where the other says the same, later or never. A
+    table of one conversation makes a pair of equal sides. Gives (pair_id, side, turn, role, text).
     """
-    turns = _turns(conversations)
-    last = turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    if block is None:
-        donors = _next_replies(last)
-    else:
-        ids = Window.partitionBy(F.floor(F.col("conv_id") / block))
-        ring = ids.orderBy("conv_id")
-        other = F.coalesce(F.lead("last.text").over(ring), F.first("last.text").over(ring))
-        donors = last.select("conv_id", F.col("last.turn").alias("until"), other.alias("other"), F.count("*").over(ids).alias("n")).where("n > 1")
-    rows = turns.join(donors, "conv_id").where("turn <= until")
-    sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text")), F.struct(F.lit("rejected").alias("side"), F.when(F.col("turn") == F.col("until"), F.col("other")).otherwise(F.col("text")).alias("text")))
-    return rows.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(sides).alias("s")).select("pair_id", "s.side", "turn", "role", "s.text")
+    turns = cut(_turns(conversations))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    rings = _next_conversations(sizes)
+    at = F.pmod(F.pmod(F.col("conv_id"), F.col("n")) * 7 + 3, F.col("n"))
+    parts = turns.withColumn("place", place).join(rings, "conv_id").where(F.col("place") == at).select("conv_id", "donor", F.col("turn").alias("from"))
+    parts = cut(parts)
+    own = turns.join(parts, "conv_id").select(F.col("conv_id").alias("pair_id"), (F.col("turn") < F.col("from")).alias("shared"), "turn", "role", "text")
+    sides = F.when(F.col("shared"), F.array(F.lit("chosen"), F.lit("rejected"))).otherwise(F.array(F.lit("chosen")))
+    lent = turns.withColumnRenamed("conv_id", "donor").join(parts, "donor").where(F.col("turn") >= F.col("from"))
+    rejected = lent.select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
+    return own.select("pair_id", F.explode(sides).alias("side"), "turn", "role", "text").unionByName(rejected)
 
 
 def paired(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -77,49 +72,33 @@ def paired(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     return wanted.join(_turns(conversations), "conv_id").select("pair_id", "side", "turn", "role", "text")
 
 
-def _rendered(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), turn["text"], F.lit(END + "\n"))
-
-
-def _completion(turns: Column) -> Column:
-    """struct(text, mask): rendered turns, and the trained spans as start:stop, joined by commas."""
-    start = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("mask"), F.lit(0).alias("n"))
-
-    def add(a: Column, t: Column) -> Column:
-        head = F.length(t["role"]) + 5
-        begin = a["n"] + head
-        stop = begin + F.length(t["text"]) + len(END)
-        span = F.concat_ws(":", begin.cast("string"), stop.cast("string"))
-        return F.struct(F.concat(a["text"], _rendered(t)).alias("text"), F.when(t["role"] == "assistant", F.array_append(a["mask"], span)).otherwise(a["mask"]).alias("mask"), (stop + 1).alias("n"))
-
-    return F.aggregate(turns, start, add, lambda a: F.struct(a["text"].alias("text"), F.array_join(a["mask"], ",").alias("mask")))
-
-
 def format_preferences(sides: DataFrame) -> DataFrame:
-    """pair_id, prompt_turns, prompt, chosen, rejected and their masks; one row per pair."""
+    """pair_id, prompt_turns, prompt, chosen, rejected and their masks (spans as start:stop, joined by commas); one row per pair."""
     said = F.struct("role", "text")
     aligned = sides.where("pair_id is not null and turn is not null").groupBy("pair_id", "turn").agg(
-        F.min(F.when(F.col("side") == "chosen", said)).alias("c"), F.min(F.when(F.col("side") == "rejected", said)).alias("r")
-    )
-    same = F.col("c").isNotNull() & F.col("c").eqNullSafe(F.col("r"))
-    pairs = aligned.select("pair_id", "turn", "c", "r", same.alias("same")).groupBy("pair_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "c", "r"))).alias("t"), F.min(F.when(~F.col("same"), F.col("turn"))).alias("split")
+        F.min(F.when(F.col("side") == "chosen", said)).alias("chosen"), F.min(F.when(F.col("side") == "rejected", said)).alias("rejected")
     )
-    split = F.col("split")
-
-    def part(side: str, before: bool) -> Column:
-        def inside(t: Column) -> Column:
-            return (split.isNull() | (t["turn"] < split)) if before else (t["turn"] >= split)
-
-        return F.filter(F.transform(F.filter(F.col("t"), lambda t: F.coalesce(inside(t), F.lit(False))), lambda t: t[side]), lambda x: x.isNotNull())
-
-    cut_up = pairs.select("pair_id", part("c", True).alias("p"), _completion(part("c", False)).alias("c"), _completion(part("r", False)).alias("r"))
-    return cut_up.select(
-        "pair_id",
-        F.size("p").cast("long").alias("prompt_turns"),
-        let(F.col("p"), lambda p: F.array_join(F.transform(p, _rendered), "")).alias("prompt"),
-        F.col("c.text").alias("chosen"),
-        F.col("r.text").alias("rejected"),
-        F.col("c.mask").alias("chosen_mask"),
-        F.col("r.mask").alias("rejected_mask"),
+    before = Window.partitionBy("pair_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("chosen").isNotNull() & F.col("chosen").eqNullSafe(F.col("rejected"))
+    rows = aligned.withColumn("prompt", F.bool_and(same).over(before))
+    for side in ("chosen", "rejected"):
+        text, head = F.concat(F.lit("<|"), f"{side}.role", F.lit("|>\n"), f"{side}.text", F.lit(END + "\n")), F.length(f"{side}.role") + 5
+        rows = rows.withColumn(f"{side}_text", text)
+        # characters of the completion up to the end of this turn
+        upto = F.sum(F.when(~F.col("prompt"), F.length(f"{side}_text"))).over(before)
+        span = F.concat_ws(":", upto - F.length(f"{side}_text") + head, upto - 1)
+        rows = rows.withColumn(f"{side}_span", F.when(~F.col("prompt") & (F.col(f"{side}.role") == "assistant"), span))
+
+    def joined(column: str, prompt: bool, by: str) -> Column:
+        kept = F.col("prompt") if prompt else ~F.col("prompt")
+        listed = F.sort_array(F.collect_list(F.when(kept & F.col(column).isNotNull(), F.struct("turn", F.col(column).alias("x")))))
+        return F.array_join(F.transform(listed, lambda t: t["x"]), by)
+
+    return rows.groupBy("pair_id").agg(
+        F.count_if("prompt").alias("prompt_turns"),
+        joined("chosen_text", True, "").alias("prompt"),
+        joined("chosen_text", False, "").alias("chosen"),
+        joined("rejected_text", False, "").alias("rejected"),
+        joined("chosen_span", False, ",").alias("chosen_mask"),
+        joined("rejected_span", False, ",").alias("rejected_mask"),
     )

@@ -10,7 +10,7 @@ from colloq.session import read
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.deduplicated(read(spark, sf_dir, "documents"), min_words=1)
+    rows = line_dedup.deduplicated(read(spark, sf_dir, "documents"))
     shown = F.transform("removed", lambda r: F.concat_ws(":", r["line_no"].cast("string"), r["by_doc_id"].cast("string"), r["by_line_no"].cast("string")))
     return rows.select("doc_id", "n_removed", F.array_join(shown, ",").alias("removed"))
 
@@ -32,7 +32,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
-    return chat_formatting.format_preferences(chat_formatting.swapped_replies(turns, block=None))
+    return chat_formatting.format_preferences(chat_formatting.crossed(turns))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,21 +97,22 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
     "op5_chat_formatting": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, ''), coalesce(text, '')) = 1),
-l AS (SELECT conv_id, max(turn) AS turn FROM t WHERE role = 'assistant' GROUP BY conv_id),
-replies AS (SELECT l.conv_id, l.turn, t.text FROM l JOIN t ON t.conv_id = l.conv_id AND t.turn = l.turn),
-donors AS (SELECT conv_id, turn, coalesce(lead(text) OVER w, first_value(text) OVER w) AS other, count(*) OVER (PARTITION BY conv_id // 1024) AS n
-        FROM replies WINDOW w AS (PARTITION BY conv_id // 1024 ORDER BY conv_id)),
-p AS (SELECT d.conv_id AS pair_id, t.turn, t.role, t.text AS c, CASE WHEN t.turn = d.turn THEN d.other ELSE t.text END AS r
-        FROM donors d JOIN t ON t.conv_id = d.conv_id AND t.turn <= d.turn WHERE d.n > 1),
-s AS (SELECT pair_id, min(CASE WHEN c <> r THEN turn END) AS split FROM p GROUP BY pair_id),
-x AS (SELECT p.*, s.split, '<|' || role || '|>' || chr(10) || c || '<|end|>' || chr(10) AS rc, '<|' || role || '|>' || chr(10) || r || '<|end|>' || chr(10) AS rr FROM p JOIN s USING (pair_id))
-SELECT pair_id, count(*) FILTER (split IS NULL OR turn < split) AS prompt_turns,
-  coalesce(string_agg(rc, '' ORDER BY turn) FILTER (split IS NULL OR turn < split), '') AS prompt,
-  coalesce(string_agg(rc, '' ORDER BY turn) FILTER (turn >= split), '') AS chosen,
-  coalesce(string_agg(rr, '' ORDER BY turn) FILTER (turn >= split), '') AS rejected,
-  coalesce(max(CASE WHEN turn >= split THEN '14:' || (14 + length(c) + 7) END), '') AS chosen_mask,
-  coalesce(max(CASE WHEN turn >= split THEN '14:' || (14 + length(r) + 7) END), '') AS rejected_mask
-FROM x GROUP BY pair_id""",
+c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+ring AS (SELECT conv_id, coalesce(lead(conv_id) OVER (ORDER BY conv_id), first_value(conv_id) OVER (ORDER BY conv_id)) AS donor FROM (SELECT DISTINCT conv_id FROM t)),
+part AS (SELECT conv_id, donor, turn AS start FROM c JOIN ring USING (conv_id) WHERE place = ((conv_id % n) * 7 + 3) % n),
+x AS (SELECT p.conv_id AS pair_id, t.turn, 'chosen' AS side, role, text FROM part p JOIN t ON t.conv_id = p.conv_id
+        UNION ALL SELECT p.conv_id, t.turn, 'rejected', role, text FROM part p JOIN t ON (t.conv_id = p.conv_id AND t.turn < start) OR (t.conv_id = p.donor AND t.turn >= start)),
+a AS (SELECT pair_id, turn, count(*) AS sides, count(DISTINCT (role, text)) AS kinds FROM x GROUP BY 1, 2),
+s AS (SELECT pair_id, min(turn) FILTER (sides <> 2 OR kinds <> 1) AS split FROM a GROUP BY 1),
+y AS (SELECT x.*, s.split, split IS NULL OR turn < split AS shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said FROM x JOIN s USING (pair_id)),
+z AS (SELECT *, sum(CASE WHEN shared THEN 0 ELSE length(said) END) OVER (PARTITION BY pair_id, side ORDER BY turn) AS upto FROM y)
+SELECT pair_id, count(*) FILTER (shared AND side = 'chosen') AS prompt_turns,
+  coalesce(string_agg(said, '' ORDER BY turn) FILTER (shared AND side = 'chosen'), '') AS prompt,
+  coalesce(string_agg(said, '' ORDER BY turn) FILTER (NOT shared AND side = 'chosen'), '') AS chosen,
+  coalesce(string_agg(said, '' ORDER BY turn) FILTER (NOT shared AND side = 'rejected'), '') AS rejected,
+  coalesce(string_agg((upto - length(text) - 8) || ':' || (upto - 1), ',' ORDER BY turn) FILTER (NOT shared AND side = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((upto - length(text) - 8) || ':' || (upto - 1), ',' ORDER BY turn) FILTER (NOT shared AND side = 'rejected' AND role = 'assistant'), '') AS rejected_mask
+FROM z GROUP BY pair_id""",
     "op6_url_filters": r"""
 WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
