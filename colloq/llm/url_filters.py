@@ -8,8 +8,12 @@ member allows the undecided members of its component; else an explicit block of
 them; else they are allowed. Ends of edges that are no pages count too: rules judge them as they judge pages.
 Relative link targets are those of the page's own url.
 
+Forms are compared as text: those with links are numbered by their rank for the components, so no two share a node.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, has no
-aliases and is allowed; repeated rows are judged alike; an empty table gives an empty result.
+aliases and is allowed; repeated rows are judged alike; of rules of one length that fit, the one that sorts first
+counts, and of one pattern's two verdicts allow; very long urls and pages are read whole; other columns are
+ignored and never collide; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 
 from colloq.llm.common import LOWER, UPPER
 from colloq.operators.graph import connected_components
+from colloq.operators.sampling import ranked_rows
 from colloq.session import cut
 
 
@@ -62,7 +67,9 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def best_rule(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> Column:
     """The longest fitting rule as struct(rule, verdict), else null; ties go to the rule that sorts first."""
     chain = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: (len(r.pattern), r.pattern), reverse=False):
+    # the last to be put around the others is asked first
+    by_pattern = sorted(rules, key=lambda r: (r.pattern, r.verdict != "allow"), reverse=True)
+    for r in sorted(by_pattern, key=lambda r: len(r.pattern)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         chain = F.when(fits, F.struct(F.lit(r.pattern).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(chain)
     return chain
@@ -107,7 +114,7 @@ def resolved(target: Column, url: Column) -> Column:
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and the alias component's representative.
+    """page_id, host, path, rule, verdict and the form that names the alias component.
 
     ``redirects`` (src, dst: urls) adds edges to those found in ``pages.html``.
     """
@@ -126,17 +133,28 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[Url
     if redirects is not None:
         edges = edges.unionByName(redirects.select(end(F.col("src")).alias("a"), end(F.col("dst")).alias("b")))
     links = cut(edges.where("a.form is not null and b.form is not null"))
-    edges = links.select(F.xxhash64("a.form").alias("src"), F.xxhash64("b.form").alias("dst"))
-    alias = connected_components(edges).select(F.col("node").alias("form_id"), F.col("component").alias("linked"))
-
     # pages and edge ends of one form are one node, so a form of any size is one row here
     ends = links.select(F.explode(F.array("a", "b")).alias("e")).select("e.form", "e.ruled")
-    forms = parsed.where(F.col("form").isNotNull()).select("form", "ruled").unionByName(ends).groupBy(F.xxhash64("form").alias("form_id")).agg(
-        F.max(F.col("ruled") == "allow").alias("allowed"), F.max(F.col("ruled") == "block").alias("blocked")
-    )
-    forms = forms.join(alias, "form_id", "left").withColumn("alias_id", F.coalesce("linked", "form_id"))
-    decided = forms.groupBy("alias_id").agg(F.max("allowed").alias("any_allow"), F.max("blocked").alias("any_block"))
+    forms = parsed.where(F.col("form").isNotNull()).select("form", "ruled").unionByName(ends)
+    forms = forms.groupBy("form").agg(F.max(F.col("ruled") == "allow").alias("allowed"), F.max(F.col("ruled") == "block").alias("blocked"))
+    if not links.isEmpty():
+        forms = forms.join(_aliases(links, ends), "form", "left")
+    else:
+        forms = forms.withColumn("alias", F.lit(None).cast("string"))
+    forms = cut(forms.withColumn("alias", F.coalesce("alias", "form")))
+    decided = forms.groupBy("alias").agg(F.max("allowed").alias("any_allow"), F.max("blocked").alias("any_block"))
     inherited = F.when(F.col("any_allow"), F.lit("allow")).when(F.col("any_block"), F.lit("block")).otherwise(F.lit("allow"))
-    verdicts = forms.select("form_id", "alias_id").join(decided.select("alias_id", inherited.alias("inherited")), "alias_id")
-    joined = parsed.withColumn("form_id", F.xxhash64("form")).join(verdicts, "form_id", "left")
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", "inherited", F.lit("allow")).alias("verdict"), F.when(F.col("form").isNotNull(), F.col("alias_id")).alias("alias_id"))
+    verdicts = forms.select("form", "alias").join(decided.select("alias", inherited.alias("inherited")), "alias")
+    joined = parsed.join(verdicts, "form", "left")
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", "inherited", F.lit("allow")).alias("verdict"), "alias")
+
+
+def _aliases(links: DataFrame, ends: DataFrame) -> DataFrame:
+    """(form, alias): the first form in order of each linked form's component."""
+    nodes = cut(ranked_rows(ends.select("form").distinct(), [F.col("form")], "node").select("form", "node"))
+    edges = links.select(F.col("a.form").alias("form"), F.col("b.form").alias("other")).distinct()
+    edges = edges.join(nodes.withColumnRenamed("node", "src"), "form").join(nodes.select(F.col("form").alias("other"), F.col("node").alias("dst")), "other")
+    parts = connected_components(edges.select("src", "dst"))
+    # the smallest node is the form that sorts first
+    named = parts.join(nodes, "node").select("form", "component")
+    return named.join(nodes.select(F.col("node").alias("component"), F.col("form").alias("alias")), "component").select("form", "alias")
