@@ -2,16 +2,18 @@
 
 Every partition reduces its rows to a run of digests sorted by key. Runs are then exchanged in
 rounds: in each round ``2**steps`` neighbouring run groups (``steps`` levels of the binomial tree)
-meet and are merged as sorted streams; every level keeps per digest the identifier to retain and
-the number of copies. An exchange deals out (run group, digest), so a level is merged by many tasks
-and a group of copies, however large, reaches the next level as one row per run group.
+meet and are merged; every level keeps per digest the identifier to retain and the number of copies.
+An exchange deals out (run group, digest), so a level is merged by many tasks and a group of copies,
+however large, reaches the next level as one row per run group. Runs travel sorted: each block that a task
+reads is in the order of the keys. Spark's exchange does not merge blocks, so the merge is the
+sort above it, whose algorithm (TimSort) finds the sorted runs of its input and merges them.
 
 Digests are verified: the key is SHA-256 together with the byte length and an independent 64-bit
 hash, so texts that differ in any of them never meet.
 
 Defined cases: a null text counts as empty; among rows with the same largest (or smallest) doc_id
 and equal texts, exactly one stays; a null doc_id loses to any other; an empty table gives an empty
-result; other columns are kept by :func:`drop_copies` and never collide.
+result; very long texts are hashed whole; other columns, of any type, are kept by :func:`drop_copies` and never collide.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def groups(docs: DataFrame, keep: str = "max", steps: int = 4) -> DataFrame:
 def drop_copies(docs: DataFrame, keep: str = "max", steps: int = 4) -> DataFrame:
     """The retained rows with their columns as they were, found again by doc_id and digest.
 
-    Rows that share both with the retained row (repeated rows) are reduced to the smallest of them,
+    Rows that share both with the retained row (repeated rows) are reduced to the one whose JSON sorts first,
     in a branch that exists only if there are any.
     """
     null, ident, sha, all_columns = fresh(docs, "null", "id", "sha", "row")
@@ -80,6 +82,7 @@ def drop_copies(docs: DataFrame, keep: str = "max", steps: int = 4) -> DataFrame
     kept = marked.join(sized(gone.select(*key)), key, "left_anti").select(*docs.columns)
     if again.isEmpty():
         return kept
-    columns = F.struct(*[marked[c] for c in docs.columns]).alias(all_columns)
-    one = marked.join(again, key, "left_semi").groupBy(*key).agg(F.min(columns).alias(all_columns))
+    columns = F.struct(*[marked[c] for c in docs.columns])
+    # as text, since columns without an order may be among them
+    one = marked.join(again, key, "left_semi").groupBy(*key).agg(F.min_by(columns, F.to_json(columns)).alias(all_columns))
     return kept.unionByName(one.select(f"{all_columns}.*"))
