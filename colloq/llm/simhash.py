@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -131,24 +132,46 @@ def links(fps: DataFrame, groups: int = GROUPS, dense: int = DENSE) -> DataFrame
     return sparse.unionByName(crowded).distinct()
 
 
-def near_duplicates(docs: DataFrame, groups: int = GROUPS, dense: int = DENSE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id; one row per input row."""
+def _grouped(docs: DataFrame, groups: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp), and names (fp, component_id, first: the fingerprint of the component's naming document)."""
     rows = cut(fingerprints(docs))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     parts = connected_components(links(classes.select("fp"), groups, dense))
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("component", "fp"))
     named = cut(named.select("fp", "least", "part"))
-    first = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    names = named.join(first, "part").select("fp", "component_id")
+    first = named.groupBy("part").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("f"))
+    return rows, named.join(first, "part").select("fp", F.col("f.least").alias("component_id"), F.col("f.fp").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, groups: int = GROUPS, dense: int = DENSE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id; one row per input row."""
+    rows, names = _grouped(docs, groups, dense)
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, groups: int = GROUPS, dense: int = DENSE) -> DataFrame:
     """One document of each component stays, the one that names it; the columns are kept as they were.
 
-    Rows that share their doc_id share its fate, and rows with a null doc_id stay, as nothing tells them apart.
+    Rows that share doc_id and fingerprint share their fate. Rows are found again by doc_id; where rows of one doc_id
+    (or without one) differ in their fate, by their fingerprints, which are then taken once more from these rows alone.
     """
-    ident, gone = fresh(docs, "id", "gone")
-    found = near_duplicates(docs, groups, dense).where("component_id <> doc_id").select(F.col("doc_id").alias(ident)).distinct()
-    found = cut(found)
-    return docs.withColumn(ident, F.col("doc_id")).join(sized(found), ident, "left_anti").select(*docs.columns)
+    none, ident, fp = fresh(docs, "none", "id", "fp")
+    rows, names = _grouped(docs, groups, dense)
+    key = (F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0)).alias(ident))
+    stays = F.col("fp").eqNullSafe(F.col("first")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    fates = rows.join(names, "fp").select(*key, F.col("fp").alias(fp), stays.alias("stays")).distinct()
+    fates = cut(fates)
+    by_id = cut(fates.groupBy(none, ident).agg(F.bool_or("stays").alias("some"), F.bool_and("stays").alias("all")).where("not all"))
+    own = F.col("doc_id").cast("bigint")
+    marked = docs.withColumns({none: own.isNull(), ident: F.coalesce(own, F.lit(0))})
+    kept = marked.join(sized(by_id.select(none, ident)), [none, ident], "left_anti").select(*docs.columns)
+    mixed = by_id.where("some").select(none, ident)
+    if mixed.isEmpty():
+        return kept
+
+    @F.pandas_udf("bigint")
+    def again(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _signed(fingerprint(t)))
+
+    apart = marked.join(mixed, [none, ident], "left_semi").withColumn(fp, again(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return kept.unionByName(apart.join(fates.where("stays").select(none, ident, fp), [none, ident, fp], "left_semi").select(*docs.columns))
