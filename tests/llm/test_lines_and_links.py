@@ -208,9 +208,51 @@ def test_preference_pairs(spark):
     assert got[10].prompt == "" and got[10].chosen == "<|user|>\n<|end|>\n"
 
 
-def test_swapped_replies(spark):
-    conv = clashing(turns(spark, [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d"), (2, 2, "user", "e"), (5000, 1, "assistant", "alone"), (3, 0, "user", "none")]))
-    got = {r.pair_id: (r.prompt, r.chosen, r.rejected) for r in chat_formatting.format_preferences(chat_formatting.swapped_replies(conv)).collect()}
-    say = lambda role, t: f"<|{role}|>\n{t}<|end|>\n"
-    assert got == {1: (say("user", "a"), say("assistant", "b"), say("assistant", "d")), 2: (say("user", "c"), say("assistant", "d"), say("assistant", "b"))}
-    assert chat_formatting.format_preferences(chat_formatting.swapped_replies(conv.limit(0))).count() == 0
+def brute_pairs(rows):
+    """rows: (conv_id, turn, role, text); pair_id -> (prompt, chosen, rejected, masks), turn by turn."""
+    convs = defaultdict(dict)
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "", r[3] or ""), reverse=True):
+        convs[c][t] = (role or "", text or "")
+    ids, out = sorted(convs), {}
+    say = lambda turns: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in turns)
+
+    def mask(turns):
+        at, spans = 0, []
+        for r, t in turns:
+            if r == "assistant":
+                spans.append(f"{at + len(r) + 5}:{at + len(r) + 5 + len(t) + 7}")
+            at += len(say([(r, t)]))
+        return ",".join(spans)
+
+    for k, c in enumerate(ids):
+        own, other = convs[c], convs[ids[(k + 1) % len(ids)]]
+        start = sorted(own)[((c % len(own)) * 7 + 3) % len(own)]
+        crossed = {t: x for t, x in own.items() if t < start} | {t: x for t, x in other.items() if t >= start}
+        split = next((t for t in sorted({*own, *crossed}) if t not in own or own[t] != crossed.get(t)), math.inf)
+        prompt = [own[t] for t in sorted(own) if t < split]
+        a, b = ([side[t] for t in sorted(side) if t >= split] for side in (own, crossed))
+        out[c] = (len(prompt), say(prompt), say(a), say(b), mask(a), mask(b))
+    return out
+
+
+def test_crossed_conversations_match_brute_force(spark):
+    """Sides that part at any turn, in role or text or length, with gaps, repeated turns, nulls and equal stretches."""
+    rnd = random.Random(3)
+    rows = [(c, t, rnd.choice(["user", "assistant", "system", None]), rnd.choice(["a", "bb", "é🙂", None, ""])) for c in (*range(-4, 40), 10**12, 1 << 62) for t in range(rnd.randint(1, 7)) if t == 0 or rnd.random() < 0.8 for _ in range(rnd.choice([1, 1, 2]))]
+    rows += [(c, t, "user" if t % 2 == 0 else "assistant", f"same {t}") for c in (100, 101) for t in range(3 + c % 100)]
+    conv = clashing(turns(spark, rows))
+    got = {r.pair_id: (r.prompt_turns, r.prompt, r.chosen, r.rejected, r.chosen_mask, r.rejected_mask) for r in chat_formatting.format_preferences(chat_formatting.crossed(conv)).collect()}
+    expected = brute_pairs(rows)
+    assert got == expected
+    assert len({x[0] for x in expected.values()}) > 3 and any(x[2] and not x[3] for x in expected.values()) and any(x[5].count(",") for x in expected.values())
+
+
+def test_crossed_cases(spark):
+    conv = turns(spark, [(5, 0, "user", "a"), (5, 1, "assistant", "b"), (None, 0, "user", "x"), (6, None, "user", "y")])
+    assert [(r.pair_id, r.prompt_turns, r.chosen, r.rejected) for r in chat_formatting.format_preferences(chat_formatting.crossed(conv)).collect()] == [(5, 2, "", "")]
+    assert chat_formatting.format_preferences(chat_formatting.crossed(conv.limit(0))).count() == 0
+    long = turns(spark, [(c, t, "assistant", f"{c if t > 2500 else 0} " + "word " * 20) for c in (1, 2) for t in range(5000)])
+    got = {r.pair_id: r for r in chat_formatting.format_preferences(chat_formatting.crossed(long)).collect()}
+    assert got[1].prompt_turns >= 2501 and got[1].prompt_turns + got[1].chosen_mask.count(",") + 1 == 5000
+    text, spans = got[1].rejected, [tuple(map(int, x.split(":"))) for x in got[1].rejected_mask.split(",")]
+    assert all(text[a:b].endswith("<|end|>") and text[a:b].startswith("2 word") for a, b in spans)

@@ -90,6 +90,23 @@ def test_drop_copies(spark):
     assert sorted([(-1 if r.doc_id is None else r.doc_id) for r in out]) == [-1, 4, 5, 6, 7, 8, 9, 10]
 
 
+def test_drop_copies_with_columns_that_have_no_order(spark):
+    docs = table(spark, [(1, "Same"), (2, "same"), (2, "SAME"), (3, "other"), (None, "x"), (None, "X")]).withColumn("tags", F.create_map(F.lit("k"), F.col("text")))
+    out = exact_dedup.drop_copies(docs)
+    assert out.dtypes == docs.dtypes
+    assert sorted(((r.doc_id or 0), r.tags["k"].lower()) for r in out.collect()) == [(0, "x"), (2, "same"), (3, "other")]
+
+
+def test_near_copies_by_row(spark):
+    """Rows that share a doc_id, or have none, go or stay each by its own text."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven", "twelve thirteen fourteen fifteen"
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, a), (None, c), (None, c + " "), (5, b), (6, None), (7, "")]
+    docs = clashing(table(spark, rows))
+    out = simhash.drop_near_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in out.collect()) == [(0, c), (0, c), (1, a), (2, b), (2, b), (6, "")]
+
+
 def fingerprint(text):
     w = words(lower(text))
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else ([" ".join(w)] if w else [])

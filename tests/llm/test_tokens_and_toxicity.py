@@ -143,6 +143,38 @@ def test_grammar_weighs_whole_clauses():
     assert clause("idiot you are") > plain
 
 
+def brute_clause(symbols, weight, threat):
+    """The grammar's rules read off positions: distances to the nearest word of a class, no states."""
+    total = 0.0
+    for i, s in enumerate(symbols):
+        back = lambda kind, reach: any(symbols[j] == kind for j in range(max(0, i - reach), i))
+        reported = 0.5 if "report" in symbols[:i] else 1.0
+
+        def value(k):
+            before = 1.3 if any(symbols[j] == "target" for j in range(max(0, k - 4), k)) else 1.0
+            negated = 0.4 if any(symbols[j] == "negation" for j in range(max(0, k - 3), k)) else 1.0
+            return weight * before * negated * (0.5 if "report" in symbols[:k] else 1.0)
+
+        if s == "insult":
+            total += value(i)
+        if s == "target":
+            since = max((j for j in range(i) if symbols[j] == "target"), default=-1)
+            recent = lambda kind: [j for j in range(max(since + 1, i - 3), i) if symbols[j] == kind]
+            total += 0.3 * value(recent("insult")[-1]) * reported if recent("insult") else 0.0
+            total += threat * reported if recent("threat") and back("threat", 3) else 0.0
+    return total
+
+
+def test_the_composed_machine_matches_the_rules():
+    rnd = random.Random(17)
+    said = {"insult": "idiot", "target": "you", "negation": "not", "report": "said", "threat": "kill", "other": "tree"}
+    model = toxicity.Model(threat=2.5)
+    for _ in range(20_000):
+        symbols = rnd.choices(list(said), weights=[3, 3, 2, 1, 2, rnd.choice([1, 6])], k=rnd.randint(0, 12))
+        assert abs(model.clause([said[s] for s in symbols]) - brute_clause(symbols, toxicity.BUILT_IN_WEIGHT, 2.5)) < 1e-9, symbols
+    assert len(toxicity.composed()) > 100
+
+
 def test_toxicity_on_awkward_rows(spark):
     docs = clashing(table(spark, [*AWKWARD, (30, "you are a worthless idiot and pathetic scum")]))
     model = toxicity.Model()

@@ -1,10 +1,11 @@
 """Line dedup, URL filters and preference pairs on the cases that they used to leave out."""
 
 import random
+import re
 
-from helpers import table, words
+from helpers import clashing, table, words
 
-from colloq.llm import line_dedup, queries, url_filters
+from colloq.llm import chat_formatting, line_dedup, queries, url_filters
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,13 +94,67 @@ def test_rules_judge_link_ends_that_are_no_pages(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow", 10: "block", 11: "block"}
 
 
-def test_sparse_conversations_make_pairs(spark, tmp_path):
-    """Ids over 1,024 apart, negative ones included: each takes the next one's reply, the last one the first's."""
+def test_links_match_union_find(spark):
+    """Chains, cycles, forks and uncrawled ends over redirects, canonical links and forms; allow beside block."""
+    rnd = random.Random(13)
+    hosts, paths = ["a.it", "www.b.it", "m.c.org", "z.org", "x.example.com", "example.net", "y.net"], ["/en/7", "/en/8", "/de/8", "/de/1", "/es/1", "/fr/1", "/fr/1.html", "/fr/2/", "/q?x=1", ""]
+    urls = [f"http{rnd.choice(['', 's'])}://{h}{p}" for h in hosts for p in paths]
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+    def parts(url):
+        rest = url.partition("://")[2]
+        host = rest.split("/")[0].split("?")[0]
+        return host, rest[len(host) :].split("?")[0]
+
+    def ruled(url):
+        host, path = parts(url)
+        fits = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        return rules[max(fits, key=len)] if fits else None
+
+    def form(url):
+        host, path = parts(url)
+        return re.sub(r"^(www|m)\.", "", host) + re.sub(r"\.html?$", "", re.sub(r"/+$", "", path))
+
+    for _ in range(3):
+        crawled = rnd.sample(urls, 40)
+        links = {u: rnd.choice(urls) for u in rnd.sample(crawled, 12)}
+        hops = [(rnd.choice(urls), rnd.choice(urls)) for _ in range(10)]
+        chain = rnd.sample(urls, 6)
+        hops += list(zip(chain, [*chain[1:], chain[0]], strict=True))
+        top = {}
+
+        def find(x):
+            while top.setdefault(x, x) != x:
+                x = top[x]
+            return x
+
+        for a, b in [*links.items(), *hops]:
+            top[find(form(a))] = find(form(b))
+        flags = {}
+        for u in {*crawled, *links.values(), *(x for hop in hops for x in hop)}:
+            flags.setdefault(find(form(u)), set()).add(ruled(u))
+        expected = {}
+        for i, u in enumerate(crawled):
+            group = flags[find(form(u))]
+            expected[i] = ruled(u) or ("allow" if "allow" in group else "block" if "block" in group else "allow")
+        pages = spark.createDataFrame([(i, u, f'<link rel="canonical" href="{links[u]}">' if u in links else None) for i, u in enumerate(crawled)], "page_id bigint, url string, html string")
+        redirects = spark.createDataFrame(hops, "src string, dst string")
+        assert {r.page_id: r.verdict for r in url_filters.judge(pages, redirects).collect()} == expected
+
+
+def test_ties_of_rules_and_long_urls(spark):
+    rules = tuple(url_filters.UrlRule(v, p) for v, p in (("block", "a.it/xb"), ("allow", "a.it/xa"), ("block", "it/same"), ("allow", "it/same"), ("block", "b.a.it/"), ("allow", "a.it/qq")))
+    long = "http://l.it/" + "x" * 200_000
+    rows = [(1, "http://a.it/same"), (2, "http://b.a.it/qq"), (3, long), (4, long + "?q"), (None, None)]
+    pages = clashing(spark.createDataFrame([(i, u, None) for i, u in rows], "page_id bigint, url string, html string"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(pages, rules=rules).collect()}
+    assert got == {1: ("it/same", "allow"), 2: ("a.it/qq", "allow"), 3: (None, "allow"), 4: (None, "allow"), None: (None, "allow")}
+
+
+def test_sparse_conversations_make_pairs(spark):
+    """Every conversation makes a pair, whatever its id, and the last one goes on with the first."""
     ids = [-(1 << 62), -5000, 3, *range(10_000, 10_000 + 5000 * 40, 5000), 1 << 62]
-    rows = [(c, t, r, f"{r} {c}") for c in ids for t, r in enumerate(("user", "assistant"))]
-    said = spark.createDataFrame([*rows, (4, 0, "user", "no reply")], "conv_id bigint, turn bigint, role string, text string")
-    said.write.parquet(str(tmp_path / "many" / "conversations.parquet"))
-    got = {r.pair_id: r.rejected for r in queries.op5_chat_formatting(spark, str(tmp_path / "many")).collect()}
-    assert got == {c: f"<|assistant|>\nassistant {d}<|end|>\n" for c, d in zip(ids, [*ids[1:], ids[0]], strict=True)}
-    said.where("conv_id = 3").write.parquet(str(tmp_path / "one" / "conversations.parquet"))
-    assert queries.op5_chat_formatting(spark, str(tmp_path / "one")).count() == 0
+    rows = [(c, 0, "assistant", f"{c}") for c in ids]
+    said = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.pair_id: r.rejected for r in chat_formatting.format_preferences(chat_formatting.crossed(said)).collect()}
+    assert got == {c: f"<|assistant|>\n{d}<|end|>\n" for c, d in zip(ids, [*ids[1:], ids[0]], strict=True)}
