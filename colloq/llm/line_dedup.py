@@ -4,16 +4,16 @@ A line is the set of its words. Words are ordered by rarity (corpus counts of al
 ``2**SKETCH_BITS`` hashed buckets, so the order needs a table of fixed size; any total order is exact,
 rarity makes it fast). Lines with equal sets are one class, named by its first line. Each class is posted
 under the first words of its order (prefix filter), and classes that share a posted word are tested by
-length, by the position of the shared word and by a 64-bit parity bitmap of their ``HEAD`` rarest words,
+length, by the position of the shared word and by a 128-bit parity bitmap of their ``HEAD`` rarest words,
 whose distance is bounded for similar sets. What remains is verified on the words themselves, read again
 from the texts. A line goes if an equal or similar line (Jaccard >= 0.8) stands earlier in (document, line)
 order.
 
-Only the existence of an earlier match matters. Classes that share a word posted by at most ``CROWD``
-classes are compared with each other, so a posting costs at most ``CROWD`` comparisons. Classes that share
-a more common posted word (a large family of similar lines) are first compared with the earliest class of
-that word, which settles most of a family at a cost linear in its size; only those without a match yet
-are then compared with every earlier class of the word. Both ways read one exchange of the postings.
+Only the existence of an earlier match matters. Of the earlier classes that pass the filters for a class, the
+most alike one by its bitmap is verified first, so a family of similar lines sends on a row per member, not a row per
+pair; only classes for which it fails are compared with all the others. Classes that share a word posted by
+more than ``CROWD`` classes are first compared with the earliest class of that word alone, at a cost
+linear in their number; only those without a match yet are compared with every earlier class of the word.
 
 Defined cases: lines without a word are never removed, nor are lines of fewer than ``min_words``
 different words (1 by default: every line with a word); lines of fewer than four words are similar to
@@ -39,9 +39,9 @@ POSTED_WORDS = 4
 SKETCH_BITS = 18
 RANK_SHIFT = 48
 #: Words in the parity bitmap.
-HEAD = 24
+HEAD = 64
 #: Classes that share a posted word and are all compared with each other.
-CROWD = 128
+CROWD = 1024
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 KEY = ("k1", "k2", "n")
@@ -95,27 +95,29 @@ def prefix_length(n: Column) -> Column:
     return (n - F.floor((4 * n + 4) / 5) + 1).cast("int")
 
 
-def _bitmap() -> Column:
-    """Parity of the ``HEAD`` first ids by their low six bits, spelled out as a lambda would be interpreted.
-
-    Many more terms would make the generated method too long for the JVM to compile.
-    """
-    bits = [F.expr(f"coalesce(shiftleft(1L, int(get(p, {i}) & 63)), 0L)") for i in range(HEAD)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseXOR(b)
-    return out
+def _bitmap(high: bool) -> Column:
+    """Half of the parity of the ``HEAD`` first ids in 128 bits, by their low seven bits. Spelled out, as a lambda would be
+    interpreted."""
+    half = "" if high else " ^ 1L"
+    terms = [f"coalesce(shiftleft((shiftrightunsigned(get(p, {i}), 6) & 1L){half}, int(get(p, {i}) & 63)), 0L)" for i in range(HEAD)]
+    while len(terms) > 1:  # a balanced tree is cut into short methods
+        terms = [" ^ ".join(terms[i : i + 2]) for i in range(0, len(terms), 2)]
+        terms = [f"({t})" for t in terms]
+    return F.expr(terms[0])
 
 
 def lines_of(docs: DataFrame, ranks: Column) -> DataFrame:
-    """Per line with a word: doc, line_no, number of words, bitmap, 128-bit class key, prefix in rarity order."""
+    """Per line with a word: doc, line_no, number of words, bitmap (low, high), 128-bit class key, prefix in rarity order."""
     each = _each_line(docs, "doc").where(F.col("line").rlike(WORD))
     where = (F.col("doc"), F.col("line_no").cast("bigint").alias("line_no"))
     ids = F.sort_array(F.array_distinct(F.transform(_words(), lambda w: _word_id(ranks, w))))
     sets = each.select(*where, F.array_remove(ids, _word_id(ranks, F.lit(""))).alias("p"))
     n = F.size("p")
     prefix = F.slice("p", F.lit(1), F.when(n < POSTED_WORDS, F.lit(0)).otherwise(prefix_length(n)))
-    return sets.select("doc", "line_no", n.cast("bigint").alias("n"), _bitmap().alias("bitmap"), F.xxhash64("p").alias("k1"), F.xxhash64(F.lit(1), "p").alias("k2"), prefix.alias("prefix"))
+    # nothing is added, but a lambda keeps this projection out of whole-stage code, where the bitmaps would be one method
+    # that is too long for the JVM to compile
+    prefix = F.concat(prefix, F.transform(F.slice("p", 1, 0), lambda x: x))
+    return sets.select("doc", "line_no", n.cast("bigint").alias("n"), _bitmap(False).alias("low"), _bitmap(True).alias("high"), F.xxhash64("p").alias("k1"), F.xxhash64(F.lit(1), "p").alias("k2"), prefix.alias("prefix"))
 
 
 @dataclass(frozen=True)
@@ -174,87 +176,62 @@ class Places:
 
 
 def _posted(classes: DataFrame) -> DataFrame:
-    """A row per class and prefix word: word, first, bitmap, n (words), rest (words from this one on)."""
-    each = classes.select("first", "n", "bitmap", F.posexplode("prefix").alias("at", "word"))
-    return each.select("word", "first", "bitmap", "n", (F.col("n") - F.col("at")).alias("rest"))
+    """A row per class and prefix word: word, first, low, high, n (words), rest (words from this one on)."""
+    each = classes.select("first", "n", "low", "high", F.posexplode("prefix").alias("at", "word"))
+    return each.select("word", "first", "low", "high", "n", (F.col("n") - F.col("at")).alias("rest"))
 
 
-def _passes(earlier: str, later: str) -> tuple[Column, Column]:
-    """The filters for two posted rows of one word (prefixes of their columns), and their bitmap distance."""
-    na, nb, ra, rb = (F.col(f"{x}.{c}") for c in ("n", "rest") for x in (earlier, later))
-    apart = F.bit_count(F.col(f"{earlier}.bitmap").bitwiseXOR(F.col(f"{later}.bitmap")))
+def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(word, later, earlier, apart) of the rows of ``b`` and ``a`` that share a word and pass the filters."""
+    a, b = a.alias("a"), b.alias("b")
+    (na, nb), (ra, rb) = ([F.col(f"{x}.{c}") for x in "ab"] for c in ("n", "rest"))
+    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("low", "high")), F.lit(0))
     need = 4 * (na + nb)  # nine times the overlap that a similarity of 0.8 takes
     length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
     position = 9 * F.least(ra, rb) >= need
     # of the HEAD first words of two sets, at most as many differ on either side as of the whole larger set
-    return (F.col(f"{earlier}.first") < F.col(f"{later}.first")) & (9 * apart <= 18 * F.greatest(na, nb) - 2 * need) & length & position, apart
+    alike = 9 * apart <= 18 * F.greatest(na, nb) - 2 * need
+    near = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.first") < F.col("b.first")) & alike & length & position)
+    return near.select("a.word", F.col("b.first").alias("later"), F.col("a.first").alias("earlier"), apart.alias("apart"))
 
 
 def _crowded(classes: DataFrame) -> DataFrame:
-    """Words posted by more than ``CROWD`` classes, with the earliest of these (the word's hub)."""
+    """(word, hub): words posted by more than ``CROWD`` classes, with the earliest of these."""
     # the bucket of such a word counts as many at least, so its rank says which words to count
     known = F.shiftright("word", RANK_SHIFT) >= F.lit(int(math.log(CROWD + 2) * 8) - 128)
-    counts = _posted(classes).where(known).groupBy("word").agg(F.count("*").alias("members"), F.min("first").alias("first")).where(F.col("members") > CROWD)
-    # the hub's other columns are fetched by a join, so that the counts stay fixed-width
-    hubs = _posted(classes).join(sized(cut(counts.select("word", "first")), BROADCAST_CLASSES), ["word", "first"])
-    return cut(hubs.select("word", F.struct("first", "bitmap", "n", "rest").alias("hub")))
-
+    counts = _posted(classes).where(known).groupBy("word").agg(F.count("*").alias("members"), F.min("first").alias("hub"))
+    return cut(counts.where(F.col("members") > CROWD).select("word", "hub"))
 
-def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(later, earlier) of the rows of ``b`` and ``a`` that share a word and pass the filters."""
-    a, b = a.alias("a"), b.alias("b")
-    passes, _ = _passes("a", "b")
-    return a.join(b, (F.col("a.word") == F.col("b.word")) & passes).select(F.col("b.first").alias("later"), F.col("a.first").alias("earlier"))
-
-
-def candidates(classes: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Pairs (later, earlier) that pass all filters: every pair of a word that is not crowded, and each class of a
-    crowded word with the most alike of its hubs."""
-    words = sized(crowded, BROADCAST_CLASSES)
-    posted = _posted(classes)
-    cold = posted.join(words.select("word"), "word", "left_anti")
-    passes, apart = _passes("hub", "p")
-    near = posted.alias("p").join(words, "word").where(passes)
-    hubs = near.groupBy(F.col("p.first").alias("later")).agg(F.min(F.struct(apart.alias("apart"), F.col("hub.first").alias("earlier"))).alias("c")).select("later", "c.earlier")
-    return _pairs(cold, cold).unionByName(hubs).distinct()
 
+def _best(pairs: DataFrame, *by: str) -> DataFrame:
+    return pairs.groupBy("later", *by).agg(F.min_by("earlier", "apart").alias("earlier"), F.min("apart").alias("apart"))
 
-def _hot(classes: DataFrame, crowded: DataFrame) -> DataFrame:
-    """The postings of crowded words, with their classes' prefixes."""
-    each = classes.select("first", "n", "bitmap", "prefix", F.posexplode("prefix").alias("at", "word"))
-    posted = each.select("word", "first", "bitmap", "n", (F.col("n") - F.col("at")).alias("rest"), "prefix")
-    return posted.join(sized(crowded.select("word"), BROADCAST_PLACES), "word", "left_semi")
 
+def candidates(classes: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(later, earlier, apart): for each class the most alike of those that the filters let through, if any.
 
-def _enough(earlier: str, later: str) -> tuple[Column, Column]:
-    """Whether two prefixes share enough words, and how many they share.
-
-    Of two sets, all words up to the smaller of the last prefix words are in the prefixes, so they share no more
-    than their prefixes do, and what the set with that last word has behind it.
+    All pairs of a word that is not crowded are tested, of a crowded one those with its hub; what a family of similar
+    lines sends on is one row per posting and word, picked where the join has found them.
     """
-    (na, pa), (nb, pb) = ((F.col(f"{x}.n"), F.col(f"{x}.prefix")) for x in (earlier, later))
-    shared = F.size(F.array_intersect(pa, pb))
-    behind = F.when(F.element_at(pa, -1) <= F.element_at(pb, -1), na - F.size(pa)).otherwise(nb - F.size(pb))
-    return 9 * (shared + behind) >= 4 * (na + nb), shared
-
-
-def crowded_candidates(hot: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs (later, earlier, shared) of crowded words whose later class is not ``settled`` (later); adaptive execution
-    splits their exchange."""
-    done = sized(cut(settled.select(F.col("later").alias("first")).distinct()), BROADCAST_PLACES)
-    a, b = hot.alias("a"), hot.join(done, "first", "left_anti").alias("b")
-    passes, _ = _passes("a", "b")
-    enough, shared = _enough("a", "b")
-    near = a.join(b, (F.col("a.word") == F.col("b.word")) & passes).where(enough)
-    return near.select(F.col("b.first").alias("later"), F.col("a.first").alias("earlier"), shared.alias("shared")).distinct()
-
-
-def _prefixed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(later, earlier, shared): the pairs whose prefixes share enough words."""
-    sets = classes.select("first", "n", "prefix")
-    both = pairs.join(sets.alias("b"), F.col("later") == F.col("b.first")).join(sets.alias("a"), F.col("earlier") == F.col("a.first"))
-    enough, shared = _enough("a", "b")
-    return both.where(enough).select("later", "earlier", shared.alias("shared"))
+    posted = _posted(classes)
+    if hot is None:
+        return _best(_best(_pairs(posted, posted), "word"))
+    cold = posted.join(sized(hot.where(F.col("first") == F.col("hub")).select("word"), BROADCAST_PLACES), "word", "left_anti")
+    hubs = sized(hot.where(F.col("first") == F.col("hub")), BROADCAST_CLASSES)  # a row per crowded word
+    return _best(_best(_pairs(cold, cold), "word").drop("word").unionByName(_pairs(hubs, hot).drop("word")))
+
+
+def other_candidates(classes: DataFrame, hot: DataFrame | None, best: DataFrame, matched: DataFrame) -> DataFrame:
+    """Distinct (later, earlier): all that the filters let through for classes without a match, where the most alike
+    one was looked at and is not similar, or where a crowded word was only compared with its hub."""
+    settled = cut(matched.select(F.col("later").alias("first")))
+    failed = cut(best.select(F.col("later").alias("first")).join(settled, "first", "left_anti"))
+    asked = _posted(classes.join(sized(failed, BROADCAST_PLACES), "first", "left_semi"))
+    words = cut(asked.select("word").distinct())
+    found = _pairs(_posted(classes).join(sized(words, BROADCAST_PLACES), "word", "left_semi"), asked)
+    if hot is not None:
+        found = found.unionByName(_pairs(hot, hot.join(sized(settled, BROADCAST_PLACES), "first", "left_anti")))
+    return found.select("later", "earlier").distinct().join(best.select("later", "earlier"), ["later", "earlier"], "left_anti")
 
 
 def _sets_of(documents: Numbered, places: Places, wanted: DataFrame) -> DataFrame:
@@ -263,19 +240,16 @@ def _sets_of(documents: Numbered, places: Places, wanted: DataFrame) -> DataFram
     return each.join(sized(wanted, BROADCAST_PLACES), "place").select("place", F.array_remove(F.array_distinct(_words()), "").alias("words"))
 
 
-def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (later, earlier) whose sets of words have a Jaccard similarity of 0.8 or more; at least one for each
-    ``later`` that has any. The pair with the most shared prefix words is looked at first."""
+def _verified(documents: Numbered, places: Places, pairs: DataFrame) -> DataFrame:
+    """The pairs (later, earlier) whose sets of words have a Jaccard similarity of 0.8 or more."""
+    wanted = cut(pairs.select(F.explode(F.array("later", "earlier")).alias("place")).distinct())
+    sets = write_table(_sets_of(documents, places, wanted))
     x, y = (sets.select(F.col("place").alias(side), F.col("words").alias(name)) for side, name in (("later", "x"), ("earlier", "y")))
-
-    def similar(some: DataFrame) -> DataFrame:
-        shared = F.size(F.array_intersect("x", "y"))
-        both = some.join(x, "later").join(y, "earlier")
-        return cut(both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("later", "earlier"))
-
-    best = similar(pairs.groupBy("later").agg(F.max_by("earlier", "shared").alias("earlier")))
-    rest = pairs.select("later", "earlier").join(best.select("later"), "later", "left_anti")
-    return best.unionByName(similar(rest))
+    shared = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(x, "later").join(y, "earlier")
+    found = cut(both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("later", "earlier"))
+    drop_table(sets)
+    return found
 
 
 def removed_lines(documents: Numbered, min_words: int = 1) -> DataFrame:
@@ -285,31 +259,30 @@ def removed_lines(documents: Numbered, min_words: int = 1) -> DataFrame:
     places = Places.of(lines)
     if not places.fit:
         raise OverflowError("doc_id and line numbers span more than 63 bits")
-    table = lines.where(F.col("n") >= min_words).select(places.of_line(F.col("doc"), F.col("line_no")).alias("place"), *KEY, "bitmap", "prefix")
+    table = lines.where(F.col("n") >= min_words).select(places.of_line(F.col("doc"), F.col("line_no")).alias("place"), *KEY, "low", "high", "prefix")
     several = cut(table.groupBy(*KEY).agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"))
     release(spark)
     small = several.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     # hot classes are split by adaptive execution: the exchange serves this join alone
-    table = table.join(F.broadcast(several) if small else several, list(KEY), "left").select("place", F.coalesce("first", "place").alias("first"), "n", "bitmap", "prefix")
+    table = table.join(F.broadcast(several) if small else several, list(KEY), "left").select("place", F.coalesce("first", "place").alias("first"), "n", "low", "high", "prefix")
     if not small:  # a join that costs an exchange is made once
         table = write_table(table)
-    classes = table.where((F.col("place") == F.col("first")) & (F.col("n") >= POSTED_WORDS)).select("first", "n", "bitmap", "prefix")
+    classes = table.where((F.col("place") == F.col("first")) & (F.col("n") >= POSTED_WORDS)).select("first", "n", "low", "high", "prefix")
     crowded = _crowded(classes)
-    pairs = cut(_prefixed(candidates(classes, crowded), classes))
-    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("place"))
-    if families := not crowded.isEmpty():
-        hot = write_table(_hot(classes, crowded))
-        wanted = wanted.unionByName(hot.select(F.col("first").alias("place")))
-    sets = write_table(_sets_of(documents, places, cut(wanted.distinct())))
-    release(spark)  # the exchanges of the postings
-    matched = _verified(sets, pairs)
-    if families:
-        matched = matched.unionByName(_verified(sets, cut(crowded_candidates(hot, matched))))
+    hot = None if crowded.isEmpty() else write_table(_posted(classes).join(sized(crowded, BROADCAST_CLASSES), "word"))
+    best = cut(candidates(classes, hot))
+    release(spark)  # the exchange of the postings
+    matched = _verified(documents, places, best)
+    rest = cut(other_candidates(classes, hot, best, matched))
+    if hot is not None:
         drop_table(hot)
+    release(spark)
+    if not rest.isEmpty():
+        matched = matched.unionByName(_verified(documents, places, rest))
     equal = table.where("place <> first").select("place", F.col("first").alias("cause"))
     similar = matched.groupBy(F.col("later").alias("place")).agg(F.min("earlier").alias("cause"))
     gone = cut(similar.unionByName(equal))
-    for written in {lines, sets} if small else {lines, table, sets}:
+    for written in {lines} if small else {lines, table}:
         drop_table(written)
     (doc, line_no), (by_doc, by_line) = places.spot(F.col("place")), places.spot(F.col("cause"))
     return gone.select(doc.alias("doc"), line_no.alias("line_no"), by_doc.alias("by_doc"), by_line.alias("by_line"))
