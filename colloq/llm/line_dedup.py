@@ -10,8 +10,8 @@ from the texts. A line goes if an equal or similar line (Jaccard >= 0.8) stands
 order.
 
 Only the existence of an earlier match matters. Of the earlier classes that pass the filters for a class, the
-most alike one by its bitmap is verified first, so a family of similar lines sends on a row per member, not a row per
-pair; only classes for which it fails are compared with all the others. Classes that share a word posted by
+most alike one by its bitmap is verified first, so the texts of a family of similar lines are fetched for a pair per
+member; only for classes for which it fails the others are verified too. Classes that share a word posted by
 more than ``CROWD`` classes are first compared with the earliest class of that word alone, at a cost
 linear in their number; only those without a match yet are compared with every earlier class of the word.
 
@@ -203,35 +203,26 @@ def _crowded(classes: DataFrame) -> DataFrame:
     return cut(counts.where(F.col("members") > CROWD).select("word", "hub"))
 
 
-def _best(pairs: DataFrame, *by: str) -> DataFrame:
-    return pairs.groupBy("later", *by).agg(F.min_by("earlier", "apart").alias("earlier"), F.min("apart").alias("apart"))
-
-
 def candidates(classes: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """(later, earlier, apart): for each class the most alike of those that the filters let through, if any.
-
-    All pairs of a word that is not crowded are tested, of a crowded one those with its hub; what a family of similar
-    lines sends on is one row per posting and word, picked where the join has found them.
-    """
+    """Distinct (later, earlier, apart): all that the filters let through of words that are not crowded, and of a
+    crowded word those with its hub; narrow rows, at most ``CROWD`` for a posting."""
     posted = _posted(classes)
     if hot is None:
-        return _best(_best(_pairs(posted, posted), "word"))
-    cold = posted.join(sized(hot.where(F.col("first") == F.col("hub")).select("word"), BROADCAST_PLACES), "word", "left_anti")
-    hubs = sized(hot.where(F.col("first") == F.col("hub")), BROADCAST_CLASSES)  # a row per crowded word
-    return _best(_best(_pairs(cold, cold), "word").drop("word").unionByName(_pairs(hubs, hot).drop("word")))
+        return _pairs(posted, posted).drop("word").distinct()
+    hubs = hot.where(F.col("first") == F.col("hub"))  # a row per crowded word
+    cold = posted.join(sized(hubs.select("word"), BROADCAST_PLACES), "word", "left_anti")
+    return _pairs(cold, cold).unionByName(_pairs(sized(hubs, BROADCAST_CLASSES), hot)).drop("word").distinct()
 
 
-def other_candidates(classes: DataFrame, hot: DataFrame | None, best: DataFrame, matched: DataFrame) -> DataFrame:
-    """Distinct (later, earlier): all that the filters let through for classes without a match, where the most alike
-    one was looked at and is not similar, or where a crowded word was only compared with its hub."""
+def other_candidates(pairs: DataFrame, hot: DataFrame | None, best: DataFrame, matched: DataFrame) -> DataFrame:
+    """Distinct (later, earlier) for classes without a match: all of ``pairs`` but the ``best``, and of crowded words
+    those with every earlier class."""
     settled = cut(matched.select(F.col("later").alias("first")))
-    failed = cut(best.select(F.col("later").alias("first")).join(settled, "first", "left_anti"))
-    asked = _posted(classes.join(sized(failed, BROADCAST_PLACES), "first", "left_semi"))
-    words = cut(asked.select("word").distinct())
-    found = _pairs(_posted(classes).join(sized(words, BROADCAST_PLACES), "word", "left_semi"), asked)
+    done = sized(settled, BROADCAST_PLACES)
+    found = pairs.join(done.withColumnRenamed("first", "later"), "later", "left_anti").select("later", "earlier")
     if hot is not None:
-        found = found.unionByName(_pairs(hot, hot.join(sized(settled, BROADCAST_PLACES), "first", "left_anti")))
-    return found.select("later", "earlier").distinct().join(best.select("later", "earlier"), ["later", "earlier"], "left_anti")
+        found = found.unionByName(_pairs(hot, hot.join(done, "first", "left_anti")).select("later", "earlier"))
+    return found.distinct().join(best, ["later", "earlier"], "left_anti")
 
 
 def _sets_of(documents: Numbered, places: Places, wanted: DataFrame) -> DataFrame:
@@ -270,10 +261,11 @@ def removed_lines(documents: Numbered, min_words: int = 1) -> DataFrame:
     classes = table.where((F.col("place") == F.col("first")) & (F.col("n") >= POSTED_WORDS)).select("first", "n", "low", "high", "prefix")
     crowded = _crowded(classes)
     hot = None if crowded.isEmpty() else write_table(_posted(classes).join(sized(crowded, BROADCAST_CLASSES), "word"))
-    best = cut(candidates(classes, hot))
+    pairs = cut(candidates(classes, hot))
     release(spark)  # the exchange of the postings
+    best = cut(pairs.groupBy("later").agg(F.min_by("earlier", "apart").alias("earlier")))
     matched = _verified(documents, places, best)
-    rest = cut(other_candidates(classes, hot, best, matched))
+    rest = cut(other_candidates(pairs, hot, best, matched))
     if hot is not None:
         drop_table(hot)
     release(spark)
