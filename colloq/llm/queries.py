@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.llm import bpe, chat_formatting, edit_counts, exact_dedup, line_dedup, mixing, quality_rules, simhash, toxicity, url_filters
+from colloq.llm import bpe, chat_formatting, edit_counts, exact_dedup, filter_audit, line_dedup, mixing, quality_rules, simhash, toxicity, url_filters
 from colloq.session import read
 
 
@@ -69,7 +69,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, vocabulary_text(), with_ids=False, keep_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_simhash, op4_exact_dedup, op5_chat_formatting, op6_url_filters, op7_mixing, op8_toxicity, op9_token_counts, op10_bpe)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_simhash, op4_exact_dedup, op5_chat_formatting, op6_url_filters, op7_mixing, op8_toxicity, op9_token_counts, op10_bpe, op12_filter_audit)}
 
 SQL = {
     "op2_quality_rules": r"""
@@ -126,4 +130,21 @@ f AS (SELECT q.*, rule, ruled, CASE WHEN host <> '' THEN regexp_replace(host, '^
 a AS (SELECT form, bool_or(ruled = 'allow') AS any_allow, bool_or(ruled = 'block') AS any_block FROM f WHERE form IS NOT NULL GROUP BY form)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN any_allow THEN 'allow' WHEN any_block THEN 'block' ELSE 'allow' END) AS verdict
 FROM f LEFT JOIN a USING (form)""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+        100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+        coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, false) AS good, coalesce(l.toxic, false) AS toxic FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+m AS (SELECT part, [a, b, c, d, e] AS fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS x),
+o AS (SELECT [p.x, q.x, r.x, s.x, u.x] AS o FROM x p, x q, x r, x s, x u WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+s AS (SELECT o, step, o[step] AS k, o[1 : step - 1] AS earlier FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+y AS (SELECT part, o, step, k, n, good, toxic, fails[k] AS own, list_bool_or(list_concat([false], list_transform(earlier, lambda j: fails[j]))) AS gone,
+        len(list_filter(fails, lambda z: z)) AS n_failed FROM m, s),
+z AS (SELECT part, o, step, k, coalesce(sum(n) FILTER (NOT gone AND NOT own), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND own), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (gone AND own), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (own AND n_failed = 1), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n) FILTER (NOT gone AND own AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND own AND toxic), 0)::BIGINT AS toxic_lost FROM y GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda j: substr('ABCDE', j, 1)), '') AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM z""",
 }
