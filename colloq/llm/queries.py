@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.llm import bpe, chat_formatting, edit_counts, exact_dedup, filter_audit, line_dedup, mixing, quality_rules, simhash, toxicity, url_filters
+from colloq.llm import bpe, chat_formatting, edit_counts, exact_dedup, filter_audit, line_dedup, mixing, quality_rules, simhash, toxicity, url_filters, whitening
 from colloq.session import read
 
 
@@ -73,7 +73,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_simhash, op4_exact_dedup, op5_chat_formatting, op6_url_filters, op7_mixing, op8_toxicity, op9_token_counts, op10_bpe, op12_filter_audit)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_simhash, op4_exact_dedup, op5_chat_formatting, op6_url_filters, op7_mixing, op8_toxicity, op9_token_counts, op10_bpe, op12_filter_audit, op13_whitening)}
 
 SQL = {
     "op2_quality_rules": r"""
