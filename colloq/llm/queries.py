@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.llm import bpe, chat_formatting, edit_counts, exact_dedup, filter_audit, line_dedup, mixing, quality_rules, simhash, toxicity, url_filters, whitening
+from colloq.llm import bpe, chat_formatting, edit_counts, exact_dedup, filter_audit, line_dedup, mixing, ngram_join, quality_rules, simhash, toxicity, url_filters, whitening
 from colloq.session import read
 
 
@@ -69,6 +69,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, vocabulary_text(), with_ids=False, keep_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -77,7 +81,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_simhash, op4_exact_dedup, op5_chat_formatting, op6_url_filters, op7_mixing, op8_toxicity, op9_token_counts, op10_bpe, op12_filter_audit, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_simhash, op4_exact_dedup, op5_chat_formatting, op6_url_filters, op7_mixing, op8_toxicity, op9_token_counts, op10_bpe, op11_ngram_join, op12_filter_audit, op13_whitening)}
 
 SQL = {
     "op2_quality_rules": r"""
@@ -134,6 +138,18 @@ f AS (SELECT q.*, rule, ruled, CASE WHEN host <> '' THEN regexp_replace(host, '^
 a AS (SELECT form, bool_or(ruled = 'allow') AS any_allow, bool_or(ruled = 'block') AS any_block FROM f WHERE form IS NOT NULL GROUP BY form)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN any_allow THEN 'allow' WHEN any_block THEN 'block' ELSE 'allow' END) AS verdict
 FROM f LEFT JOIN a USING (form)""",
+    "op11_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM d),
+c AS (SELECT min(doc_id) AS c, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT c, n, unnest(s) AS t FROM c),
+p AS (SELECT a.c AS x, b.c AS y, a.n AS nx, b.n AS ny, count(*) AS i FROM e a JOIN e b ON a.t = b.t AND a.c < b.c GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * i >= 90 * (nx + ny - i)),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y),
+named AS (SELECT c, s, least(c, (SELECT min(y) FROM reach WHERE x = c)) AS component_id FROM c)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id) AS component_id FROM s LEFT JOIN named ON named.s = s.s""",
     "op12_filter_audit": r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
