@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloq.session import cut
+from colloq.session import drop_table, write_table
 
 
 def connected_components(edges: DataFrame, seed: int = 17) -> DataFrame:
@@ -18,30 +18,36 @@ def connected_components(edges: DataFrame, seed: int = 17) -> DataFrame:
     reduced by partial aggregation, and the driver sees nothing but a count.
 
     Self-loops keep their node, repeated edges are harmless, null ends are ignored.
+
+    Rounds are written as tables: a checkpoint keeps the size that the optimizer has estimated for its plan, and joined with itself round
+    by round that estimate gets so many digits that planning takes minutes.
     """
     ends = edges.select(F.col("src").cast("bigint").alias("a"), F.col("dst").cast("bigint").alias("b")).where("a is not null and b is not null")
-    live = cut(ends.distinct())
-    loops = live.where("a = b").select(F.col("a").alias("node")).distinct()
-    live = live.where("a <> b")
+    known = write_table(ends.distinct())
+    loops = known.where("a = b").select(F.col("a").alias("node")).distinct()
+    live = write_table(known.where("a <> b"))
     rounds: list[DataFrame] = []
     while not live.isEmpty():
         salt = F.lit(seed + len(rounds))
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("h"), F.col("b").alias("node"))).alias("first"))
         own = F.struct(F.xxhash64("a", salt).alias("h"), F.col("a").alias("node"))
-        moved = cut(near.select("a", F.least(F.col("first"), own)["node"].alias("to")))
+        moved = write_table(near.select("a", F.least(F.col("first"), own)["node"].alias("to")))
         rounds.append(moved)
         left = live.join(moved.withColumnRenamed("to", "ta"), "a")
         right = left.join(moved.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b")
         pair = right.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-        live = cut(pair.distinct())
+        last, live = live, write_table(pair.distinct())
+        drop_table(last)
     if not rounds:
         return loops.select("node", F.col("node").alias("component"))
     label = rounds[0].select(F.col("a").alias("node"), F.col("to").alias("at"))
     for moved in rounds[1:]:
         step = label.join(moved.withColumnRenamed("a", "at"), "at", "left")
         label = step.select("node", F.coalesce("to", "at").alias("at"))
-    label = cut(label)
+    label = write_table(label)
+    for moved in rounds:
+        drop_table(moved)
     least = label.groupBy("at").agg(F.min("node").alias("component"))
     linked = label.join(least, "at").select("node", "component")
     alone = loops.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
@@ -64,23 +70,31 @@ def conversations(messages: DataFrame, node: str, parent: str) -> DataFrame:
     return nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def chain_roots(edges: DataFrame, max_depth: int = 200) -> DataFrame:
-    """(node, root, depth, cyclic) for every child of ``edges(src, dst)``, one parent each, by pointer doubling.
+def chain_roots(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, root, depth, cyclic) for every child of ``edges(src, dst)`` by pointer doubling; of several parents the smallest counts.
 
-    Each round squares the path length, so a chain of 200 needs eight joins. A node on or before a
-    cycle never reaches a root: its root is null and ``cyclic`` is true. Depths above ``max_depth`` are
-    reported as ``max_depth``.
+    Each round doubles how far every open node looks, and nodes that have reached a root are done and leave the rounds, so a chain of
+    n links takes log n of them, whatever n. A node that looks further than there are open nodes is on or before a
+    cycle: its root and depth are null and ``cyclic`` is true. ``max_depth`` clips the depth that is shown, nothing else.
     """
-    up = edges.groupBy("src").agg(F.min("dst").alias("dst"))
-    at = cut(up.select(F.col("src").alias("node"), F.col("dst").alias("top"), F.when(F.col("src") == F.col("dst"), 0).otherwise(1).cast("bigint").alias("depth")))
-    children = at.select(F.col("node").alias("top"))
-    reach = 1
-    while reach < max_depth:
-        step = at.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        at = cut(at.join(step, "top", "left").select("node", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
-        reach *= 2
-        if at.join(children, "top", "left_semi").isEmpty():
+    up = edges.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst"))
+    at = start = write_table(up.select(F.col("src").alias("node"), F.col("dst").alias("top"), F.lit(1).cast("bigint").alias("depth")))
+    children = start.select(F.col("node").alias("top"))
+    done: DataFrame | None = None
+    looked = 1
+    while True:
+        # a top that is no child is a root
+        reached = at.join(children, "top", "left_anti").select("node", F.col("top").alias("root"), "depth", F.lit(False).alias("cyclic"))
+        done = reached if done is None else done.unionByName(reached)
+        at = write_table(at.join(children, "top", "left_semi").select("node", "top", "depth"))
+        left = at.count()
+        if looked > left:  # more links than open nodes: none of these can end
             break
-    open_ = at.join(children.withColumn("open", F.lit(True)), "top", "left")
-    cyclic = F.coalesce("open", F.lit(False))
-    return open_.select("node", F.when(~cyclic, F.col("top")).alias("root"), F.least(F.col("depth"), F.lit(max_depth)).alias("depth"), cyclic.alias("cyclic"))
+        done = write_table(done)
+        # the next jump of an open node is that of its top, which is open or has just been done
+        jumps = at.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more")).unionByName(done.select(F.col("node").alias("top"), F.col("root").alias("next"), F.col("depth").alias("more")))
+        at = write_table(at.join(jumps, "top").select("node", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth")))
+        looked *= 2
+    none = F.lit(None).cast("bigint")
+    found = done.unionByName(at.select("node", none.alias("root"), none.alias("depth"), F.lit(True).alias("cyclic")))
+    return found if max_depth is None else found.withColumn("depth", F.least("depth", F.lit(max_depth).cast("bigint")))
