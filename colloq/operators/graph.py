@@ -74,27 +74,24 @@ def chain_roots(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, root, depth, cyclic) for every child of ``edges(src, dst)`` by pointer doubling; of several parents the smallest counts.
 
     Each round doubles how far every open node looks, and nodes that have reached a root are done and leave the rounds, so a chain of
-    n links takes log n of them, whatever n. A node that looks further than there are open nodes is on or before a
-    cycle: its root and depth are null and ``cyclic`` is true. ``max_depth`` clips the depth that is shown, nothing else.
+    n links takes log n of them, whatever n. As long as an open node has a root, the open node next to it on its way gets done in the
+    next round; so when a round gets none done, all that are open are on or before a cycle: their root and depth are null and
+    ``cyclic`` is true. ``max_depth`` clips the depth that is shown, nothing else.
     """
     up = edges.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst"))
     at = start = write_table(up.select(F.col("src").alias("node"), F.col("dst").alias("top"), F.lit(1).cast("bigint").alias("depth")))
     children = start.select(F.col("node").alias("top"))
     done: DataFrame | None = None
-    looked = 1
     while True:
         # a top that is no child is a root
-        reached = at.join(children, "top", "left_anti").select("node", F.col("top").alias("root"), "depth", F.lit(False).alias("cyclic"))
+        reached = write_table(at.join(children, "top", "left_anti").select("node", F.col("top").alias("root"), "depth", F.lit(False).alias("cyclic")))
         done = reached if done is None else done.unionByName(reached)
         at = write_table(at.join(children, "top", "left_semi").select("node", "top", "depth"))
-        left = at.count()
-        if looked > left:  # more links than open nodes: none of these can end
+        if reached.isEmpty() or at.isEmpty():
             break
-        done = write_table(done)
-        # the next jump of an open node is that of its top, which is open or has just been done
+        # the next jump of an open node is that of its top, which is open or done
         jumps = at.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more")).unionByName(done.select(F.col("node").alias("top"), F.col("root").alias("next"), F.col("depth").alias("more")))
         at = write_table(at.join(jumps, "top").select("node", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth")))
-        looked *= 2
     none = F.lit(None).cast("bigint")
     found = done.unionByName(at.select("node", none.alias("root"), none.alias("depth"), F.lit(True).alias("cyclic")))
     return found if max_depth is None else found.withColumn("depth", F.least("depth", F.lit(max_depth).cast("bigint")))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from colloq.functions import numbers as nu
 from colloq.functions import text as tx
+from colloq.functions.expressions import let
 from colloq.session import cut
 
 #: The published BM25 and TF-IDF vocabularies, for callers who ask for cut ones: ``fit(..., max_terms=BM25_TERMS)``.
@@ -40,6 +41,17 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
 
 
+def term_counts(tokens: Column) -> Column:
+    """Array of (term, tf) of an array of tokens: sorted, so that equal ones are runs."""
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("bigint").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return let(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, counted(s)).otherwise(none))
+
+
 @dataclass
 class LexicalIndex:
     """A corpus by its terms. ``texts`` (doc_id, text) is what it is built from; a loaded index has its tables instead."""
@@ -50,18 +62,19 @@ class LexicalIndex:
     max_terms: int | None = None
     meta: dict = field(default_factory=dict)
 
-    def _exploded(self) -> DataFrame:
-        """(doc_id, dl, term): a row per token, and one per document with the term ``ITSELF``."""
+    def _counts(self) -> DataFrame:
+        """(doc_id, dl, counts): the terms of a document with their counts, made inside its row."""
         tokens = self.texts.select("doc_id", TOKENIZERS[self.tokenizer](F.col("text")).alias("t"))
-        return tokens.select("doc_id", F.size("t").cast("bigint").alias("dl"), F.explode(F.array_append("t", F.lit(ITSELF))).alias("term"))
+        return tokens.select("doc_id", F.size("t").cast("bigint").alias("dl"), term_counts(F.col("t")).alias("counts"))
 
-    @staticmethod
-    def _counted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    def _exploded(self) -> DataFrame:
+        """(doc_id, dl, term, tf), with a row for each document itself."""
+        itself = F.array(F.struct(F.lit(ITSELF).alias("term"), F.lit(1).cast("bigint").alias("tf")))
+        return self._counts().select("doc_id", "dl", F.explode(F.concat("counts", itself)).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
 
     @cached_property
     def _all(self) -> DataFrame:
-        return cut(self._counted(self._exploded()))
+        return cut(self._exploded())
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -77,6 +90,10 @@ class LexicalIndex:
     def terms(self) -> DataFrame:
         """The vocabulary: terms in at least ``min_df`` documents; with ``max_terms`` those with the highest counts
         (ties: the smaller term) - of occurrences for TF-IDF tokens, of documents for BM25's."""
+        if self.texts is not None and "_all" not in self.__dict__ and self.max_terms is None:
+            # documents are counted without a row for each posting of the whole corpus
+            each = self.texts.select(F.explode(F.array_distinct(TOKENIZERS[self.tokenizer](F.col("text")))).alias("term"))
+            return cut(each.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= self.min_df))
         found = self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences")).where(F.col("df") >= self.min_df)
         if self.max_terms is not None:
             found = found.orderBy(F.desc("occurrences" if self.tokenizer == "tfidf_tokens" else "df"), "term").limit(self.max_terms)
@@ -95,7 +112,7 @@ class LexicalIndex:
             return self.postings.join(_small(terms.select("term")), "term", "left_semi"), terms
         every = asked.where(F.col("term") != ITSELF).unionByName(asked.sparkSession.range(1).select(F.lit(ITSELF).alias("term")))
         # dealt out by document: what queries find in one is then summed where it is
-        rows = cut(self._counted(self._exploded().join(_small(every), "term").repartition("doc_id")))
+        rows = cut(self._exploded().join(_small(every), "term").repartition("doc_id"))
         self.__dict__["documents"] = rows.where(F.col("term") == ITSELF).select("doc_id", "dl")
         postings = rows.where(F.col("term") != ITSELF)
         return postings, cut(postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= self.min_df))
@@ -173,23 +190,30 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = nu.K1, b: f
     return hits.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
-def tfidf_scores(index: LexicalIndex, queries: DataFrame, sublinear: bool = True) -> DataFrame:
-    """Cosine of TF-IDF vectors with smoothed idf; words outside the vocabulary are ignored on both sides."""
-    tf = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
+def tfidf_query_weights(index: LexicalIndex, queries: DataFrame, tf: Column) -> DataFrame:
+    """(query_id, term, qw): the terms of the vocabulary with their share of a query's vector of length one."""
     n, _ = index.totals
-    terms = index.terms.withColumn("idf", nu.smooth_idf(F.lit(n), F.col("df"))).drop("df")
+    counted = _query_terms(queries, index.tokenizer, False).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+    weighed = cut(counted.join(index.terms, "term").select("query_id", "term", (tf * nu.smooth_idf(F.lit(n), F.col("df"))).alias("w")))
+    norms = weighed.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return cut(weighed.join(norms, "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("qw")))
 
-    def weighted(rows: DataFrame, key: str) -> DataFrame:
-        return rows.join(terms, "term").select(key, "term", (tf * F.col("idf")).alias("w"))
 
-    def norms(rows: DataFrame, key: str) -> DataFrame:
-        return rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def tfidf_scores(index: LexicalIndex, queries: DataFrame, sublinear: bool = True) -> DataFrame:
+    """Cosine of TF-IDF vectors with smoothed idf; words outside the vocabulary are ignored on both sides.
 
-    asked = weighted(_query_terms(queries, index.tokenizer, False).groupBy("query_id", "term").agg(F.count("*").alias("tf")), "query_id")
-    q = cut(asked.join(norms(asked, "query_id"), "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("qw")))
-    mine = cut(weighted(index.postings, "doc_id"))
-    dots = mine.join(_small(q), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(norms(mine, "doc_id"), "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("norm")).alias("score"))
+    A document's norm needs all its terms, its products those that are asked for: one pass over the terms gathers both, and only
+    the squares' sum and what the queries hit leave the task.
+    """
+    tf = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
+    n, _ = index.totals
+    asked = tfidf_query_weights(index, queries, tf).groupBy("term").agg(F.collect_list(F.struct("query_id", "qw")).alias("asked"))  # a stated query set
+    weights = index.terms.select("term", nu.smooth_idf(F.lit(n), F.col("df")).alias("idf")).join(asked, "term", "left")
+    rows = index._exploded().where(F.col("term") != ITSELF) if index.texts is not None and "_all" not in index.__dict__ else index.postings
+    each = rows.join(_small(cut(weights)), "term").select("doc_id", (tf * F.col("idf")).alias("w"), "asked")
+    per_doc = each.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("asked").isNotNull(), F.struct("w", "asked"))).alias("hits"))  # a document's terms
+    hits = per_doc.select("doc_id", "norm", F.explode("hits").alias("h")).select("doc_id", "norm", F.col("h.w").alias("w"), F.explode("h.asked").alias("q"))
+    return hits.groupBy("doc_id", F.col("q.query_id").alias("query_id")).agg((F.sum(F.col("w") * F.col("q.qw")) / F.first("norm")).alias("score")).select("query_id", "doc_id", "score")
 
 
 def _batched(queries: DataFrame, *values: str) -> tuple[DataFrame, int]:
@@ -285,84 +309,16 @@ def pooled(hits: DataFrame, cap: int = 5) -> DataFrame:
 
 
 def payload(hits: DataFrame, cases: DataFrame, key: str = "doc_id", columns: Sequence[str] = ()) -> DataFrame:
-    """Hits with the columns of what they found (all by default); a hit without a case keeps nulls."""
+    """Hits with the columns of what they found (all by default); a hit without a case is dropped."""
     wanted = [c for c in (columns or cases.columns) if c != key]
-    return hits.join(cases.select(key, *wanted), key, "left")
+    return hits.join(cases.select(key, *wanted), key)
 
 
 def new_rows(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Rows not yet embedded: an idempotent resume."""
+    """Rows that are not done yet."""
     return source.join(done.select(key), key, "left_anti")
 
 
-def unit(c: Column) -> Column:
-    """A vector over its length; a zero vector stays zero."""
-    length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(F.zip_with(c, F.array_repeat(length, F.size(c)), lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0))), lambda x: x.cast("float"))
-
-
-def hashed_encoder(dim: int = 64, tokenizer: str = "tokens") -> Callable[[Column], Column]:
-    """An encoder that needs no model: signed counts of hashed tokens. Any function of a text column to a vector will do."""
-
-    def encode(text: Column) -> Column:
-        hashes = F.transform(TOKENIZERS[tokenizer](text), lambda t: F.crc32(t))
-        one = lambda h, i: F.when(F.pmod(h, F.lit(dim)) != i, 0.0).when(F.pmod(F.floor(h / dim), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(hashes, F.lit(0.0), lambda a, h: a + one(h, i)))
-
-    return encode
-
-
-class StaleEmbeddings(ValueError):
-    """Stored vectors are of another model, size or corpus."""
-
-
-@dataclass(frozen=True)
-class EmbeddingStore:
-    """Unit vectors (doc_id, embedding) with a manifest (model, dim, corpus version, number of rows) in a folder."""
-
-    spark: SparkSession
-    path: str
-
-    @property
-    def manifest(self) -> dict | None:
-        try:
-            return json.loads(self.spark.read.parquet(f"{self.path}/manifest").first()["manifest"])
-        except Exception as error:  # noqa: BLE001  Spark has one class for all it can't read
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-
-    def vectors(self) -> DataFrame:
-        return self.spark.read.schema("doc_id bigint, embedding array<float>").parquet(f"{self.path}/vectors")
-
-    def valid(self, docs: DataFrame, model: str, dim: int) -> bool:
-        made = self.manifest
-        version = fingerprint(docs).first()["version"]
-        return made is not None and (made["model"], made["dim"], made["version"]) == (model, dim, version) and self.vectors().count() == made["n"]
-
-    def build(self, docs: DataFrame, model: str, dim: int, encode: Callable[[Column], Column]) -> DataFrame:
-        """Embed what is not there yet; a finished store of the same corpus is returned as it is.
-
-        Each call appends the missing rows, so one that died is resumed. Vectors of another model or size are refused.
-        """
-        made = self.manifest
-        if made is not None and (made["model"], made["dim"]) != (model, dim):
-            raise StaleEmbeddings(f"{self.path} has vectors of {made['model']} ({made['dim']}), not of {model} ({dim})")
-        if made is not None and self.valid(docs, model, dim):
-            return self.vectors()
-        started = {"model": model, "dim": dim, "version": None, "n": 0}
-        self._write(started)
-        texts = docs.select(F.col("doc_id").cast("bigint"), "text")
-        texts.limit(0).select("doc_id", F.array().cast("array<float>").alias("embedding")).write.mode("append").parquet(f"{self.path}/vectors")
-        missing = new_rows(texts, self.vectors(), "doc_id")
-        missing.select("doc_id", unit(encode(F.col("text"))).alias("embedding")).write.mode("append").parquet(f"{self.path}/vectors")
-        self._write(started | {"version": fingerprint(docs).first()["version"], "n": self.vectors().count()})
-        return self.vectors()
-
-    def _write(self, manifest: dict) -> None:
-        self.spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "manifest string").write.mode("overwrite").parquet(f"{self.path}/manifest")
-
-
 def nested_subset(docs: DataFrame, size: int, order: Column, doc_id: str = "doc_id") -> DataFrame:
     """The ``size`` first documents of an order; a larger subset contains every smaller one."""
     return docs.orderBy(order, doc_id).limit(size)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloq.functions import text as tx
+from colloq.functions.language import detect_language
+from colloq.operators import conversations as cv
 from colloq.operators import metrics as me
 from colloq.operators import ml, policy, sampling
 from colloq.plans.conversations import WINDOWED_SQL, corpus
 from colloq.plans.registry import query
-from colloq.session import cut, read
+from colloq.session import read, write_table
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +149,10 @@ def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def baseline_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Majority, logistic and SVC baselines: fitted on 70 % of the documents, predicted for the others."""
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
-    parts = cut(sampling.split_groups(rows, "id", {"train": 0.7, "test": 0.3}, sampling.portable_hash(F.col("id"))))
-    return ml.baseline_grid(parts.where("split = 'train'"), parts.where("split = 'test'"), ["text"])
+    """Majority, logistic and SVC baselines of a message's language, from the message alone and with its context: fitted on 70 % of the
+    conversations, predicted for the others."""
+    c = corpus(spark, sf_dir)
+    both = c.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text_clean").alias("message"), tx.intent_input(F.col("text_clean"), cv.rendered_context(F.col("context"))).alias("message_context"))
+    rows = both.withColumn("label", detect_language(F.col("message")))
+    parts = write_table(sampling.split_groups(rows, "conv_id", {"train": 0.7, "test": 0.3}, sampling.portable_hash(F.col("conv_id"))))
+    return ml.baseline_grid(parts.where("split = 'train'"), parts.where("split = 'test'"), ["message", "message_context"])

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloq.functions import text as tx
+from colloq.operators import agent, ml, policy, sampling, stats
 from colloq.operators import conversations as cv
 from colloq.operators import metrics as me
-from colloq.operators import policy, sampling, stats
-from colloq.operators import retrieval as rt
 from colloq.plans.conversations import TURNS_SQL, WINDOWED_SQL, corpus, turns
 from colloq.plans.registry import query
-from colloq.session import cut, read
+from colloq.plans.retrieval import TOKENS
+from colloq.plans.texts import draft_parts
+from colloq.session import checkpoint_dir, read, write_table
+from colloq.streaming import chat
 
 
 def _rules_sql(text: str) -> str:
@@ -147,14 +152,86 @@ def pairwise_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.pairwise_overlaps({"a": l.where("quality = 1"), "b": l.where("toxic = 1"), "c": d.where("doc_id % 2 = 0")}, "doc_id")
 
 
-@query(None)
+#: Cases and their questions, their hashed vectors, and what is found under each question's time.
+AGENT_SQL = "WITH " + WINDOWED_SQL + f""", c AS (SELECT conv_id * 1000 + pos_in_conv AS id, conv_id, text_clean AS message, nullif(trim(next_brand), '') AS reply FROM w WHERE role = 'CUSTOMER'),
+tk AS (SELECT id, ('0x' || substr(md5(unnest({TOKENS.format('message')})), 1, 8))::BIGINT % {2 * agent.DIM} AS code FROM c),
+dv AS (SELECT id, code % {agent.DIM} AS i, sum(CASE WHEN code < {agent.DIM} THEN 1.0 ELSE -1.0 END) AS v FROM tk GROUP BY 1, 2),
+raw AS (SELECT c.id, list(coalesce(v, 0)::DOUBLE ORDER BY r.i) AS v FROM c CROSS JOIN (SELECT unnest(range({agent.DIM})) AS i) r LEFT JOIN dv ON dv.id = c.id AND dv.i = r.i GROUP BY 1),
+vec AS (SELECT id, list_transform(v, lambda x: CASE WHEN list_sum(list_transform(v, lambda y: y * y)) > 0 THEN (x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT::DOUBLE ELSE 0 END) AS v FROM raw),
+sc AS (SELECT q.id AS query_id, d.id AS doc_id, round(list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])), 6) AS score FROM c q JOIN c d ON d.id <= q.id AND d.conv_id <> q.conv_id JOIN vec x ON x.id = q.id JOIN vec y ON y.id = d.id),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 5)"""
+REPLIES_SQL = """, e AS (SELECT query_id, avg(score) FILTER (rank <= 3) AS sim, bool_or(rank <= 3 AND reply IS NOT NULL) AS usable, arg_min(reply, rank) FILTER (reply IS NOT NULL) AS first_reply, count(*) AS n, count(reply) AS n_usable FROM h JOIN c ON c.id = h.doc_id GROUP BY 1)"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases as the agent takes them; ids grow with conversation and position, and stand for the time."""
+    made = cv.cases(corpus(spark, sf_dir))
+    number = F.col("conv_id") * 1000 + F.col("position_in_conversation")
+    return made.select(number.alias("doc_id"), F.col("customer_message").alias("message"), number.alias("ts"), F.col("conv_id").cast("string").alias("group"), "brand_response", "language")
+
+
+def _questions(cases: DataFrame) -> DataFrame:
+    """Every case's message asks at its own time, and sees nothing of its own conversation."""
+    return cases.select(F.col("doc_id").alias("query_id"), F.col("message").alias("text"), F.col("ts").alias("cutoff"), F.col("group").alias("exclude"))
+
+
+@query(AGENT_SQL + " SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM h")
+def agent_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every customer turn finds among the earlier cases of other conversations."""
+    cases = write_table(_cases(spark, sf_dir))
+    return agent.Agent.of(cases).evidence(_questions(cases))
+
+
+@query(AGENT_SQL + REPLIES_SQL + f""", i AS (SELECT c.id, message, first_reply, coalesce(n, 0) AS n, coalesce(n_usable, 0) AS n_usable, coalesce(usable, false) AS usable, coalesce(sim, 0) AS sim,
+    CASE {" ".join(f"WHEN regexp_matches(lower(message), '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in tx.RUBRIC.items())} ELSE 'unmatched' END AS intent,
+    CASE WHEN length(trim(replace(message, '@USER', ''))) < 8 THEN 0.2 ELSE 0.8 END AS p FROM c LEFT JOIN e ON e.query_id = c.id),
+j AS (SELECT *, greatest(0, least(1, 0.6 * p + 0.4 * sim)) AS confidence, intent IN {policy.NO_INTENT} AS nothing, intent IN {policy.RISK_INTENTS} AS risky FROM i),
+k AS (SELECT *, CASE WHEN nothing THEN 'no actionable intent' WHEN risky THEN 'high-risk category' WHEN n = 0 THEN 'no retrieval hits' WHEN NOT usable THEN 'no usable reply' WHEN sim < 0.02 THEN 'sim_mean' WHEN confidence < 0.45 THEN 'confidence' ELSE 'confident intent' END AS rule FROM j),
+replies AS (SELECT id AS doc_id, first_reply AS text FROM k WHERE first_reply IS NOT NULL), {draft_parts('replies')}
+SELECT id AS example_id, intent, CASE WHEN rule = 'confident intent' THEN 'auto_handle' ELSE 'escalate' END AS action, rule, round(sim, 4) AS sim_mean, round(confidence, 4)::DOUBLE AS action_confidence,
+  CASE WHEN rule <> 'confident intent' THEN '{policy.opener("sorry", "").replace("'", "''")} {policy.ESCALATION.replace("'", "''")}' ELSE coalesce(drafts.draft, '{policy.opener("default", "").replace("'", "''")} {policy.NEXT_STEP.replace("'", "''")}') END AS draft,
+  n::INTEGER AS n_evidence, n_usable::INTEGER AS n_usable FROM k LEFT JOIN drafts ON drafts.doc_id = id""")
 def agent_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth conversation's customer turns answered by all parts: rules name the intent, BM25 finds earlier cases of
-    other conversations, the policy decides and drafts."""
-    made = cut(cv.cases(corpus(spark, sf_dir)))
-    asked = made.where(F.col("conv_id") % 10 == 0).select(F.col("case_id").alias("query_id"), F.col("customer_message").alias("text"), F.col("conv_id").alias("exclude"), F.lit(None).cast("int").alias("cutoff"))
-    texts = made.select(F.col("case_id").alias("doc_id"), F.col("customer_message").alias("text"), F.col("conv_id").alias("group"), F.lit(0).alias("ts"))
-    scores = rt.masked(rt.bm25_scores(rt.fit(texts), asked), texts, asked)
-    hits = rt.top_k(scores, 5, digits=6)
-    intents = asked.select("query_id", tx.rubric_bucket(F.col("text")).alias("intent"), F.when(tx.is_low_content(F.col("text")), 0.2).otherwise(0.8).alias("p"))
-    return policy.answer(asked, intents, hits, made.withColumnRenamed("case_id", "doc_id"))
+    """Every customer turn answered by all parts: rules name the intent, earlier cases of other conversations are the evidence, the
+    policy decides and drafts."""
+    cases = write_table(_cases(spark, sf_dir))
+    found = agent.Agent.of(cases).respond(_questions(cases))
+    rule = F.regexp_extract(F.get("action_reasons", F.lit(0)), "(no actionable intent|high-risk category|no retrieval hits|no usable reply|sim_mean|confidence|confident intent)", 1)
+    return found.select("example_id", "intent", "action", rule.alias("rule"), "sim_mean", "action_confidence", "draft", "n_evidence", "n_usable")
+
+
+@query(None)
+def agent_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a saved agent: a classifier fitted on what the rules say of the first half of the cases names the intents."""
+    cases = write_table(_cases(spark, sf_dir))
+    questions = _questions(cases)
+    taught = questions.join(agent.rule_intents(questions).select("query_id", F.col("intent").alias("label")), "query_id")
+    half = cases.agg(F.percentile_approx("ts", 0.5).alias("t")).first()["t"]
+    classifier = ml.text_classifier(ml.with_ngrams(taught.where(F.col("cutoff") <= F.lit(half)).select("query_id", "text", "label")), balanced=True, min_df=1)
+    path = f"{checkpoint_dir(spark)}/agent-{uuid.uuid4().hex}"
+    agent.Agent.of(cases).save(path, classifier)
+    return agent.Agent.load(spark, path, classified=True).respond(questions).drop("message")
+
+
+CHAT_SQL = """WITH m AS (SELECT user_id AS session, event_id AS number, ts AS moment, CASE WHEN event_type = 'signup' THEN '/reset' ELSE event_type || ' ' || event_id END AS text FROM events),
+g AS (SELECT *, CASE WHEN text = '/reset' OR coalesce(moment - lag(moment) OVER (PARTITION BY session ORDER BY moment, number) > INTERVAL 12 HOUR, false) THEN 1 ELSE 0 END AS anew FROM m),
+p AS (SELECT *, sum(anew) OVER (PARTITION BY session ORDER BY moment, number) AS part FROM g),
+t AS (SELECT session, number, row_number() OVER v AS turn, coalesce(string_agg(text, chr(10)) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context, text FROM p WHERE text <> '/reset' WINDOW v AS (PARTITION BY session, part ORDER BY moment, number))
+SELECT session, number, turn::INTEGER AS turn, strftime(TIMESTAMP '2017-11-22 23:58:30' + to_minutes(turn), '%Y-%m-%d %H:%M:%S') AS clock, context, text FROM t"""
+
+
+@query(CHAT_SQL)
+def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of one session a user: three runs of a stream, each resumed from the checkpoint of the one before."""
+    e = read(spark, sf_dir, "events")
+    text = F.when(F.col("event_type") == "signup", chat.RESET).otherwise(F.concat_ws(" ", "event_type", "event_id"))
+    messages = e.select(F.col("user_id").cast("bigint").alias("session"), F.col("event_id").cast("bigint").alias("number"), F.col("ts").cast("timestamp").alias("at"), text.alias("text"))
+    ends = messages.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    folder = f"{checkpoint_dir(spark)}/chat-{uuid.uuid4().hex}"
+    for k in range(3):
+        low, high = (ends["a"] + (ends["b"] - ends["a"]) / 3 * i for i in (k, k + 1))
+        part = messages.where((F.col("at") >= F.lit(low)) & ((F.col("at") < F.lit(high)) | F.lit(k == 2)))
+        part.write.mode("append").parquet(f"{folder}/messages")
+        chat.run(spark, f"{folder}/messages", f"{folder}/state", f"{folder}/turns", datetime(2017, 11, 22, 23, 58, 30), idle="12 hours")
+    found = spark.read.schema(chat.TURN).parquet(f"{folder}/turns")
+    return found.withColumn("clock", F.date_format("clock", "yyyy-MM-dd HH:mm:ss"))

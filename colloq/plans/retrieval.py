@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloq.operators import block_index as bi
+from colloq.operators import dense_index as di
+from colloq.operators import embeddings as em
 from colloq.operators import metrics as me
 from colloq.operators import retrieval as rt
 from colloq.operators.sampling import portable_hash
@@ -63,14 +66,34 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), v AS (SELECT term, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
+TFIDF_SQL = f"""WITH t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), v AS (SELECT term, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
 i AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM v, n), dw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM p JOIN i USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY 1),
 qt AS (SELECT item_id AS query_id, unnest({WORDS.format('text')}) AS term FROM benchmark), qp AS (SELECT query_id, term, count(*) AS tf FROM qt GROUP BY 1, 2), qw AS (SELECT query_id, term, (1 + ln(tf)) * idf AS w FROM qp JOIN i USING (term)),
-qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1), tfidf AS (SELECT qw.query_id, dw.doc_id, sum(qw.w / qn.norm * dw.w / dn.norm) AS score FROM qw JOIN qn USING (query_id) JOIN dw ON dw.term = qw.term JOIN dn ON dn.doc_id = dw.doc_id GROUP BY 1, 2), {ZEROS.format('tfidf')}""")
+qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1), tfidf AS (SELECT qw.query_id, dw.doc_id, sum(qw.w / qn.norm * dw.w / dn.norm) AS score FROM qw JOIN qn USING (query_id) JOIN dw ON dw.term = qw.term JOIN dn ON dn.doc_id = dw.doc_id GROUP BY 1, 2), {ZEROS.format('tfidf')}"""
+
+
+@query(TFIDF_SQL)
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical_top(spark, sf_dir, rt.tfidf_scores(_index(spark, sf_dir, tokenizer="tfidf_tokens"), _items(spark, sf_dir)))
 
 
+def _block_top(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), _items(spark, sf_dir)
+    found, _ = bi.search(bi.fit(docs, model), items, 5, digits=DIGITS)
+    return rt.top_k_with_zeros(docs, items, found.drop("rank"), 5, digits=DIGITS).select("query_id", "doc_id", "score", "rank")
+
+
+@query("WITH " + BM25_SQL + ", " + ZEROS.format("bm"))
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an inverted file of blocks with bounds, most of which are skipped."""
+    return _block_top(spark, sf_dir, "bm25")
+
+
+@query(TFIDF_SQL)
+def tfidf_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block_top(spark, sf_dir, "tfidf")
+
+
 DENSE_SQL = "ds AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)"
 
 
@@ -88,6 +111,23 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(_dense(spark, sf_dir), 10)
 
 
+@query("WITH " + DENSE_SQL + ", r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ds) SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10")
+def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an index of cells and rings that skips the blocks that cannot hold one of the ten best."""
+    v = _vectors(spark, sf_dir)
+    return di.search(di.fit(v), v.where(QUERY_ROWS).select(F.col("doc_id").alias("query_id"), "embedding"), 10, digits=DIGITS)[0]
+
+
+@query("WITH " + DENSE_SQL + """, x AS (SELECT ds.* FROM ds JOIN embeddings d ON d.vec_id = ds.doc_id JOIN embeddings q ON q.vec_id = ds.query_id WHERE ds.doc_id <= 100 + ds.query_id AND d.label <> q.label),
+r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM x) SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
+def dense_index_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index under masks: vectors up to the query's cutoff (id as time) and none of its own label."""
+    v = _vectors(spark, sf_dir)
+    rows = v.select("doc_id", "embedding", F.col("doc_id").alias("ts"), F.col("label").cast("string").alias("group"))
+    queries = v.where(QUERY_ROWS).select(F.col("doc_id").alias("query_id"), "embedding", (F.lit(100) + F.col("doc_id")).alias("cutoff"), F.col("label").cast("string").alias("exclude"))
+    return di.search(di.fit(rows), queries, 5, digits=DIGITS)[0]
+
+
 #: A second, sparse score over the vectors: the sum of their positive coordinates' overlap.
 SPARSE_SQL = "sp AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: CASE WHEN z[1] > 0.1 AND z[2] > 0.1 THEN 1.0 ELSE 0.0 END))::DOUBLE AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)"
 HYBRID_SQL = (
@@ -230,18 +270,23 @@ def scaling_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT count(*) AS n, (SELECT count(*) FROM documents) AS n_documents, 32 AS dim, true AS all_unit, true AS resumed FROM documents")
+EMBEDDING_DIM = 32
+
+
+@query(f"""WITH tk AS (SELECT doc_id, ('0x' || substr(md5(unnest({TOKENS.format('text')})), 1, 8))::BIGINT % {2 * EMBEDDING_DIM} AS code FROM documents),
+dv AS (SELECT doc_id, code % {EMBEDDING_DIM} AS i, sum(CASE WHEN code < {EMBEDDING_DIM} THEN 1.0 ELSE -1.0 END) AS v FROM tk GROUP BY 1, 2),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM dv GROUP BY 1)
+SELECT d.doc_id, r.i::INTEGER AS place, round(coalesce(CASE WHEN norm > 0 THEN (v / norm)::FLOAT END, 0)::DOUBLE, 6) AS value FROM documents d CROSS JOIN (SELECT unnest(range({EMBEDDING_DIM})) AS i) r LEFT JOIN dv ON dv.doc_id = d.doc_id AND dv.i = r.i LEFT JOIN n ON n.doc_id = d.doc_id""")
 def embedding_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeds half of the documents, then resumes with all, and states the manifest, the lengths and the validity."""
+    """The vectors of all documents by a store that was first built for half of them with other texts, then brought up to date."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    store = rt.EmbeddingStore(spark, f"{checkpoint_dir(spark)}/embeddings-{uuid.uuid4().hex}")
-    encode = rt.hashed_encoder(32)
-    store.build(d.where("doc_id % 2 = 0"), "hashed", 32, encode)
-    vectors = store.build(d, "hashed", 32, encode)
-    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    summary = vectors.agg(F.count("*").alias("n"), F.bool_and((F.abs(length - 1) < 1e-5) | (length == 0)).alias("all_unit"), F.max(F.size("embedding")).alias("dim"))
-    resumed = store.valid(d, "hashed", 32) and not store.valid(d.where("doc_id % 2 = 0"), "hashed", 32)
-    return summary.select("n", F.lit(d.count()).alias("n_documents"), "dim", "all_unit", F.lit(resumed).alias("resumed"))
+    store = em.EmbeddingStore(spark, f"{checkpoint_dir(spark)}/embeddings-{uuid.uuid4().hex}")
+    encode = em.hashed_encoder(EMBEDDING_DIM)
+    older = d.where("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    gone = d.where("doc_id % 5 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    store.build(older.unionByName(gone), "hashed", EMBEDDING_DIM, encode)
+    vectors = store.build(d, "hashed", EMBEDDING_DIM, encode, parts=2)
+    return vectors.select("doc_id", F.posexplode("embedding").alias("place", "value")).select("doc_id", "place", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 @query("WITH " + DENSE_SQL + ", r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ds) SELECT query_id, doc_id, rank::INTEGER AS rank, e.label, round(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE)), 4) AS total FROM r JOIN embeddings e ON e.vec_id = r.doc_id WHERE rank <= 3")

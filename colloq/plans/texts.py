@@ -164,28 +164,29 @@ def top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.top_confusions(_languages(spark, sf_dir), "lang", "detected")
 
 
-def _draft_sql() -> str:
+def draft_parts(table: str) -> str:
+    """CTEs that end in drafts(doc_id, draft) for the replies of table(doc_id, text)."""
     low = "lower(text)"
     sorry = " OR ".join(f"contains({low}, '{w}')" for w in tx.CUES["sorry"])
     other = " OR ".join(f"contains({low}, '{w}')" for k in ("contact", "ask") for w in tx.CUES[k])
     thank = " OR ".join(f"contains({low}, '{w}')" for w in tx.CUES["thank"])
     e = lambda s: s.replace("'", "''")
-    return rf"""WITH a AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), 'https?://\S+|t\.co/\S+', '', 'g') AS t FROM documents),
-b AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\+?[0-9][0-9\s().-]{{7,}}[0-9]', '', 'g'), '\b[0-9]{{13,17}}\b', '', 'g'), '@[\p{{L}}\p{{N}}_]+', '', 'g'), '\^[A-Za-z0-9]+', '', 'g') AS t FROM a),
-c AS (SELECT doc_id, text, regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^[ .,;-]+|[ .,;-]+$', '', 'g') AS t FROM b),
-d AS (SELECT doc_id, text, t, CASE WHEN length(t) <= 220 THEN t WHEN instr(t, ' ') = 0 THEN t WHEN strpos(substr(t, 1, 221), ' ') = 0 THEN string_split(t, ' ')[1] ELSE substr(t, 1, 221 - strpos(reverse(substr(t, 1, 221)), ' ')) END AS body FROM c),
-f AS (SELECT doc_id, CASE WHEN {sorry} THEN '{e(policy.opener("sorry", ""))}' WHEN {other} THEN '{e(policy.opener("default", ""))}' WHEN {thank} THEN '{e(policy.opener("thank", ""))}' ELSE '{e(policy.opener("default", ""))}' END AS o,
-  CASE WHEN body <> t AND body <> '' AND NOT regexp_matches(body, '[.!?]$') THEN body || '.' ELSE body END AS body FROM d)
-SELECT doc_id, o || CASE WHEN body <> '' THEN ' ' || body ELSE '' END || ' {e(policy.NEXT_STEP)}' AS draft FROM f"""
+    return rf"""draft_a AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), 'https?://\S+|t\.co/\S+', '', 'g') AS t FROM {table}),
+draft_b AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\+?[0-9][0-9\s().-]{{7,}}[0-9]', '', 'g'), '\b[0-9]{{13,17}}\b', '', 'g'), '@[\p{{L}}\p{{N}}_]+', '', 'g'), '\^[A-Za-z0-9]+', '', 'g') AS t FROM draft_a),
+draft_c AS (SELECT doc_id, text, regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^[ .,;-]+|[ .,;-]+$', '', 'g') AS t FROM draft_b),
+draft_d AS (SELECT doc_id, text, t, CASE WHEN length(t) <= 220 THEN t WHEN instr(t, ' ') = 0 THEN t WHEN strpos(substr(t, 1, 221), ' ') = 0 THEN string_split(t, ' ')[1] ELSE substr(t, 1, 221 - strpos(reverse(substr(t, 1, 221)), ' ')) END AS body FROM draft_c),
+draft_f AS (SELECT doc_id, CASE WHEN {sorry} THEN '{e(policy.opener("sorry", ""))}' WHEN {other} THEN '{e(policy.opener("default", ""))}' WHEN {thank} THEN '{e(policy.opener("thank", ""))}' ELSE '{e(policy.opener("default", ""))}' END AS o,
+  CASE WHEN body <> t AND body <> '' AND NOT regexp_matches(body, '[.!?]$') THEN body || '.' ELSE body END AS body FROM draft_d),
+drafts AS (SELECT doc_id, o || CASE WHEN body <> '' THEN ' ' || body ELSE '' END || ' {e(policy.NEXT_STEP)}' AS draft FROM draft_f)"""
 
 
-@query(_draft_sql())
+@query("WITH " + draft_parts("documents") + " SELECT doc_id, draft FROM drafts")
 def draft_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", policy.draft_auto(F.col("text")).alias("draft"))
 
 
 @query(
-    "WITH drafts AS (" + _draft_sql() + r"""), w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(draft), '[a-z]{5,}'), lambda x: NOT regexp_matches(x, '^(http|tco)'))) AS a,
+    "WITH " + draft_parts("documents") + r""", w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(draft), '[a-z]{5,}'), lambda x: NOT regexp_matches(x, '^(http|tco)'))) AS a,
   list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda x: NOT regexp_matches(x, '^(http|tco)'))) AS b FROM drafts JOIN documents USING (doc_id))
 SELECT doc_id, len(list_intersect(a, b)) >= 2 AS grounded FROM w"""
 )

@@ -253,11 +253,10 @@ def test_classifier_round_trip_and_idf(spark, tmp_path):
     rows = [(i, t, label) for i, (t, label) in enumerate([("refund my money", "refund"), ("money back refund", "refund"), ("late parcel", "late"), ("parcel is late again", "late")])]
     df = ml.with_ngrams(spark.createDataFrame(rows, "id int, text string, label string"))
     model = ml.text_classifier(df, min_df=1)
-    weights = model.stages[3].transform(model.stages[2].transform(model.stages[1].transform(model.stages[0].transform(df))))
-    word = model.stages[0].vocabulary.index("refund")
     import math
 
-    assert abs(weights.where("id = 0").first()["weights"][word] - (math.log(5 / 3) + 1)) < 1e-9
+    weights = {r.term: r.idf for r in model.features.terms.collect()}
+    assert abs(weights["refund"] - (math.log(5 / 3) + 1)) < 1e-9
     ml.save(model, str(tmp_path / "m"))
     again = ml.predict(ml.load(str(tmp_path / "m")), df)
     assert [r.predicted for r in again.orderBy("id").collect()] == ["refund", "refund", "late", "late"]
@@ -269,7 +268,7 @@ def test_agent_answers_from_all_parts(spark):
     hits = spark.createDataFrame([("q", "c2", 0.5, 2), ("q", "c1", 0.9, 1), ("q", "gone", 0.4, 3)], "query_id string, doc_id string, score double, rank int")
     cases = spark.createDataFrame([("c1", "We are sorry, it is on its way.", "en"), ("c2", None, "en")], "doc_id string, brand_response string, language string")
     got = {r.example_id: r for r in policy.answer(queries, intents, hits, cases).collect()}
-    assert (got["q"].action, got["q"].n_evidence, got["q"].n_usable, got["q"].sim_mean) == ("auto_handle", 3, 1, 0.6) and "on its way" in got["q"].draft
+    assert (got["q"].action, got["q"].n_evidence, got["q"].n_usable, got["q"].sim_mean) == ("auto_handle", 2, 1, 0.7) and "on its way" in got["q"].draft
     assert (got["z"].action, got["z"].n_evidence) == ("escalate", 0)
 
 
@@ -282,18 +281,6 @@ def test_job_manifest(spark, tmp_path):
     assert router.Job.load(str(tmp_path / "job.json")) == job == router.Job("labels", 3, 5, 2, 1, 2) and not job.complete
 
 
-def test_embeddings_resume_and_refuse_other_models(spark, docs, tmp_path):
-    store, encode = retrieval.EmbeddingStore(spark, str(tmp_path / "e")), retrieval.hashed_encoder(8)
-    assert store.manifest is None
-    assert store.build(docs.where("doc_id < 3"), "hashed", 8, encode).count() == 2
-    assert not store.valid(docs, "hashed", 8)
-    vectors = store.build(docs, "hashed", 8, encode)
-    assert sorted(r.doc_id for r in vectors.collect()) == [1, 2, 3] and store.valid(docs, "hashed", 8)
-    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in vectors.collect())
-    with pytest.raises(retrieval.StaleEmbeddings):
-        store.build(docs, "other", 8, encode)
-
-
 def test_replies_of_a_long_conversation(spark):
     """Each row enters its window frame once, whichever way it looks."""
     turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 9_999 == 0, "BRAND").otherwise("CUSTOMER").alias("role"), F.col("id").cast("string").alias("text"))

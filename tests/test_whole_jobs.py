@@ -23,15 +23,15 @@ def test_classifier_takes_all_terms_and_damps_counts(spark):
     many = F.transform(F.sequence(F.lit(1), F.lit(100_010)), lambda i: F.concat(F.lit("t"), i.cast("string")))
     rows = spark.range(0, 2, 1, 1).select(F.concat(many, F.when(F.col("id") == 0, F.array(*[F.lit("t1")] * 3)).otherwise(F.array().cast("array<string>"))).alias("terms"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("label"))
     model = ml.text_classifier(rows, iterations=1, min_df=1)
-    assert len(model.stages[0].vocabulary) == 100_010
-    damped = model.stages[1].transform(model.stages[0].transform(rows)).first()["tf"]
-    assert round(max(damped.values), 6) == 2.386294 and min(damped.values) == 1.0
+    assert model.features.size == 100_010
+    damped = model.features.table(rows.where("label = 'l0'").select("label", "terms")).plain.first()["features"]["values"]
+    assert round(max(damped) / min(damped), 6) == 2.386294
 
 
 def test_grid_weighs_the_classes_of_the_svc(spark, monkeypatch):
     asked = []
-    fit = ml.text_classifier
-    monkeypatch.setattr(ml, "text_classifier", lambda *a, **k: asked.append(k) or fit(*a, **{**k, "iterations": 3}))
+    fit = ml.fitted
+    monkeypatch.setattr(ml, "fitted", lambda *a, **k: asked.append((a[4:], k)) or fit(*a[:6], 3, **k))
     rows = spark.createDataFrame([(i, "rare words here" if i % 6 == 0 else "many common words", "b" if i % 6 == 0 else "a") for i in range(12)], "id int, text string, label string")
     got = ml.baseline_grid(rows, rows, ["text"]).collect()
-    assert len(got) == 3 * 12 and [(k.get("kind", "logistic"), k["balanced"], k["iterations"]) for k in asked] == [("logistic", True, 2000), ("svc", True, 2000)]
+    assert len(got) == 3 * 12 and asked == [(("logistic", 1.0, 2000), {"balanced": True}), (("svc", 1.0, 2000), {"balanced": True})]
