@@ -4,7 +4,8 @@ A document is the set of its different word shingles. Shingles are ordered by ra
 ``2**SKETCH_BITS`` hashed buckets; any total order is exact, this one decides the speed), and two sets of similarity ``percent``
 or more share one of the first few in that order, their prefixes. Documents of equal sets are one class, classes
 of equal prefix and size one group, and it is groups that are posted under the shingles of their prefix and
-paired, by length and by the position of the shared shingle. Group pairs are then expanded to their members, and these
+paired, by length and by the position of the shared shingle. Group pairs are then expanded to their members, these are filtered by how
+their shingles spread over ``SPREAD`` buckets (what two sets share is no more than the smaller counts add up to), and the rest are
 verified on the words of the texts, read again.
 
 Components need no more links than hold them together, so work goes where links are missing. First every group is verified
@@ -41,9 +42,10 @@ from colloq.session import cut, drop_table, release, write_table
 
 PERCENT = 90
 SKETCH_BITS = 18
+#: Buckets in which the shingles of a set are counted: two sets share no more than the smaller counts add up to.
+SPREAD = 64
 #: Bytes of text whose words are numbered together.
 SLICE = 1 << 20
-M64 = (1 << 64) - 1
 
 
 def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -69,23 +71,22 @@ def _different(a: np.ndarray, b: np.ndarray, c: np.ndarray, base: int) -> tuple[
     return a, b, c
 
 
-def shingle_ids(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each text the two halves of the ids of its different shingles of three words."""
+def shingle_ids(texts: list[bytes], halves: int = 2) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each text the halves (one or both) of the ids of its different shingles of three words."""
     numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
     # bytes: lower() changes A-Z only and split() splits at \x20\x09-\x0D only
     rows = [np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)) for words in (t.lower().split() for t in texts)]
     none = len(numbers)  # stands behind the words of a text that is too short
-    whole = [xxhash.xxh3_128_intdigest(w) for w in numbers] + [0]
-    low = np.array([h & M64 for h in whole], dtype=np.uint64)
-    high = np.array([h >> 64 for h in whole], dtype=np.uint64)
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)) + bytes(16), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+    hashes = [np.ascontiguousarray(digests[:, k]) for k in range(halves)]
     for row in rows:
         if not len(row):
-            yield low[:0], high[:0]
+            yield tuple(h[:0] for h in hashes)
             continue
         if len(row) < 3:
             row = np.concatenate((row, np.full(3 - len(row), none)))
         a, b, c = _different(row[:-2], row[1:-1], row[2:], none + 1)
-        yield _mixed(low[a], low[b], low[c]), _mixed(high[a], high[b], high[c])
+        yield tuple(_mixed(h[a], h[b], h[c]) for h in hashes)
 
 
 def _slices(texts: pa.Array) -> Iterator[list[bytes]]:
@@ -102,9 +103,9 @@ def _slices(texts: pa.Array) -> Iterator[list[bytes]]:
         yield some
 
 
-def _sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _sets(texts: pa.Array, halves: int = 2) -> Iterator[tuple[np.ndarray, ...]]:
     for some in _slices(texts):
-        yield from shingle_ids(some)
+        yield from shingle_ids(some, halves)
 
 
 def _bucket(ids: np.ndarray) -> np.ndarray:
@@ -117,8 +118,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
-            for ids, _ in _sets(batch.column(0)):
-                np.add.at(found, _bucket(ids), 1)
+            for some in _slices(batch.column(0)):
+                found += np.bincount(_bucket(np.concatenate([ids for (ids,) in shingle_ids(some, 1)])), minlength=len(found))
         some = np.flatnonzero(found)
         for at in range(0, len(some), 1 << 14):
             part = some[at : at + (1 << 14)]
@@ -143,11 +144,12 @@ def _key_of(ids: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def signatures(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """row, doc_id, n (size of the set), key (the set's digest), start (digest of its prefix), prefix (ids in order)."""
+    """row, doc_id, n (size of the set), key (the set's digest), start (digest of its prefix), prefix (ids in order), spread (shingles
+    by the low bits of their ids)."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, starts, prefixes = [], [], [], []
+            sizes, keys, starts, prefixes, spreads = [], [], [], [], []
             for low, high in _sets(batch.column(2)):
                 ids, key = _key_of(low, high)
                 first = np.argsort(ranks[_bucket(ids)], kind="stable")[: prefix_length(len(ids), percent)] if len(ids) else []
@@ -156,12 +158,13 @@ def signatures(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> Da
                 keys.append(key)
                 starts.append(blake2b(prefix.tobytes(), digest_size=16).digest())
                 prefixes.append(prefix)
+                spreads.append(np.bincount((ids % np.uint64(SPREAD)).astype(np.int64), minlength=SPREAD).astype(np.int32))
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(starts, pa.binary()), listed], names=["row", "doc_id", "n", "key", "start", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(starts, pa.binary()), listed, pa.array(spreads, pa.list_(pa.int32()))], names=["row", "doc_id", "n", "key", "start", "prefix", "spread"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    return rows.mapInArrow(signed, "row bigint, doc_id bigint, n bigint, key binary, start binary, prefix array<bigint>")
+    return rows.mapInArrow(signed, "row bigint, doc_id bigint, n bigint, key binary, start binary, prefix array<bigint>, spread array<int>")
 
 
 def _may_link(percent: int, a: str, b: str) -> Column:
@@ -171,6 +174,17 @@ def _may_link(percent: int, a: str, b: str) -> Column:
     return length & ((100 + percent) * F.least(ra, rb) >= percent * (na + nb))
 
 
+def _alike(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) of classes whose spreads leave room for the similarity."""
+    pairs = cut(pairs)
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    found = cut(rows.join(sized(ends), "row", "left_semi").select("row", "n", "spread"))
+    x, y = (found.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("spread").alias(f"s_{k}")) for k in ("a", "b"))
+    shared = F.aggregate(F.zip_with("s_a", "s_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    both = pairs.join(x, "a").join(y, "b")
+    return both.where((100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))).select(*pairs.columns)
+
+
 def _shared(groups: DataFrame) -> DataFrame:
     """(token, g, n, rest, hub): the postings of shingles that several groups have, with the earliest of these."""
     each = groups.select("g", "n", F.posexplode("prefix").alias("at", "token")).select("token", "g", "n", (F.col("n") - F.col("at")).alias("rest"))
@@ -178,13 +192,14 @@ def _shared(groups: DataFrame) -> DataFrame:
     return each.join(several, "token")
 
 
-def _first_pairs(shared: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _first_pairs(shared: DataFrame, members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): each group with the hub that it shares most prefix shingles with, each member with its group's first class."""
     hubs = shared.where(F.col("g") == F.col("hub")).select("token", "g", "n", "rest").alias("b")
     near = shared.where(F.col("g") != F.col("hub")).alias("a").join(hubs, (F.col("a.token") == F.col("b.token")) & _may_link(percent, "a", "b"))
     common = near.groupBy(F.col("a.g").alias("a"), F.col("b.g").alias("b")).agg(F.count("*").alias("common"))
-    best = common.groupBy("a").agg(F.max_by("b", F.struct("common", -F.col("b"))).alias("b"))
-    return best.unionByName(members.where("c <> g").select(F.col("c").alias("a"), F.col("g").alias("b")))
+    inside = members.where("c <> g").select(F.col("c").alias("a"), F.col("g").alias("b"), F.lit(0).cast("bigint").alias("common"))
+    # a class that is not the first of its group has its group's first class alone
+    return _alike(common.unionByName(inside), rows, percent).groupBy("a").agg(F.max_by("b", F.struct("common", -F.col("b"))).alias("b"))
 
 
 def group_pairs(shared: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
@@ -264,13 +279,13 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = cut(classes.join(groups.select("n", "start", "g"), ["n", "start"]).select("c", "g"))
     shared = write_table(_shared(groups))
     release(spark)
-    pairs = cut(_first_pairs(shared, members, percent))
+    pairs = cut(_first_pairs(shared, members, rows, percent))
     links = verified(docs, classes, pairs, percent)
     release(spark)
     parts = connected_components(links.toDF("src", "dst"))
     named = cut(members.join(parts.withColumnRenamed("node", "c"), "c", "left").select("c", "g", F.coalesce("component", "c").alias("part")))
     spans = cut(named.groupBy("g").agg(F.min("part").alias("lo"), F.max("part").alias("hi")))
-    more = cut(_expanded(group_pairs(shared, spans, percent), spans, named).join(pairs, ["a", "b"], "left_anti"))
+    more = cut(_alike(_expanded(group_pairs(shared, spans, percent), spans, named).join(pairs, ["a", "b"], "left_anti"), rows, percent))
     drop_table(shared)
     drop_table(groups)
     release(spark)
