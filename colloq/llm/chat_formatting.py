@@ -66,10 +66,14 @@ def crossed(conversations: DataFrame) -> DataFrame:
 
 
 def paired(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs from a preference table ``pairs(pair_id, chosen_id, rejected_id)``: (pair_id, side, turn, role, text)."""
+    """Pairs from a preference table ``pairs(pair_id, chosen_id, rejected_id)``: (pair_id, side, turn, role, text).
+
+    Turns are counted anew from 0 within each conversation, so sides meet by their places, however either is numbered.
+    """
     sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit("rejected").alias("side"), F.col("rejected_id").alias("conv_id")))
     wanted = pairs.select("pair_id", F.explode(sides).alias("s")).select("pair_id", "s.side", "s.conv_id")
-    return wanted.join(_turns(conversations), "conv_id").select("pair_id", "side", "turn", "role", "text")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return wanted.join(_turns(conversations).withColumn("turn", place), "conv_id").select("pair_id", "side", "turn", "role", "text")
 
 
 def format_preferences(sides: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ Only the existence of an earlier match matters. Of the earlier classes that pass
 most alike one by its bitmap is verified first, so the texts of a family of similar lines are fetched for a pair per
 member; only for classes for which it fails the others are verified too. Classes that share a word posted by
 more than ``CROWD`` classes are first compared with the earliest class of that word alone, at a cost
-linear in their number; only those without a match yet are compared with every earlier class of the word.
+linear in their number; only those without a match yet are compared with every earlier class of the word. The cause that
+a removed line names is the first line of its own set, or else the most alike earlier line that was verified, and of equally alike ones the
+first; it does not depend on the partitions.
 
 Defined cases: lines without a word are never removed, nor are lines of fewer than ``min_words``
 different words (1 by default: every line with a word); lines of fewer than four words are similar to
@@ -263,7 +265,7 @@ def removed_lines(documents: Numbered, min_words: int = 1) -> DataFrame:
     hot = None if crowded.isEmpty() else write_table(_posted(classes).join(sized(crowded, BROADCAST_CLASSES), "word"))
     pairs = cut(candidates(classes, hot))
     release(spark)  # the exchange of the postings
-    best = cut(pairs.groupBy("later").agg(F.min_by("earlier", "apart").alias("earlier")))
+    best = cut(pairs.groupBy("later").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier")))
     matched = _verified(documents, places, best)
     rest = cut(other_candidates(pairs, hot, best, matched))
     if hot is not None:

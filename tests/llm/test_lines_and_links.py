@@ -256,3 +256,19 @@ def test_crossed_cases(spark):
     assert got[1].prompt_turns >= 2501 and got[1].prompt_turns + got[1].chosen_mask.count(",") + 1 == 5000
     text, spans = got[1].rejected, [tuple(map(int, x.split(":"))) for x in got[1].rejected_mask.split(",")]
     assert all(text[a:b].endswith("<|end|>") and text[a:b].startswith("2 word") for a, b in spans)
+
+
+def test_sides_meet_by_place(spark):
+    """Two conversations of the same start, one numbered from 0 and one from 1 with gaps."""
+    conv = turns(spark, [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "a"), (2, 1, "user", "hi"), (2, 5, "assistant", "yes"), (2, 9, "user", "b")])
+    pairs = spark.createDataFrame([(7, 1, 2)], "pair_id bigint, chosen_id bigint, rejected_id bigint")
+    r = chat_formatting.format_preferences(chat_formatting.paired(conv, pairs)).first()
+    assert (r.prompt_turns, r.chosen, r.rejected) == (2, "<|user|>\na<|end|>\n", "<|user|>\nb<|end|>\n")
+
+
+def test_causes_do_not_depend_on_the_partitions(spark):
+    """A line with equally alike earlier lines names the first of them."""
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(1, 12)]
+    seen = [sorted((r.doc_id, tuple(map(tuple, r.removed))) for r in line_dedup.deduplicated(table(spark, rows).repartition(n)).collect()) for n in (1, 5)]
+    assert seen[0] == seen[1] and seen[0][1][1] == ((0, 1, 0),)
