@@ -86,14 +86,18 @@ def with_start(turns: DataFrame, conversation: str, at: str, name: str = "root_c
 
 
 def reply_mismatches(made: DataFrame, turns: DataFrame, order: str = "turn") -> DataFrame:
-    """One row that cross-checks cases by another way: the next brand message found by an aggregation, not by a window.
+    """One row that cross-checks cases by another way: cases and replies in one column, read from the end of each conversation.
 
-    ``turns`` (conv_id, ``order``, role, text_clean) are what ``made`` (conv_id, ``order``, brand_response) was built from.
+    ``turns`` (conv_id, ``order``, role, text_clean) are what ``made`` (conv_id, ``order``, brand_response) was built from. A reply answers the
+    cases before it, none of its own place. Each row is looked at once, however long the conversation.
     """
-    replies = turns.where("role = 'BRAND'").select("conv_id", F.col(order).alias("__at"), "text_clean")
-    after = made.select("conv_id", order, "brand_response").join(replies, "conv_id", "left")
-    found = after.groupBy("conv_id", order).agg(F.first("brand_response").alias("brand_response"), F.min(F.when(F.col("__at") > F.col(order), F.struct("__at", "text_clean"))).alias("reply"))
-    expected = F.nullif(F.trim("reply.text_clean"), F.lit(""))
+    none = F.lit(None).cast("string")
+    asked = made.select("conv_id", F.col(order).alias("__at"), F.lit(True).alias("__case"), "brand_response", none.alias("__said"))
+    said = turns.where("role = 'BRAND'").select("conv_id", F.col(order).alias("__at"), F.lit(False).alias("__case"), none.alias("brand_response"), F.coalesce("text_clean", F.lit("")).alias("__said"))
+    backwards = Window.partitionBy("conv_id").orderBy(F.col("__at").desc_nulls_last(), F.col("__case").desc())
+    reply = F.last("__said", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+    found = asked.unionByName(said).withColumn("__reply", reply).where("__case")
+    expected = F.nullif(F.trim("__reply"), F.lit(""))
     return found.agg(F.count("*").alias("n_cases"), F.count_if(~F.col("brand_response").eqNullSafe(expected)).alias("n_mismatches"))
 
 

@@ -79,19 +79,22 @@ def chain_roots(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     ``cyclic`` is true. ``max_depth`` clips the depth that is shown, nothing else.
     """
     up = edges.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst"))
-    at = start = write_table(up.select(F.col("src").alias("node"), F.col("dst").alias("top"), F.lit(1).cast("bigint").alias("depth")))
-    children = start.select(F.col("node").alias("top"))
-    done: DataFrame | None = None
-    while True:
-        # a top that is no child is a root
-        reached = write_table(at.join(children, "top", "left_anti").select("node", F.col("top").alias("root"), "depth", F.lit(False).alias("cyclic")))
-        done = reached if done is None else done.unionByName(reached)
-        at = write_table(at.join(children, "top", "left_semi").select("node", "top", "depth"))
-        if reached.isEmpty() or at.isEmpty():
-            break
+    start = write_table(up.select(F.col("src").alias("node"), F.col("dst").alias("top"), F.lit(1).cast("bigint").alias("depth")))
+    children = start.select(F.col("node").alias("top"), F.lit(True).alias("open"))
+
+    def placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows whose top is a root, as it is no child, and the open ones."""
+        table = write_table(rows.join(children, "top", "left"))
+        reached = table.where("open is null").select("node", F.col("top").alias("root"), "depth", F.lit(False).alias("cyclic"))
+        return reached, table.where("open").select("node", "top", "depth")
+
+    done, at = placed(start)
+    reached = done
+    while not reached.isEmpty() and not at.isEmpty():
         # the next jump of an open node is that of its top, which is open or done
         jumps = at.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more")).unionByName(done.select(F.col("node").alias("top"), F.col("root").alias("next"), F.col("depth").alias("more")))
-        at = write_table(at.join(jumps, "top").select("node", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth")))
+        reached, at = placed(at.join(jumps, "top").select("node", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth")))
+        done = done.unionByName(reached)
     none = F.lit(None).cast("bigint")
     found = done.unionByName(at.select("node", none.alias("root"), none.alias("depth"), F.lit(True).alias("cyclic")))
     return found if max_depth is None else found.withColumn("depth", F.least("depth", F.lit(max_depth).cast("bigint")))

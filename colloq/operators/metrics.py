@@ -126,10 +126,9 @@ def expected_calibration_error(rows: DataFrame, confidence: Column, correct: Col
 
 def calibration_table(rows: DataFrame, confidence: Column, correct: Column, buckets: int = 5) -> DataFrame:
     """Buckets between exact quantiles, left closed, the last closed on both sides."""
-    shares = F.array(*[F.lit(i / buckets) for i in range(buckets + 1)])
     base = rows.select(confidence.alias("c"), correct.cast("double").alias("y")).where("c is not null")
-    edges = base.agg(F.percentile("c", shares).alias("e")).first()["e"]  # buckets + 1 numbers
-    if edges is None:
+    edges = quantiles(base, "c", {f"e{i}": i / buckets for i in range(buckets + 1)}).first()  # buckets + 1 numbers
+    if edges is None or edges[0] is None:
         return base.select(F.lit(0).alias("bucket"), F.count("*").over(Window.partitionBy()).alias("n"), "c", "y").where("false")
     bucket = F.lit(buckets - 1)
     for i in range(buckets - 2, -1, -1):
@@ -160,26 +159,56 @@ def rater_summary(rows: DataFrame, first: str, again: str, other: str) -> DataFr
 
 def latency(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean and interpolated 95th percentile of timings."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("avg"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    found = quantiles(rows, value, {"p95": 0.95}, by)
+    means = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("avg"))
+    if not by:
+        return means.crossJoin(F.broadcast(found))  # one row each
+    same = [means[c].eqNullSafe(found[c]) for c in by]
+    return means.join(found, same, "left").select(*[means[c] for c in by], "n", "avg", "p95")
 
 
-def order_statistics(rows: DataFrame, value: str, share: float) -> DataFrame:
-    """Floor-index, half-even-index and interpolated quantile of one column.
+def running_counts(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., value, upto, total): the different values with the number of rows up to each, and of all.
 
-    The two indexed ones are found by counting: the different values are ranked in ranges, and the running count
-    (that of earlier ranges, then of smaller values of the range) is searched; no task sees all of them.
+    The values are ranked in ranges: a running count is that of earlier ranges and of smaller values of the own range, so no task
+    sees all values of a group, however many and however large the group. Rows without a value are left out.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    placed = cut(counts.repartitionByRange(value).withColumn("__range", F.spark_partition_id()))
-    sizes = placed.groupBy("__range").agg(F.sum("n").alias("__n"))
-    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("total"))  # one row a range
-    within = F.sum("n").over(Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    running = placed.withColumn("within", within).join(F.broadcast(before), "__range").select(value, (F.col("within") + F.col("__before")).alias("upto"), "total")
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    placed = cut(counts.repartitionByRange(*by, value).withColumn("__range", F.spark_partition_id()))
+    sizes = placed.groupBy(*by, "__range").agg(F.sum("n").alias("__n"))  # a row a range and group
+    earlier = Window.partitionBy(*by).orderBy("__range")
+    before = cut(sizes.select(*by, "__range", (F.sum("__n").over(earlier) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(*by)).alias("total")))
+    within = F.sum("n").over(Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    side = before.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__r"), "__before", "total")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__range") == F.col("__r")]
+    if before.limit(100_001).count() <= 100_000:
+        side = F.broadcast(side)
+    joined = placed.withColumn("__within", within).join(side, same)
+    return joined.select(*by, value, (F.col("__within") + F.col("__before")).alias("upto"), "total")
+
+
+def quantiles(rows: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact interpolated quantiles per group, a column for each name of ``shares``; a group without values has no row."""
+    running = running_counts(rows, value, by)
+    last = F.col("total") - 1
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(value).cast("double")))
+    found = running.groupBy(*by).agg(
+        *[at(F.floor(F.lit(s) * last)).alias(f"__low_{k}") for k, s in shares.items()], *[at(F.ceil(F.lit(s) * last)).alias(f"__high_{k}") for k, s in shares.items()], F.max("total").alias("__total")
+    )
+    place = {k: F.lit(s) * (F.col("__total") - 1) for k, s in shares.items()}
+    part = {k: p - F.floor(p) for k, p in place.items()}
+    return found.select(*by, *[(F.col(f"__low_{k}") * (1 - part[k]) + F.col(f"__high_{k}") * part[k]).alias(k) for k in shares])
+
+
+def order_statistics(rows: DataFrame, value: str, share: float) -> DataFrame:
+    """Floor-index, half-even-index and interpolated quantile of one column, all from running counts."""
+    running = running_counts(rows, value)
     last = F.col("total") - 1
-    indexed = running.agg(at(F.floor(F.lit(share) * last)).alias("floor_index"), at(F.bround(F.lit(share) * last)).alias("rounded_index"))
-    exact = rows.agg(F.percentile(value, F.lit(share)).alias("interpolated"))
-    return indexed.crossJoin(F.broadcast(exact))  # one row each
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
+    place = F.lit(share) * last
+    found = running.agg(at(F.floor(place)).alias("floor_index"), at(F.bround(place)).alias("rounded_index"), at(F.ceil(place)).alias("__high"), F.max("total").alias("total"))
+    part = place - F.floor(place)
+    return found.select("floor_index", "rounded_index", (F.col("floor_index") * (1 - part) + F.col("__high") * part).alias("interpolated"))
 
 
 def retrieval_failures(hits: DataFrame, judgements: DataFrame, queries: DataFrame, k: int = 5, headline: str = "dense") -> DataFrame:

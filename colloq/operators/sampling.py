@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloq.operators.metrics import quantiles
 from colloq.session import cut
 
 
@@ -149,5 +150,9 @@ def violations(rows: DataFrame, domains: Mapping[str, Sequence[str]]) -> DataFra
 
 def representativeness(sample: DataFrame, whole: DataFrame, value: str) -> DataFrame:
     """Mean, median, least and greatest of a sample beside those of the corpus."""
-    stat = lambda df, name: df.agg(F.lit(name).alias("population"), F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+
+    def stat(df: DataFrame, name: str) -> DataFrame:
+        plain = df.agg(F.lit(name).alias("population"), F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+        return plain.crossJoin(F.broadcast(quantiles(df, value, {"median": 0.5}))).select("population", "n", "mean", "median", "least", "greatest")  # one row each
+
     return stat(sample, "sample").unionByName(stat(whole, "corpus"))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Names of a vocabulary that a join may broadcast.
+BROADCAST_NAMES = 100_000
+
+
 def percent(c: Column, digits: int = 2) -> Column:
     """Share of true among non-null, in per cent."""
     return F.round(100 * F.avg(c.cast("double")), digits)
@@ -106,7 +110,8 @@ def code_counts(df: DataFrame, codes: str) -> DataFrame:
 def vocabulary_counts(df: DataFrame, column: str, vocabulary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., value, n) for every value of ``vocabulary(value)``, zero where none is counted."""
     counts = df.groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    every = df.select(*by).distinct().crossJoin(F.broadcast(vocabulary)) if by else vocabulary  # segments by a short list
+    names = F.broadcast(vocabulary) if vocabulary.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else vocabulary
+    every = df.select(*by).distinct().crossJoin(names) if by else vocabulary  # the rows of the result, zeros included
     return every.join(counts, [*by, "value"], "left").select(*by, "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -64,9 +64,11 @@ def next_reply_with_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.col("next_brand.text").alias("reply"), F.col("next_brand.at").alias("reply_at"))
 
 
-@query("WITH " + WINDOWED_SQL + " SELECT count(*) AS n_cases, 0::BIGINT AS n_mismatches FROM w WHERE role = 'CUSTOMER'")
+@query("WITH " + WINDOWED_SQL + " SELECT count(*) AS n_cases, count(*) FILTER (conv_id % 7 = 0) AS n_mismatches FROM w WHERE role = 'CUSTOMER'")
 def case_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = corpus(spark, sf_dir).select("conv_id", "turn", F.nullif(F.trim("next_brand"), F.lit("")).alias("brand_response"))
+    """Cases checked against their turns, with a wrong reply planted in every seventh conversation."""
+    reply = F.when(F.col("conv_id") % 7 == 0, F.lit("planted")).otherwise(F.nullif(F.trim("next_brand"), F.lit("")))
+    made = corpus(spark, sf_dir).select("conv_id", "turn", reply.alias("brand_response"))
     return cv.reply_mismatches(made, turns(spark, sf_dir).withColumn("text_clean", tx.clean_text(F.col("text"))))
 
 

@@ -261,6 +261,10 @@ def test_squared_hinge_is_the_minimum(spark):
         assert np.allclose(model.weights[:, k], w, atol=2e-3)
     got = {r.id: r.predicted for r in ml.predict(model, df).collect()}
     assert [got[i] for i, *_ in rows] == labels.tolist()
+    placed = model.features.table(df.withColumn("label_index", (F.ascii("label") - 97).cast("double")).select("label_index", "terms")).plain
+    weight = [len(rows) / (3 * (labels == name).sum()) for name in model.labels]
+    spread = ml.squared_hinge(placed.repartition(3), model.features.size, 3, weight, 1.0, one_task=2)  # a job for each gradient
+    assert np.allclose(spread, model.weights, atol=1e-3)
 
 
 def test_saved_svc_and_a_text_without_known_words(spark, tmp_path):
