@@ -8,14 +8,14 @@ whole clauses: the same word weighs differently in "you idiot", "not an idiot" a
 
 Insult entries (word prefixes, so inflections share one) and their weights are log ratios of rates in
 toxic and other texts, learned from at most ``sample`` labelled training rows (a documented bound; the
-rows are those with the smallest hash of doc_id) next to a short list of English words that applies
-when there is nothing to learn from. A logistic model on the clause sums and their density turns them
+rows are those with the smallest hash of doc_id). No insult is built in: without toxic training rows there is none,
+and the closed word classes of the grammar are all it knows. A logistic model on the clause sums and their density turns them
 into a score. Labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: null, empty and blank texts have no clause and get the score of a text without any
 match; texts of any length are read clause by clause; several labels of one doc_id count as toxic if
 any is; null labels and null doc_ids teach nothing; equal training texts count once; an empty labels
-table leaves the built-in weights; an empty documents table gives an empty result; only doc_id and
+table leaves the grammar alone; an empty documents table gives an empty result; only doc_id and
 text are read, so other columns never collide.
 """
 
@@ -46,9 +46,6 @@ TARGETS = frozenset("you your yours yourself he him she her they them their peop
 NEGATIONS = frozenset("not no never neither nor isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais nunca".split())
 REPORTS = frozenset("said says say called calls claimed claims wrote reported quoted alleged sagte schrieb nannte dit disait dijo llamó".split())
 THREATS = frozenset("kill hurt destroy burn shoot stab beat strangle hang punish crush murder".split())
-INSULTS = ("idiot", "moron", "scum", "loser", "clown", "stupid", "pathetic", "worthless", "trash", "disgusting", "imbecile", "bastard", "vermin")
-BUILT_IN_WEIGHT = 4.0
-
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 CLAUSE_END = re.compile(r"[.!?;\n]+")
 
@@ -125,7 +122,7 @@ def composed() -> tuple[tuple[tuple[int, float, float, float], ...], ...]:
 class Model:
     """Insult prefixes with weights, the weight of a threat, and the logistic coefficients."""
 
-    entries: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, BUILT_IN_WEIGHT))
+    entries: dict[str, float] = field(default_factory=dict)
     threat: float = 1.0
     coefficients: tuple[float, ...] = (-3.0, 1.0, 0.8, 0.4, 0.0)
 
@@ -138,7 +135,8 @@ class Model:
     def _pattern(self) -> re.Pattern:
         if self._find is None:
             words = sorted(self.entries, key=len, reverse=True)
-            self._find = re.compile(r"(?<![^\W\d_])(?:(" + "|".join(map(re.escape, words)) + r")|(?:" + "|".join(sorted(THREATS)) + r")(?![^\W\d_]))" if words else r"(?!)()")
+            insults = "|".join(map(re.escape, words)) or "(?!)"
+            self._find = re.compile(rf"(?<![^\W\d_])(?:({insults})|(?:{'|'.join(sorted(THREATS))})(?![^\W\d_]))")
         return self._find
 
     def clause(self, words: list[str]) -> float:
@@ -258,9 +256,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, sample: int = SAMPLE) -> Model:
     """Learn entries and coefficients; what reaches the driver is bounded by ``sample``."""
     rows = training_rows(docs, labels, F.lit(True) if train is None else train, sample)
-    model = Model()
-    mined = mine_entries(rows)
-    model = Model({w: x for w, x in model.entries.items() if not any(m.startswith(w) or w.startswith(m) for m in mined)} | mined)
+    model = Model(mine_entries(rows))
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

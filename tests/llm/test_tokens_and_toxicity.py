@@ -130,8 +130,11 @@ def test_counts_and_edits_on_tables(spark):
     assert edit_counts.counted_edits(docs.limit(0), TEXT).count() == 0 and edit_counts.build(docs.limit(0), TEXT).count() == 0
 
 
+INSULTS = dict.fromkeys(("idiot", "worthless", "pathetic", "scum"), 4.0)
+
+
 def clause(text):
-    return toxicity.Model().clause(toxicity.WORD.findall(text.lower()))
+    return toxicity.Model(INSULTS).clause(toxicity.WORD.findall(text.lower()))
 
 
 def test_grammar_weighs_whole_clauses():
@@ -168,16 +171,16 @@ def brute_clause(symbols, weight, threat):
 def test_the_composed_machine_matches_the_rules():
     rnd = random.Random(17)
     said = {"insult": "idiot", "target": "you", "negation": "not", "report": "said", "threat": "kill", "other": "tree"}
-    model = toxicity.Model(threat=2.5)
+    model = toxicity.Model(INSULTS, threat=2.5)
     for _ in range(20_000):
         symbols = rnd.choices(list(said), weights=[3, 3, 2, 1, 2, rnd.choice([1, 6])], k=rnd.randint(0, 12))
-        assert abs(model.clause([said[s] for s in symbols]) - brute_clause(symbols, toxicity.BUILT_IN_WEIGHT, 2.5)) < 1e-9, symbols
+        assert abs(model.clause([said[s] for s in symbols]) - brute_clause(symbols, 4.0, 2.5)) < 1e-9, symbols
     assert len(toxicity.composed()) > 100
 
 
 def test_toxicity_on_awkward_rows(spark):
     docs = clashing(table(spark, [*AWKWARD, (30, "you are a worthless idiot and pathetic scum")]))
-    model = toxicity.Model()
+    model = toxicity.Model(INSULTS)
     rows = toxicity.score(docs, model).collect()
     assert len(rows) == len(AWKWARD) + 1 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     best = max(rows, key=lambda r: r.score)
@@ -185,7 +188,29 @@ def test_toxicity_on_awkward_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (None, 1, 1), (2, 1, None), (404, 1, 1)], "doc_id bigint, quality int, toxic int")
     for part in (labels, labels.limit(0)):
-        assert set(toxicity.INSULTS) <= set(toxicity.fit(docs, part).entries)
+        learned = toxicity.fit(docs, part)
+        assert not set(INSULTS) & set(learned.entries)  # no word but from the training rows
+        assert toxicity.score(docs, learned).count() == len(rows)
+
+
+def test_the_grammar_beats_a_count_of_words():
+    """Clauses with the same insult, half of them negated or reported: a flat count can't tell them apart."""
+    rnd = random.Random(23)
+    filler = ["tree", "river", "walks", "slowly", "window", "paper"]
+    machine, flat, toxic = [], [], []
+    for i in range(2000):
+        words = [rnd.choice(filler) for _ in range(rnd.randint(2, 6))]
+        at = rnd.randrange(len(words) + 1)
+        kind = rnd.choice(["target", "plain", "negated", "reported"])
+        said = {"target": ["you", "idiot"], "plain": ["idiot"], "negated": ["not", "an", "idiot"], "reported": ["said", "an", "idiot"]}[kind]
+        words[at:at] = said
+        machine.append(toxicity.Model(INSULTS).clause(words) if i < 300 else None)
+        flat.append(sum(w in INSULTS for w in words))
+        toxic.append(kind in ("target", "plain"))
+    seen = [(m, t) for m, t in zip(machine, toxic, strict=True) if m is not None]
+    good, bad = [m for m, t in seen if t], [m for m, t in seen if not t]
+    auc = sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+    assert set(flat) == {1} and auc > 0.99
 
 
 def test_held_out_accuracy(spark):
