@@ -208,8 +208,11 @@ def forensic_tables(made: DataFrame, k: int = 10) -> dict[str, DataFrame]:
     }
 
 
-def transcript(turns: DataFrame, conversation: str, order: Sequence[str], limit: int = 260) -> DataFrame:
-    """Per conversation: 'ROLE: text' lines in order, line breaks to spaces, cut at ``limit`` with an ellipsis."""
+def transcript(turns: DataFrame, conversation: str, order: Sequence[str], limit: int = 260, head: int | None = None) -> DataFrame:
+    """Per conversation: 'ROLE: text' lines in order, line breaks to spaces, cut at ``limit`` with an ellipsis; with ``head`` the first
+    so many of them."""
+    if head is not None:
+        turns = turns.withColumn("__place", F.row_number().over(ordered(conversation, order))).where(F.col("__place") <= head)
     flat = F.regexp_replace(F.col("text"), r"\n", " ")
     line = F.concat(F.upper("role"), F.lit(": "), F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("…"))).otherwise(flat))
     lines = F.sort_array(F.collect_list(F.struct(*order, line.alias("line"))))

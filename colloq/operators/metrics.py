@@ -14,12 +14,11 @@ from colloq.session import cut
 RELEVANT, USEFUL = 1, 2
 
 
-def retrieval_per_query(hits: DataFrame, judgements: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), at_least: int = RELEVANT, empty_as_one: bool = False) -> DataFrame:
+def retrieval_per_query(hits: DataFrame, judgements: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), at_least: int = RELEVANT) -> DataFrame:
     """Per judged query: recall at each k, reciprocal rank, and whether anything good is in the first five.
 
     hits(query_id, doc_id, rank), judgements(query_id, doc_id, level). A query without relevant
-    documents has recall 0; ``empty_as_one`` divides by max(1, n) instead, as scaling runs do (equal
-    here, since its numerator is 0 as well).
+    documents has recall 0, as its numerator is 0 whatever it is divided by.
     """
     good = judgements.where(F.col("level") >= at_least)
     totals = judgements.groupBy("query_id").agg(F.sum((F.col("level") >= at_least).cast("bigint")).alias("n_relevant"))

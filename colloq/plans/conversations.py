@@ -99,6 +99,19 @@ def conv_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cv.transcript(turns(spark, sf_dir), "conv_id", ["turn"])
 
 
+@query("WITH " + TURNS_SQL + """, f AS (SELECT conv_id, turn, role, replace(text, chr(10), ' ') AS t FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3)
+SELECT conv_id, string_agg(role || ': ' || CASE WHEN length(t) > 400 THEN substr(t, 1, 400) || '…' ELSE t END, chr(10) ORDER BY turn) AS transcript FROM f GROUP BY conv_id""")
+def transcript_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three turns of each conversation, longer excerpts."""
+    return cv.transcript(turns(spark, sf_dir), "conv_id", ["turn"], limit=400, head=3)
+
+
+@query("WITH " + WINDOWED_SQL + r""" SELECT conv_id, turn, coalesce(array_to_string(list_transform(list_filter(list_reverse(before), lambda t: trim(substr(t, strpos(t, ': ') + 2)) <> ''),
+  lambda t: regexp_replace(regexp_replace(t, '^CUSTOMER: ', 'Previous customer:' || chr(10)), '^BRAND: ', 'Previous support:' || chr(10))), chr(10) || chr(10)) || chr(10) || chr(10), '') || 'Current customer:' || chr(10) || text_clean AS document FROM w WHERE role = 'CUSTOMER'""")
+def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("conv_id", "turn", tx.context_blocks(F.col("text_clean"), F.col("context")).alias("document"))
+
+
 TEMPLATE_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), 'https?://\S+', 'URL', 'g'), '@[\p{{L}}\p{{N}}_]+', '@USER', 'g'), '[0-9][0-9.,-]*', '#', 'g'), '[^\p{{L}}\p{{N}}_\s@#-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -120,6 +133,12 @@ def corpus_forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("n_cases", "n_conversations", "pct_usable", "pct_low_content", "n_repeated_messages", "pct_with_context", F.round("avg_conv_length", 6).alias("avg_conv_length"), "median_conv_length")
 
 
+@query("WITH " + WINDOWED_SQL + ", c AS (SELECT nullif(trim(next_brand), '') AS reply FROM w WHERE role = 'CUSTOMER'), t AS (SELECT " + TEMPLATE_SQL.format("reply") + " AS name FROM c WHERE reply IS NOT NULL) SELECT name, count(*) AS n FROM t GROUP BY name ORDER BY n DESC, name LIMIT 10")
+def forensic_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's ten commonest reply templates."""
+    return cv.forensic_tables(cv.cases(corpus(spark, sf_dir)))["templates"]
+
+
 @query("WITH " + WINDOWED_SQL + """ SELECT conv_id || ':' || pos_in_conv AS case_id, coalesce(len(before), 0)::BIGINT AS n_context, text_clean AS doc_msg, (nullif(trim(next_brand), '') IS NOT NULL) AS has_response FROM w WHERE role = 'CUSTOMER'""")
 def slim_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = cv.from_slim(cv.slim(cv.cases(corpus(spark, sf_dir))))

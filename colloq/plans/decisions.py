@@ -139,6 +139,12 @@ def kmeans_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.clusters(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), k=10)
 
 
+@query("SELECT doc_id, quality, toxic, length(text)::BIGINT AS n FROM documents JOIN labels USING (doc_id) WHERE trim(coalesce(text, '')) <> ''")
+def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ml.labelled_corpus(read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return rows.select("doc_id", "quality", "toxic", F.length("text").cast("long").alias("n"))
+
+
 @query(None)
 def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A language classifier fitted on the documents that have labels says what all documents are."""

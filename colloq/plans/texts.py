@@ -98,6 +98,16 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
+@query(r"""SELECT doc_id, md5(lower(regexp_replace(coalesce(text, ''), 'https?://\S+|@[\p{L}\p{N}_]+|#', ' ', 'g'))) AS normalised_md5,
+  len(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: regexp_full_match(w, '[\p{L}\p{N}]+') AND length(w) > 3)))::BIGINT AS n_loose,
+  len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]{3,}') AND w NOT IN ('the', 'and', 'der', 'que')))::BIGINT AS n_forensic FROM documents""")
+def text_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without links, mentions and hashes; their loose words; their plain words without stop words."""
+    t = F.col("text")
+    plain = tx.forensic_tokens(t, ("the", "and", "der", "que"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(tx.normalised(t)).alias("normalised_md5"), F.size(tx.loose_words(t)).cast("long").alias("n_loose"), F.size(plain).cast("long").alias("n_forensic"))
+
+
 RULES_SQL = "r AS (SELECT doc_id, " + ", ".join(f"regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}') AS {k}" for k, p in tx.RUBRIC.items()) + " FROM documents)"
 
 
