@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloq.functions import text as tx
-from colloq.operators import agent, ml, policy, sampling, stats
+from colloq.operators import agent, ml, policy, sampling, stats, variants
 from colloq.operators import conversations as cv
 from colloq.operators import metrics as me
 from colloq.plans.conversations import TURNS_SQL, WINDOWED_SQL, corpus, turns
 from colloq.plans.registry import query
-from colloq.plans.retrieval import TOKENS
+from colloq.plans.retrieval import BM25_SQL, TFIDF_SQL, TOKENS
 from colloq.plans.texts import draft_parts
 from colloq.session import checkpoint_dir, read, write_table
 from colloq.streaming import chat
@@ -237,3 +237,40 @@ def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         chat.run(spark, f"{folder}/messages", f"{folder}/state", f"{folder}/turns", datetime(2017, 11, 22, 23, 58, 30), idle="12 hours")
     found = spark.read.schema(chat.TURN).parquet(f"{folder}/turns")
     return found.withColumn("clock", F.date_format("clock", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _variant_sql(v: str) -> str:
+    """CTEs with the first five hits of each model over one form of the cases k(id, msg, ctx)."""
+    names = f"documents AS (SELECT id AS doc_id, {v} AS text FROM k), benchmark AS (SELECT id AS item_id, {v} AS text FROM k WHERE id % 50 = 0)"
+    tfidf = TFIDF_SQL.removeprefix("WITH ").split(", z AS (")[0]
+    return f"""bm_{v} AS (WITH {names}, {BM25_SQL} SELECT query_id, doc_id, score FROM bm), tf_{v} AS (WITH {names}, {tfidf} SELECT query_id, doc_id, score FROM tfidf),
+tk_{v} AS (SELECT id, ('0x' || substr(md5(unnest({TOKENS.format(v)})), 1, 8))::BIGINT % 128 AS code FROM k),
+dv_{v} AS (SELECT id, code % 64 AS i, sum(CASE WHEN code < 64 THEN 1.0 ELSE -1.0 END) AS v FROM tk_{v} GROUP BY 1, 2),
+raw_{v} AS (SELECT k.id, list(coalesce(v, 0)::DOUBLE ORDER BY r.i) AS v FROM k CROSS JOIN (SELECT unnest(range(64)) AS i) r LEFT JOIN dv_{v} d ON d.id = k.id AND d.i = r.i GROUP BY 1),
+vec_{v} AS (SELECT id, list_transform(v, lambda x: CASE WHEN list_sum(list_transform(v, lambda y: y * y)) > 0 THEN (x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT::DOUBLE ELSE 0 END) AS v FROM raw_{v}),
+ds_{v} AS (SELECT x.id AS query_id, y.id AS doc_id, list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])) AS score FROM vec_{v} x, vec_{v} y WHERE x.id % 50 = 0),
+bo_{v} AS (SELECT d.query_id, d.doc_id, d.score AS d, coalesce(s.score, 0) AS s FROM ds_{v} d LEFT JOIN bm_{v} s USING (query_id, doc_id)),
+mm_{v} AS (SELECT *, min(d) OVER w AS d0, max(d) OVER w AS d1, min(s) OVER w AS s0, max(s) OVER w AS s1 FROM bo_{v} WINDOW w AS (PARTITION BY query_id)),
+hy_{v} AS (SELECT query_id, doc_id, 0.5 * CASE WHEN d1 - d0 <= 1e-12 THEN 0.0 ELSE (d - d0) / (d1 - d0) END + 0.5 * CASE WHEN s1 - s0 <= 1e-12 THEN 0.0 ELSE (s - s0) / (s1 - s0) END AS score FROM mm_{v})"""
+
+
+VARIANTS_SQL = "WITH " + WINDOWED_SQL + r""", k AS (SELECT conv_id * 1000 + pos_in_conv AS id, text_clean AS msg, coalesce(array_to_string(list_transform(list_filter(list_reverse(before), lambda t: trim(substr(t, strpos(t, ': ') + 2)) <> ''),
+  lambda t: regexp_replace(regexp_replace(t, '^CUSTOMER: ', 'Previous customer: '), '^BRAND: ', 'Previous support: ')), chr(10)) || chr(10), '') || 'Current customer: ' || text_clean AS ctx FROM w WHERE role = 'CUSTOMER'), """ + _variant_sql("msg") + ", " + _variant_sql("ctx") + ", every AS (" + " UNION ALL ".join(
+    f"SELECT '{m}/{v}' AS model, query_id, doc_id, round(score, 6) AS score FROM {t}_{v}" for v in ("msg", "ctx") for m, t in (("bm25", "bm"), ("tfidf", "tf"), ("dense", "ds"), ("hybrid", "hy"))
+) + """), ranked AS (SELECT *, row_number() OVER (PARTITION BY model, query_id ORDER BY score DESC, doc_id) AS rank FROM every QUALIFY rank <= 5),
+pool AS (SELECT query_id, doc_id, string_agg(model, ',' ORDER BY model) AS sources, count(*) AS n_sources, min(rank)::INTEGER AS best_rank FROM ranked GROUP BY 1, 2)
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY n_sources DESC, best_rank, doc_id))::INTEGER AS place FROM pool QUALIFY place <= 5"""
+
+
+@query(VARIANTS_SQL)
+def pooled_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of eight retrievers: four models over messages alone and with their context; messages whose id is divisible by 50 ask."""
+    made = cv.cases(corpus(spark, sf_dir))
+    number = F.col("conv_id") * 1000 + F.col("position_in_conversation")
+    message, context = F.col("customer_message"), F.col("conversation_context")
+    docs = write_table(made.select(number.alias("doc_id"), tx.document_text(message, context, False).alias("msg"), tx.document_text(message, context, True).alias("ctx")))
+    retrievers = variants.Retrievers(docs, f"{checkpoint_dir(spark)}/variants-{uuid.uuid4().hex}", ("msg", "ctx"))
+    retrievers.build()
+    found = retrievers.pool(docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+    names = F.array_join(F.array_sort(F.transform("sources", lambda s: s["model"])), ",")
+    return found.select("query_id", "doc_id", names.alias("sources"), "n_sources", "best_rank", "place")

@@ -327,3 +327,21 @@ def test_chat_stream_goes_on_after_a_restart(spark, tmp_path):
         open_[s] = (history, at)
     assert got == sorted(plain)
     assert any(r[3].date() == datetime(2020, 2, 29).date() for r in got) and math.isclose(len(got), len(plain))
+
+
+def test_variants_are_built_measured_and_searched(spark, tmp_path):
+    from colloq.operators import variants
+    from colloq.operators.sampling import portable_hash
+
+    rows = [(i, t, f"before {i % 3} {t}") for i, t in texts(11, 60) if t]
+    docs = spark.createDataFrame(rows, "doc_id bigint, msg string, ctx string")
+    retrievers = variants.Retrievers(docs, str(tmp_path / "v"), ("msg", "ctx"))
+    made = retrievers.build().collect()
+    assert {(r.model, r.variant) for r in made} == {(m, v) for m in ("bm25", "tfidf", "dense") for v in ("msg", "ctx")}
+    assert all(r.n_docs == len(rows) and r.bytes > 0 and r.build_seconds > 0 for r in made)
+    asked = docs.where("doc_id < 4").withColumnRenamed("doc_id", "query_id")
+    hits = retrievers.hits(asked, 3)
+    assert {r.model for r in hits.collect()} == {f"{m}/{v}" for m in variants.MODELS for v in ("msg", "ctx")}
+    assert hits.where("rank = 1 and model like 'dense%' and score < 0.99").count() == 0
+    curve = variants.scaling(docs.select("doc_id", F.col("msg").alias("text")), asked.select("query_id", F.col("msg").alias("text")), str(tmp_path / "s"), (10, 40), portable_hash(F.col("doc_id")))
+    assert sorted((r.model, r["size"]) for r in curve.collect()) == [("bm25", 10), ("bm25", 40), ("dense", 10), ("dense", 40)]
