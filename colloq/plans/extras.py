@@ -234,7 +234,7 @@ def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         low, high = (ends["a"] + (ends["b"] - ends["a"]) / 3 * i for i in (k, k + 1))
         part = messages.where((F.col("at") >= F.lit(low)) & ((F.col("at") < F.lit(high)) | F.lit(k == 2)))
         part.write.mode("append").parquet(f"{folder}/messages")
-        chat.run(spark, f"{folder}/messages", f"{folder}/state", f"{folder}/turns", datetime(2017, 11, 22, 23, 58, 30), idle="12 hours")
+        chat.run(spark, f"{folder}/messages", f"{folder}/state", f"{folder}/turns", datetime(2017, 11, 22, 23, 58, 30), idle="12 hours", partitions=8)
     found = spark.read.schema(chat.TURN).parquet(f"{folder}/turns")
     return found.withColumn("clock", F.date_format("clock", "yyyy-MM-dd HH:mm:ss"))
 

@@ -85,7 +85,7 @@ def _block_top(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
 
 @query("WITH " + BM25_SQL + ", " + ZEROS.format("bm"))
 def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through an inverted file of blocks with bounds, most of which are skipped."""
+    """The same through an inverted file of blocks with bounds."""
     return _block_top(spark, sf_dir, "bm25")
 
 

@@ -81,8 +81,16 @@ def turns(messages: DataFrame, start: datetime, idle: str = "30 minutes", late:
     return made.select("session", "number", "turn", clock.alias("clock"), "context", "text")
 
 
-def run(spark: SparkSession, folder: str, checkpoint: str, out: str, start: datetime, idle: str = "30 minutes") -> None:
-    """Answer what is new in a folder of Parquet files of messages, and append the turns to ``out``."""
-    stream = spark.readStream.schema("session bigint, number bigint, at timestamp, text string").parquet(folder)
-    made = turns(stream, start, idle).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
-    made.trigger(availableNow=True).start().awaitTermination()
+def run(spark: SparkSession, folder: str, checkpoint: str, out: str, start: datetime, idle: str = "30 minutes", partitions: int | None = None) -> None:
+    """Answer what is new in a folder of Parquet files of messages, and append the turns to ``out``.
+
+    ``partitions`` of state are those of the session's shuffles unless given; a checkpoint keeps the number that it began with.
+    """
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions or before))
+    try:
+        stream = spark.readStream.schema("session bigint, number bigint, at timestamp, text string").parquet(folder)
+        made = turns(stream, start, idle).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+        made.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
