@@ -320,5 +320,18 @@ def new_rows(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def nested_subset(docs: DataFrame, size: int, order: Column, doc_id: str = "doc_id") -> DataFrame:
-    """The ``size`` first documents of an order; a larger subset contains every smaller one."""
-    return docs.orderBy(order, doc_id).limit(size)
+    """The ``size`` first documents of an order; a larger subset contains every smaller one.
+
+    Only ids are ranked, in ranges of the order: a limit after a sort would bring the texts of the subset to one task.
+    """
+    from colloq.operators.sampling import ranked_rows  # which imports this module by way of the metrics
+
+    ids = docs.select(F.col(doc_id).alias("__id"), order.alias("__order"))
+    first = ranked_rows(ids, [F.col("__order"), F.col("__id")], "__place").where(F.col("__place") <= size)
+    # equal ids stand together in the order: the last one may be cut in the middle of its rows
+    counted = cut(first.groupBy("__id").agg(F.count("*").alias("__n")))
+    numbered = docs.join(counted, F.col(doc_id).eqNullSafe(F.col("__id")))
+    if counted.where("__n > 1").isEmpty():
+        return numbered.select(*docs.columns)
+    w = Window.partitionBy(doc_id).orderBy(F.lit(1))
+    return numbered.withColumn("__row", F.row_number().over(w)).where("__row <= __n").select(*docs.columns)
