@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloq.functions import text as tx
-from colloq.operators import dense_index, ml, policy
+from colloq.operators import dense_grid, dense_index, ml, policy
 from colloq.operators.embeddings import Encoder, hashed_encoder, unit
 from colloq.session import write_table
 
 #: queries(query_id, text) to (query_id, intent, p)
 Intents = Callable[[DataFrame], DataFrame]
 DIM = 64
+#: Questions that are searched in the index.
+FEW = dense_index.BATCH
 DIGITS = 6
 
 
@@ -60,9 +62,16 @@ class Agent:
         return cls(dense_index.fit(vectors), cases.select("doc_id", "brand_response", "language"), **options)
 
     def evidence(self, queries: DataFrame, k: int = 5) -> DataFrame:
-        """Hits (query_id, doc_id, score, rank) for queries(query_id, text, cutoff, exclude)."""
+        """Hits (query_id, doc_id, score, rank) for queries(query_id, text, cutoff, exclude).
+
+        Up to ``FEW`` questions are asked of the index, batch by batch; more of them meet its rows in a grid of block products, as
+        batches that follow each other would read the rows once for each.
+        """
         asked = write_table(queries.select("query_id", unit(self.encode(F.col("text"))).alias("embedding"), "cutoff", "exclude"))
-        return dense_index.search(self.index, asked, k, digits=DIGITS)[0]
+        valid = asked.where("query_id is not null and embedding is not null")
+        if asked.limit(FEW + 1).count() <= FEW:
+            return dense_index.search(self.index, asked, k, digits=DIGITS)[0]
+        return dense_grid.top_k(self.index.rows.select("doc_id", "embedding", "ts", "group"), valid, k, DIGITS)
 
     def respond(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """A row per query(query_id, text, cutoff, exclude): intent, decision, draft, evidence counts."""
