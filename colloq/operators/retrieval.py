@@ -224,18 +224,18 @@ def document_norms(index: LexicalIndex, tf: Column) -> DataFrame:
 def tfidf_scores(index: LexicalIndex, queries: DataFrame, sublinear: bool = True) -> DataFrame:
     """Cosine of TF-IDF vectors with smoothed idf; words outside the vocabulary are ignored on both sides.
 
-    A document's norm needs all its terms, its products those that are asked for: one pass over the terms gathers both, and only
-    the squares' sum and what the queries hit leave the task.
+    A document's norm needs all its terms, its products those that are asked for: what leaves a task is the norm's sum of squares and the asked postings'
+    sum a query.
     """
     tf = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
     n, _ = index.totals
-    asked = tfidf_query_weights(index, queries, tf).groupBy("term").agg(F.collect_list(F.struct("query_id", "qw")).alias("asked"))  # a stated query set
-    weights = index.terms.select("term", nu.smooth_idf(F.lit(n), F.col("df")).alias("idf")).join(asked, "term", "left")
+    norms = document_norms(index, tf)
+    idf = nu.smooth_idf(F.lit(n), F.col("df"))
+    asked = cut(tfidf_query_weights(index, queries, tf).join(index.terms, "term").select("query_id", "term", (F.col("qw") * idf).alias("qw")))
     rows = index._exploded().where(F.col("term") != ITSELF) if index.texts is not None and "_all" not in index.__dict__ else index.postings
-    each = rows.join(_small(cut(weights)), "term").select("doc_id", (tf * F.col("idf")).alias("w"), "asked")
-    per_doc = each.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("asked").isNotNull(), F.struct("w", "asked"))).alias("hits"))  # a document's terms
-    hits = per_doc.select("doc_id", "norm", F.explode("hits").alias("h")).select("doc_id", "norm", F.col("h.w").alias("w"), F.explode("h.asked").alias("q"))
-    return hits.groupBy("doc_id", F.col("q.query_id").alias("query_id")).agg((F.sum(F.col("w") * F.col("q.qw")) / F.first("norm")).alias("score")).select("query_id", "doc_id", "score")
+    hits = rows.select("doc_id", "term", tf.alias("w")).join(_small(asked), "term")
+    summed = hits.groupBy("doc_id", "query_id").agg(F.sum(F.col("w") * F.col("qw")).alias("s"))
+    return summed.join(_small(norms), "doc_id").select("query_id", "doc_id", (F.col("s") / F.col("norm")).alias("score"))
 
 
 def _batched(queries: DataFrame, *values: str) -> tuple[DataFrame, int]:
