@@ -11,9 +11,11 @@ order.
 
 Only the existence of an earlier match matters. Of the earlier classes that pass the filters for a class, the
 most alike one by its bitmap is verified first, so the texts of a family of similar lines are fetched for a pair per
-member; only for classes for which it fails the others are verified too. Classes that share a word posted by
-more than ``CROWD`` classes are first compared with the earliest class of that word alone, at a cost
-linear in their number; only those without a match yet are compared with every earlier class of the word. The cause that
+member; only for classes for which it fails the others are verified too. Classes that share a crowded word are first
+compared with the earliest class of that word alone, at a cost linear in their number; only those without a match yet are
+compared with every earlier class of the word. Crowded are the words of more than ``CROWD`` classes, and those of fewer that
+stand out: how many classes share a word grows with the table where the vocabulary does not, so the bound is the lowest that
+leaves few postings above it. Which words are crowded decides where classes meet, not which are found. The cause that
 a removed line names is the first line of its own set, or else the most alike earlier line that was verified, and of equally alike ones the
 first; it does not depend on the partitions.
 
@@ -27,7 +29,6 @@ an empty table gives an empty result; other columns are kept by :func:`clean` an
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,10 +41,12 @@ from colloq.session import cut, drop_table, release, write_table
 POSTED_WORDS = 4
 SKETCH_BITS = 18
 RANK_SHIFT = 48
-#: Words in the parity bitmap.
-HEAD = 64
-#: Classes that share a posted word and are all compared with each other.
-CROWD = 1024
+#: Words in the parity bitmap. Unlike sets of over 120 words would pass with 64, as their heads differ by little more than similar ones may.
+HEAD = 128
+#: Classes that share a posted word and are all compared with each other, at most and at least.
+CROWD, FEW = 1024, 64
+#: One in so many postings may be of crowded words before the bound rises; counts are those of one in so many classes.
+CROWDED_SHARE, COUNTED = 16, 8
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 KEY = ("k1", "k2", "n")
@@ -99,13 +102,13 @@ def prefix_length(n: Column) -> Column:
 
 def _bitmap(high: bool) -> Column:
     """Half of the parity of the ``HEAD`` first ids in 128 bits, by their low seven bits. Spelled out, as a lambda would be
-    interpreted."""
+    interpreted; most sets have no second half of a head."""
     half = "" if high else " ^ 1L"
     terms = [f"coalesce(shiftleft((shiftrightunsigned(get(p, {i}), 6) & 1L){half}, int(get(p, {i}) & 63)), 0L)" for i in range(HEAD)]
-    while len(terms) > 1:  # a balanced tree is cut into short methods
+    while len(terms) > 2:  # a balanced tree is cut into short methods
         terms = [" ^ ".join(terms[i : i + 2]) for i in range(0, len(terms), 2)]
         terms = [f"({t})" for t in terms]
-    return F.expr(terms[0])
+    return F.expr(f"{terms[0]} ^ if(size(p) > {HEAD // 2}, {terms[1]}, 0L)")
 
 
 def lines_of(docs: DataFrame, ranks: Column) -> DataFrame:
@@ -197,12 +200,20 @@ def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return near.select("a.word", F.col("b.first").alias("later"), F.col("a.first").alias("earlier"), apart.alias("apart"))
 
 
-def _crowded(classes: DataFrame) -> DataFrame:
-    """(word, hub): words posted by more than ``CROWD`` classes, with the earliest of these."""
-    # the bucket of such a word counts as many at least, so its rank says which words to count
-    known = F.shiftright("word", RANK_SHIFT) >= F.lit(int(math.log(CROWD + 2) * 8) - 128)
-    counts = _posted(classes).where(known).groupBy("word").agg(F.count("*").alias("members"), F.min("first").alias("hub"))
-    return cut(counts.where(F.col("members") > CROWD).select("word", "hub"))
+def _crowded(classes: DataFrame) -> DataFrame | None:
+    """(word): the words that are crowded by the counts of one in ``COUNTED`` classes; None if there are none."""
+    counted = _posted(classes.where(F.pmod(F.xxhash64("first"), F.lit(COUNTED)) == 0))
+    counts = cut(counted.groupBy("word").agg(F.count("*").alias("members")).where(F.col("members") > min(CROWD, FEW) // COUNTED))
+    bounds, bound = [], FEW
+    while bound < CROWD:
+        bounds.append(bound)
+        bound *= 2
+    above = [F.coalesce(F.sum(F.when(F.col("members") > b // COUNTED, F.col("members"))), F.lit(0)) for b in (*bounds, CROWD)]
+    postings = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    shares = counts.agg(*[x.alias(f"b{i}") for i, x in enumerate(above)]).first()
+    fits = [b for b, share in zip(bounds, shares, strict=False) if CROWDED_SHARE * COUNTED * share <= postings]
+    words = counts.where(F.col("members") > min([*fits, CROWD]) // COUNTED).select("word")
+    return None if words.isEmpty() else words
 
 
 def candidates(classes: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -211,7 +222,7 @@ def candidates(classes: DataFrame, hot: DataFrame | None) -> DataFrame:
     posted = _posted(classes)
     if hot is None:
         return _pairs(posted, posted).drop("word").distinct()
-    hubs = hot.where(F.col("first") == F.col("hub"))  # a row per crowded word
+    hubs = cut(hot.groupBy("word").agg(F.min_by(F.struct("first", "low", "high", "n", "rest"), "first").alias("hub")).select("word", "hub.*"))
     cold = posted.join(sized(hubs.select("word"), BROADCAST_PLACES), "word", "left_anti")
     return _pairs(cold, cold).unionByName(_pairs(sized(hubs, BROADCAST_CLASSES), hot)).drop("word").distinct()
 
@@ -239,7 +250,7 @@ def _verified(documents: Numbered, places: Places, pairs: DataFrame) -> DataFram
     sets = write_table(_sets_of(documents, places, wanted))
     x, y = (sets.select(F.col("place").alias(side), F.col("words").alias(name)) for side, name in (("later", "x"), ("earlier", "y")))
     shared = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(x, "later").join(y, "earlier")
+    both = sized(pairs, BROADCAST_PLACES).join(x, "later").join(y, "earlier")
     found = cut(both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("later", "earlier"))
     drop_table(sets)
     return found
@@ -262,7 +273,7 @@ def removed_lines(documents: Numbered, min_words: int = 1) -> DataFrame:
         table = write_table(table)
     classes = table.where((F.col("place") == F.col("first")) & (F.col("n") >= POSTED_WORDS)).select("first", "n", "low", "high", "prefix")
     crowded = _crowded(classes)
-    hot = None if crowded.isEmpty() else write_table(_posted(classes).join(sized(crowded, BROADCAST_CLASSES), "word"))
+    hot = None if crowded is None else write_table(_posted(classes).join(sized(crowded, BROADCAST_PLACES), "word"))
     pairs = cut(candidates(classes, hot))
     release(spark)  # the exchange of the postings
     best = cut(pairs.groupBy("later").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier")))

@@ -6,6 +6,7 @@ import re
 from helpers import clashing, table, words
 
 from colloq.llm import chat_formatting, line_dedup, queries, url_filters
+from colloq.session import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -158,3 +159,30 @@ def test_sparse_conversations_make_pairs(spark):
     said = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     got = {r.pair_id: r.rejected for r in chat_formatting.format_preferences(chat_formatting.crossed(said)).collect()}
     assert got == {c: f"<|assistant|>\n{d}<|end|>\n" for c, d in zip(ids, [*ids[1:], ids[0]], strict=True)}
+
+
+def counted_candidates(spark, monkeypatch, rows):
+    """The lines that go, and how many pairs of lines were looked at."""
+    seen, made = [], line_dedup.candidates
+    monkeypatch.setattr(line_dedup, "candidates", lambda *args: seen.append(cut(made(*args))) or seen[-1])
+    documents = line_dedup.Numbered(table(spark, rows).selectExpr("cast(doc_id AS BIGINT) AS doc", "text"))
+    gone = {(r.doc, r.line_no) for r in line_dedup.removed_lines(documents).collect()}
+    return gone, seen[0].count()
+
+
+def test_a_family_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Of 300 variants of a line, less than the highest bound of a crowd, most meet its first ones alone."""
+    base = [f"w{i}" for i in range(30)]
+    rows = [(d, " ".join([*base[: d % 30], f"v{d}", *base[d % 30 + 1 :]])) for d in range(300)]
+    rows += [(1000 + d, " ".join(f"o{d}x{i}" for i in range(30))) for d in range(600)]
+    gone, pairs = counted_candidates(spark, monkeypatch, rows)
+    assert gone == {(d, 0) for d in range(1, 300)} and pairs < 10_000
+
+
+def test_unlike_long_lines_are_told_apart(spark, monkeypatch):
+    """Lines of 180 words that share the words they are posted under, and little else."""
+    rnd = random.Random(3)
+    vocab = [f"w{i}" for i in range(2000)]
+    rows = [(d, " ".join(["rare", *rnd.sample(vocab, 180)])) for d in range(200)]
+    gone, pairs = counted_candidates(spark, monkeypatch, rows)
+    assert not gone and pairs < 100
