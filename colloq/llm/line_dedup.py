@@ -34,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloq.llm.common import fresh, sized
+from colloq.llm.common import fresh, let, sized
 from colloq.session import cut, drop_table, release, write_table
 
 #: A set of fewer words is similar to no set but its equal (4 words may stand in a set of 5: 4/5 = 0.8).
@@ -70,10 +70,10 @@ def _each_line(docs: DataFrame, *columns: str) -> DataFrame:
     return flagged.select(*columns, "odd", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _words() -> Column:
+def _words(line: str = "line", odd: str = "odd") -> Column:
     """The words of a line, with empty ones at repeated separators."""
     # a literal separator is split without a regular expression
-    return F.when(F.col("odd"), F.split("line", SPACE)).otherwise(F.split("line", " "))
+    return F.when(F.col(odd), F.split(line, SPACE)).otherwise(F.split(line, " "))
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -200,16 +200,15 @@ def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return near.select("a.word", F.col("b.first").alias("later"), F.col("a.first").alias("earlier"), apart.alias("apart"))
 
 
-def _crowded(classes: DataFrame) -> DataFrame | None:
+def _crowded(classes: DataFrame, postings: int) -> DataFrame | None:
     """(word): the words that are crowded by the counts of one in ``COUNTED`` classes; None if there are none."""
-    counted = _posted(classes.where(F.pmod(F.xxhash64("first"), F.lit(COUNTED)) == 0))
+    counted = _posted(classes.where(F.pmod("k1", F.lit(COUNTED)) == 0))
     counts = cut(counted.groupBy("word").agg(F.count("*").alias("members")).where(F.col("members") > min(CROWD, FEW) // COUNTED))
     bounds, bound = [], FEW
     while bound < CROWD:
         bounds.append(bound)
         bound *= 2
     above = [F.coalesce(F.sum(F.when(F.col("members") > b // COUNTED, F.col("members"))), F.lit(0)) for b in (*bounds, CROWD)]
-    postings = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     shares = counts.agg(*[x.alias(f"b{i}") for i, x in enumerate(above)]).first()
     fits = [b for b, share in zip(bounds, shares, strict=False) if CROWDED_SHARE * COUNTED * share <= postings]
     words = counts.where(F.col("members") > min([*fits, CROWD]) // COUNTED).select("word")
@@ -238,21 +237,34 @@ def other_candidates(pairs: DataFrame, hot: DataFrame | None, best: DataFrame, m
     return found.distinct().join(best, ["later", "earlier"], "left_anti")
 
 
-def _sets_of(documents: Numbered, places: Places, wanted: DataFrame) -> DataFrame:
-    """(place, words) of the given distinct lines, read again from the documents."""
-    each = _each_line(documents.docs, "doc").select(places.of_line(F.col("doc"), F.col("line_no")).alias("place"), "line", "odd")
-    return each.join(sized(wanted, BROADCAST_PLACES), "place").select("place", F.array_remove(F.array_distinct(_words()), "").alias("words"))
+def _texts_of(documents: Numbered, places: Places, wanted: DataFrame) -> DataFrame:
+    """(place, line, odd) of the given distinct lines, read again from the documents."""
+    docs, where = documents.docs, wanted.select(places.spot(F.col("place"))[0].alias("doc")).distinct()
+    if where.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES:  # texts are not exchanged to skip some
+        docs = docs.join(F.broadcast(where), "doc", "left_semi")
+    each = _each_line(docs, "doc").select(places.of_line(F.col("doc"), F.col("line_no")).alias("place"), "line", "odd")
+    return each.join(sized(wanted, BROADCAST_PLACES), "place").select("place", "line", "odd")
+
+
+def _similar(x: Column, y: Column) -> Column:
+    """Whether two lists of words are similar as sets."""
+
+    def of_sets(s: Column) -> Column:
+        shared = F.size(F.array_intersect(s["x"], s["y"]))
+        return 5 * shared >= 4 * (F.size(s["x"]) + F.size(s["y"]) - shared)
+
+    return let(F.struct(*[F.array_remove(F.array_distinct(w), "").alias(name) for w, name in ((x, "x"), (y, "y"))]), of_sets)
 
 
 def _verified(documents: Numbered, places: Places, pairs: DataFrame) -> DataFrame:
     """The pairs (later, earlier) whose sets of words have a Jaccard similarity of 0.8 or more."""
     wanted = cut(pairs.select(F.explode(F.array("later", "earlier")).alias("place")).distinct())
-    sets = write_table(_sets_of(documents, places, wanted))
-    x, y = (sets.select(F.col("place").alias(side), F.col("words").alias(name)) for side, name in (("later", "x"), ("earlier", "y")))
-    shared = F.size(F.array_intersect("x", "y"))
+    texts = write_table(_texts_of(documents, places, wanted))
+    x, y = (texts.select(F.col("place").alias(side), F.col("line").alias(f"{side}_line"), F.col("odd").alias(f"{side}_odd")) for side in ("later", "earlier"))
     both = sized(pairs, BROADCAST_PLACES).join(x, "later").join(y, "earlier")
-    found = cut(both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("later", "earlier"))
-    drop_table(sets)
+    # lines take less of an exchange than lists of words
+    found = cut(both.where(_similar(_words("later_line", "later_odd"), _words("earlier_line", "earlier_odd"))).select("later", "earlier"))
+    drop_table(texts)
     return found
 
 
@@ -263,16 +275,17 @@ def removed_lines(documents: Numbered, min_words: int = 1) -> DataFrame:
     places = Places.of(lines)
     if not places.fit:
         raise OverflowError("doc_id and line numbers span more than 63 bits")
+    postings = lines.agg(F.sum(F.size("prefix"))).first()[0] or 0
     table = lines.where(F.col("n") >= min_words).select(places.of_line(F.col("doc"), F.col("line_no")).alias("place"), *KEY, "low", "high", "prefix")
     several = cut(table.groupBy(*KEY).agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"))
     release(spark)
     small = several.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     # hot classes are split by adaptive execution: the exchange serves this join alone
-    table = table.join(F.broadcast(several) if small else several, list(KEY), "left").select("place", F.coalesce("first", "place").alias("first"), "n", "low", "high", "prefix")
+    table = table.join(F.broadcast(several) if small else several, list(KEY), "left").select("place", F.coalesce("first", "place").alias("first"), "k1", "n", "low", "high", "prefix")
     if not small:  # a join that costs an exchange is made once
         table = write_table(table)
-    classes = table.where((F.col("place") == F.col("first")) & (F.col("n") >= POSTED_WORDS)).select("first", "n", "low", "high", "prefix")
-    crowded = _crowded(classes)
+    classes = table.where((F.col("place") == F.col("first")) & (F.col("n") >= POSTED_WORDS)).select("first", "k1", "n", "low", "high", "prefix")
+    crowded = _crowded(classes, postings)
     hot = None if crowded is None else write_table(_posted(classes).join(sized(crowded, BROADCAST_PLACES), "word"))
     pairs = cut(candidates(classes, hot))
     release(spark)  # the exchange of the postings
