@@ -174,7 +174,7 @@ def test_a_family_is_not_compared_pair_by_pair(spark, monkeypatch):
     """Of 300 variants of a line, less than the highest bound of a crowd, most meet its first ones alone."""
     base = [f"w{i}" for i in range(30)]
     rows = [(d, " ".join([*base[: d % 30], f"v{d}", *base[d % 30 + 1 :]])) for d in range(300)]
-    rows += [(1000 + d, " ".join(f"o{d}x{i}" for i in range(30))) for d in range(600)]
+    rows += [(1000 + d, "\n".join(" ".join(f"o{d}x{j}x{i}" for i in range(30)) for j in range(100))) for d in range(60)]
     gone, pairs = counted_candidates(spark, monkeypatch, rows)
     assert gone == {(d, 0) for d in range(1, 300)} and pairs < 10_000
 
